@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from orthomark.plans import queries_geo  # noqa: F401
+from orthomark.plans import queries_geo, queries_joins  # noqa: F401
 from orthomark.plans.registry import ORACLES, QUERIES  # noqa: F401

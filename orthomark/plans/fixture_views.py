@@ -153,6 +153,6 @@ def with_views(names: str, body: str, recursive: bool = False) -> str:
 
     ``body`` may start with ``, extra AS (...)`` clauses of its own.
     """
-    clauses = ", ".join(f"{n} AS ({ansi(n)})" for n in names.split())
+    clauses = ", ".join(f"{n} AS ({ansi(n)})" for n in names.split() if n in VIEWS)
     head = "WITH RECURSIVE " if recursive else "WITH "
     return f"{head}{clauses} {body}" if clauses else f"{head}{body.lstrip(', ')}" if recursive else body
