@@ -33,7 +33,7 @@ def filled(value) -> Column:
 
 def stripped(text) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(_c(text), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(text), r"(?U)^\s+|\s+$", "")
 
 
 def joined(parts) -> Column:

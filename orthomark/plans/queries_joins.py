@@ -35,8 +35,13 @@ EVIDENCE = f"""
 , pairs AS (SELECT d.scene_id, d.object_id, p.osm_type, p.osm_id, p.name, CAST(NULL AS VARCHAR) AS address, d.w * d.h + p.w * p.h AS areas,
    greatest(least(d.x0 + d.w, p.x0 + p.w) - greatest(d.x0, p.x0), 0) * greatest(least(d.y0 + d.h, p.y0 + p.h) - greatest(d.y0, p.y0), 0) AS shared
   FROM detections d JOIN map_polygons p ON d.scene_id = p.scene_id AND d.x0 <= p.x0 + p.w AND p.x0 <= d.x0 + d.w AND d.y0 <= p.y0 + p.h AND p.y0 <= d.y0 + d.h),
+ious AS (SELECT *, CAST(shared AS DOUBLE) / (areas - shared) AS x FROM pairs WHERE CAST(shared AS DOUBLE) / (areas - shared) >= 0.05),
+-- The overlap is rounded by its exact binary value: both halves of the number times 10000 are exact.
+spread AS (SELECT *, x * 134217729 AS wide, floor(x * 10000) AS base FROM ious),
+halves AS (SELECT *, wide - (wide - x) AS high FROM spread),
+beyond AS (SELECT *, (high * 10000 - (base + 0.5::DOUBLE)) + (x - high) * 10000 AS past FROM halves),
 evidence AS (SELECT scene_id, object_id, osm_type, osm_id, name, address, '{labels.OVERLAPPING}' AS spatial_relation,
-   round(CAST(shared AS DOUBLE) / (areas - shared), 4) AS intersection_over_union FROM pairs WHERE CAST(shared AS DOUBLE) / (areas - shared) >= 0.05
+   (base + CASE WHEN past > 0 OR (past = 0 AND base % 2 = 1) THEN 1 ELSE 0 END) / 10000 AS intersection_over_union FROM beyond
   UNION ALL SELECT d.scene_id, d.object_id, p.osm_type, p.osm_id, p.name, nullif(concat_ws(', ', housenumber, street, city), ''), '{labels.CONTAINED_POINT}', CAST(NULL AS DOUBLE)
   FROM detections d JOIN map_points p ON d.scene_id = p.scene_id AND p.x BETWEEN d.x0 AND d.x0 + d.w AND p.y BETWEEN d.y0 AND d.y0 + d.h)
 """
@@ -223,7 +228,7 @@ def _(t):
 
 @query("a2_collect_evidence", "detections map_polygons map_points", IDENTITY + """
 , listed AS (SELECT scene_id, object_id, string_agg(concat(osm_type, ':', CAST(osm_id AS VARCHAR)), '|'
-   ORDER BY coalesce(intersection_over_union, 0) DESC, osm_type, osm_id) AS evidence, round(max(intersection_over_union), 4) AS best FROM evidence GROUP BY scene_id, object_id)
+   ORDER BY coalesce(intersection_over_union, 0) DESC, osm_type, osm_id) AS evidence, max(intersection_over_union) AS best FROM evidence GROUP BY scene_id, object_id)
 SELECT i.object_id, match_status, candidate_name, coalesce(evidence, '') AS evidence, best FROM identified i LEFT JOIN listed l ON i.scene_id = l.scene_id AND i.object_id = l.object_id""")
 def _(t):
     full = evidence.collect_evidence(_detections(t), _evidence(t))
