@@ -87,7 +87,7 @@ def mosaic(tiles: DataFrame, offsets: DataFrame, keys: Sequence[str] = SCENE) ->
 
 def _target(matrix: Column, col: Column, row: Column) -> tuple[Column, Column]:
     m = lambda i: F.get(matrix, F.lit(i))
-    depth = m(6) * col + m(7) * row + m(8)
+    depth = F.nullif(m(6) * col + m(7) * row + m(8), F.lit(0.0))
     return (m(0) * col + m(1) * row + m(2)) / depth, (m(3) * col + m(4) * row + m(5)) / depth
 
 
