@@ -34,7 +34,7 @@ def homography(source: np.ndarray, target: np.ndarray) -> np.ndarray | None:
     one, zero = np.ones(len(a)), np.zeros((len(a), 3))
     h = np.column_stack([a, one])
     rows = np.vstack([np.hstack([h, zero, -b[:, :1] * h]), np.hstack([zero, h, -b[:, 1:] * h])])
-    m = np.linalg.inv(tb) @ np.linalg.svd(rows)[2][-1].reshape(3, 3) @ ta
+    m = np.linalg.inv(tb) @ np.linalg.eigh(rows.T @ rows)[1][:, 0].reshape(3, 3) @ ta
     return m / m[2, 2] if np.isfinite(m).all() and abs(m[2, 2]) > 1e-12 else None
 
 
@@ -44,19 +44,34 @@ def project(matrix: np.ndarray, points: np.ndarray) -> np.ndarray:
         return h[:, :2] / h[:, 2:]
 
 
+def _four_point(source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Exact homographies of batches of four point pairs; degenerate ones become NaN."""
+    x, y, u, v = source[..., 0], source[..., 1], target[..., 0], target[..., 1]
+    one, zero = np.ones_like(x), np.zeros_like(x)
+    rows = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y], -1),
+                           np.stack([zero, zero, zero, x, y, one, -v * x, -v * y], -1)], 1)
+    flat = np.abs(np.linalg.det(rows)) < 1e-6
+    rows[flat] = np.eye(8)
+    solved = np.linalg.solve(rows, np.concatenate([u, v], 1)[..., None])[..., 0]
+    solved[flat] = np.nan
+    return np.concatenate([solved, np.ones((len(solved), 1))], 1).reshape(-1, 3, 3)
+
+
 def fit_robust(source: np.ndarray, target: np.ndarray, threshold: float, rounds: int = 1000) -> tuple[np.ndarray | None, np.ndarray]:
     """Homography of the largest consensus among seeded four-point samples, refitted on it."""
     rng, best = np.random.default_rng(SEED), np.zeros(len(source), bool)
-    needed, done = rounds, 0
+    needed, done, points = rounds, 0, np.column_stack([source, np.ones(len(source))])
     while done < min(rounds, needed):
-        done += 1
-        pick = rng.choice(len(source), 4, replace=False)
-        matrix = homography(source[pick], target[pick])
-        if matrix is None:
-            continue
-        inside = np.linalg.norm(project(matrix, source) - target, axis=1) <= threshold
-        if inside.sum() > best.sum():
-            best, share = inside, inside.mean()
+        picks = np.argsort(rng.random((32, len(source))), axis=1)[:, :4]
+        done += len(picks)
+        matrices = _four_point(source[picks], target[picks])
+        h = np.einsum("kij,nj->kni", matrices, points)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            away = np.linalg.norm(h[..., :2] / h[..., 2:] - target, axis=2)
+        inside = away <= threshold
+        top = inside.sum(1).argmax()
+        if inside[top].sum() > best.sum():
+            best, share = inside[top], inside[top].mean()
             needed = np.log(1e-5) / np.log(1 - share**4) if share < 1 else 0
     if best.sum() < 4:
         return None, best

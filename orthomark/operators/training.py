@@ -136,22 +136,21 @@ def tile_features(pixels: DataFrame, keys: Sequence[str], size: int, source_size
     """
     keys = list(keys)
     height, width = source_size
-    span = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))
-
-    def weights(length):
-        # Per target index the two source indexes with their weights, clamped at the border.
-        at = lambda i: F.least(F.greatest((i + F.lit(0.5)) * F.lit(length / size) - F.lit(0.5), F.lit(0.0)), F.lit(float(length - 1)))
-        low = lambda i: F.floor(at(i)).cast("long")
-        both = lambda i: F.array(F.struct(i.alias("t"), low(i).alias("s"), (1 - (at(i) - low(i))).alias("w")),
-                                 F.struct(i.alias("t"), F.least(low(i) + 1, F.lit(length - 1)).cast("long").alias("s"), (at(i) - low(i)).alias("w")))
-        return F.filter(F.flatten(F.transform(span, both)), lambda e: e["w"] > 0)
-
-    rows = F.filter(weights(height), lambda e: e["s"] == F.col("prow"))
-    columns = F.filter(weights(width), lambda e: e["s"] == F.col("pcol"))
-    spread = pixels.select(*keys, "band", "pcol", "value", F.explode(rows).alias("_r"))
-    spread = spread.select(*keys, "band", "value", "_r", F.explode(columns).alias("_c"))
-    value = F.sum(F.col("value") * F.col("_r.w") * F.col("_c.w")) / F.lit(255.0)
-    resized = spread.groupBy(*keys, "band", F.col("_r.t").alias("prow"), F.col("_c.t").alias("pcol")).agg(value.alias("value"))
+    spark = pixels.sparkSession
+
+    def weights(length, index, target, weight):
+        """At most two source indexes per target index: a table bounded by the tile size."""
+        rows = []
+        for i in range(size):
+            at = min(max((i + 0.5) * length / size - 0.5, 0.0), length - 1.0)
+            low, part = int(at), at - int(at)
+            rows += [(s, i, w) for s, w in ((low, 1 - part), (min(low + 1, length - 1), part)) if w > 0]
+        return F.broadcast(spark.createDataFrame(rows, f"{index} bigint, {target} bigint, {weight} double"))
+
+    spread = (pixels.withColumn("prow", F.col("prow").cast("long")).withColumn("pcol", F.col("pcol").cast("long"))
+              .join(weights(height, "prow", "_ty", "_wy"), "prow").join(weights(width, "pcol", "_tx", "_wx"), "pcol"))
+    value = F.sum(F.col("value") * F.col("_wy") * F.col("_wx")) / F.lit(255.0)
+    resized = spread.groupBy(*keys, "band", F.col("_ty").alias("prow"), F.col("_tx").alias("pcol")).agg(value.alias("value"))
     channel = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("band") - 1)
     normal = (F.col("value") - channel(CHANNEL_MEAN)) / channel(CHANNEL_STD)
     item = F.struct("band", "prow", "pcol", normal.alias("v"))
