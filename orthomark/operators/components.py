@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orthomark.session import cut_lineage
+from orthomark.session import cut_lineage, spread
 
 CHUNK_EDGES = 500_000
 
@@ -72,7 +72,7 @@ def connected_components(edges: DataFrame, group: Sequence[str], max_rounds: int
 
     # A block of the group's node range keeps a huge group spread over many tasks.
     block = F.shiftright("a", 40)
-    current = cut_lineage(base.repartition(*group, block).mapInPandas(contract, schema))
+    current = cut_lineage(spread(base, *group, block).mapInPandas(contract, schema))
     for _ in range(max_rounds):
         # Settled once it is a star forest: no node hangs on two roots, no root hangs on another.
         roots = current.select(*group, F.col("b").alias("a")).distinct()

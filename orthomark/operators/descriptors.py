@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orthomark.session import spread
+
 
 def sign_code(vector) -> Column:
     """One 64-bit word with a bit per positive element."""
@@ -68,7 +70,7 @@ def match_descriptors(before: DataFrame, after: DataFrame, ratio: float = 0.72,
 
     a = a.select(*keys, "id", payload)
     b = b.select(*keys, "id", payload).toDF(*keys, "id", payload)
-    near = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(two_best, f"{pair} {kind}, id_a bigint, id_b bigint, d double")
+    near = spread(a, *keys).groupBy(*keys).cogroup(spread(b, *keys).groupBy(*keys)).applyInPandas(two_best, f"{pair} {kind}, id_a bigint, id_b bigint, d double")
     best = near.groupBy(pair, "id_a").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id_b"))), 1, 2).alias("n"))
     first, second = F.get("n", F.lit(0)), F.get("n", F.lit(1))
     return best.filter(F.size("n") == 2).select(pair, "id_a", first["id_b"].alias("id_b"), first["d"].alias("d1"), second["d"].alias("d2")).filter(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orthomark.functions.geo import let
+from orthomark.session import spread
 
 # Limits of the alignment checks.
 MANUAL_POINTS = (4, 30)
@@ -140,7 +141,7 @@ def align_pairs(landmarks: DataFrame) -> DataFrame:
         return pd.DataFrame([row])
 
     columns = [c.split()[0] for c in FIT_TYPE.split(", ")]
-    fitted = usable.select("pair_id", "mode", "bx", "by", "ax", "ay").groupBy("pair_id", "mode").applyInPandas(fit, FIT_TYPE)
+    fitted = spread(usable.select("pair_id", "mode", "bx", "by", "ax", "ay"), "pair_id", "mode").groupBy("pair_id", "mode").applyInPandas(fit, FIT_TYPE)
     none = lambda kind: F.lit(None).cast(kind)
     refused = sizes.filter("reason IS NOT NULL").select(
         F.col("pair_id").cast("long").alias("pair_id"), "mode", none("array<double>").alias("matrix"), none("double").alias("registration_error_px"),

@@ -78,7 +78,7 @@ def _labelled(t):
 
 
 @query("s7_write_labels_csv", "detections map_polygons map_points label_edits", IDENTITY + EDITED + """
-SELECT CAST(object_id AS VARCHAR) AS object_id, coalesce(l.reviewed_label, concat(candidate_name, ' (candidate)'), concat(upper(concept[1]), substr(concept, 2), ' ', CAST(object_id AS VARCHAR))) AS label,
+SELECT CAST(object_id AS VARCHAR) AS object_id, coalesce(l.reviewed_label, candidate_name || ' (candidate)', concat(upper(concept[1]), substr(concept, 2), ' ', CAST(object_id AS VARCHAR))) AS label,
   concept AS visual_class, '' AS address, '' AS candidate_address, match_status, 'local "model" prediction' AS source FROM identified i LEFT JOIN last l ON i.object_id = l.edit_object""")
 def _(t):
     path = scratch_folder(t.spark, "labels")
@@ -146,8 +146,8 @@ def _(t):
 
 
 @query("flow_answer_requests", "query_log map_polygons", """
-, q AS (SELECT query_id, query_id % 150 AS scene_id, CASE query_id % 16 WHEN 1 THEN 'schools' WHEN 3 THEN 'hiking' END AS category FROM query_log WHERE query_id % 16 IN (1, 3))
-SELECT query_id, category, osm_type, osm_id, name FROM q JOIN map_polygons p ON p.scene_id = q.scene_id AND category = 'schools' AND tag_key = 'amenity' AND tag_value = 'school' AND x0 <= 400 AND y0 <= 400""")
+, q AS (SELECT query_id, query_id % 150 AS scene_id, CASE query_id % 16 WHEN 1 THEN 'schools' WHEN 3 THEN 'hiking' ELSE 'hospitals' END AS category FROM query_log WHERE query_id % 16 IN (1, 3, 12))
+SELECT query_id, category, osm_type, osm_id, name FROM q JOIN map_polygons p ON p.scene_id = q.scene_id AND tag_key = 'amenity' AND concat(tag_value, 's') = category AND x0 <= 400 AND y0 <= 400""")
 def _(t):
     k = F.col("query_id")
     box = {"x0": 0, "y0": 0, "x1": 400, "y1": 400}
@@ -185,11 +185,13 @@ def _(t):
 
 # --- streams ----------------------------------------------------------------------------
 
-def _stream(t, name, files=3, order="event_id"):
-    """The table split into a few files and read as a stream, a file per micro-batch."""
+def _stream(t, name):
+    """The table written in three steps by day of the month and read as a stream, so that
+    micro-batches arrive in time order."""
     folder = scratch_folder(t.spark, "stream-input")
     df = getattr(t, name)
-    df.repartitionByRange(files, order).write.parquet(folder)
+    for part in ("day(ts) <= 10", "day(ts) > 10 AND day(ts) <= 20", "day(ts) > 20"):
+        df.filter(part).coalesce(1).write.mode("append").parquet(folder)
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
@@ -221,7 +223,7 @@ SELECT request_id, t.request_text AS request_key, CAST(epoch_us(t.requested_at)
 FROM t JOIN fetches f ON t.request_text = f.request_text AND f.at <= t.requested_at GROUP BY request_id, t.request_text, t.requested_at""", recursive=True)
 def _(t):
     path = scratch_folder(t.spark, "responses")
-    log = _stream(t, "events", order="ts").select(F.col("event_id").alias("request_id"), F.col("ts").alias("requested_at"),
+    log = _stream(t, "events").select(F.col("event_id").alias("request_id"), F.col("ts").alias("requested_at"),
                                                  F.concat(F.col("user_id").cast("string"), F.lit("|"), F.col("event_type")).alias("request_text"))
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = t.spark.conf.get(provider)

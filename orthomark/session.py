@@ -59,3 +59,14 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     if shared:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     return tempfile.mkdtemp(prefix=f"orthomark-{name}-") + "/data"
+
+
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Hash-partition by ``keys`` into the configured number of partitions.
+
+    Adaptive execution sizes partitions by bytes and would run costly Python steps over small
+    rows in very few tasks; an explicit number is left alone, and a following grouping by the
+    same keys needs no further shuffle.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)

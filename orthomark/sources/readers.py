@@ -30,7 +30,7 @@ def geojson_geometry(kind, coordinates) -> Column:
              .when(k.isin("LineString", "MultiPoint"), F.array(F.array(line(F.from_json(text, "array<array<double>>")))))
              .when(k.isin("Polygon", "MultiLineString"), F.array(part(F.from_json(text, "array<array<array<double>>>"))))
              .when(k == "MultiPolygon", F.transform(F.from_json(text, "array<array<array<array<double>>>>"), part)))
-    return F.when(rings.isNotNull(), F.struct(k.alias("kind"), rings.alias("rings")))
+    return geo.let(F.struct(k.alias("kind"), rings.alias("rings")), lambda g: F.when(g["rings"].isNotNull(), g))
 
 
 def geojson_coordinates(geom) -> Column:

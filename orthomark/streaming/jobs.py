@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +68,7 @@ class FreshResponses(StatefulProcessor):
         self.last = handle.getValueState("last_fetch", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # The rows of one key and micro-batch; earlier micro-batches hold earlier requests.
+        # The rows of one key and micro-batch. A late request is served by the response held.
         batch = pd.concat(list(rows)).sort_values(["t", "request_id"])
         last = self.last.get()[0] if self.last.exists() else None
         times = batch["t"].to_numpy()
@@ -77,7 +78,7 @@ class FreshResponses(StatefulProcessor):
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(int((source[-1] + self.ttl_us) // 1000) + 1)
-        yield pd.DataFrame({"request_id": batch["request_id"], "request_key": key[0], "age_us": times - source})
+        yield pd.DataFrame({"request_id": batch["request_id"], "request_key": key[0], "age_us": np.maximum(times - source, 0)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
