@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthomark.operators.components import connected_components
+from orthomark.session import cut_lineage
 
 RUN_BLOCK = 256
 SCENE = ("scene_id",)
@@ -31,12 +32,13 @@ def pixels_of(runs: DataFrame, group: Sequence[str] = SCENE) -> DataFrame:
     return runs.select(*group, "prow", F.explode(F.sequence(F.col("c0"), F.col("c1") - 1)).alias("pcol"))
 
 
-def combine(layers: dict[str, DataFrame], keep, group: Sequence[str] = SCENE) -> DataFrame:
-    """Boolean algebra of several run tables in one shuffle.
+def pieces(layers: dict[str, DataFrame], value, group: Sequence[str] = SCENE) -> DataFrame:
+    """Several run tables laid over each other, in one shuffle: group, prow, c0, c1, value.
 
     Every run opens and closes at its ends; a running sum along the image row tells how many
-    runs of each layer are open between two ends. ``keep`` maps those counts (a dict of
-    columns) to a condition; kept pieces that touch are joined. Layers may overlap themselves.
+    runs of each layer are open between two ends. ``value`` maps those counts (a dict of
+    columns) to a column; neighbouring pieces of equal value are joined, NULL is left out.
+    Layers may overlap themselves.
     """
     group = list(group)
     names = list(layers)
@@ -47,19 +49,24 @@ def combine(layers: dict[str, DataFrame], keep, group: Sequence[str] = SCENE) ->
         part = runs.select(*group, "prow", ends.alias("e")).select(
             *group, "prow", _long("e.at").alias("at"), *[(F.col("e.d") if n == name else F.lit(0)).cast("long").alias(f"_d_{n}") for n in names])
         events = part if events is None else events.unionByName(part)
-    events = events.groupBy(*group, "prow", "at").agg(*[F.sum(f"_d_{n}").alias(f"_d_{n}") for n in names])
+    # Brought together by image row once; everything below keeps that partitioning.
+    events = events.repartition(*group, "prow").groupBy(*group, "prow", "at").agg(*[F.sum(f"_d_{n}").alias(f"_d_{n}") for n in names])
     line = Window.partitionBy(*group, "prow").orderBy("at")
     upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pieces = events.select(*group, "prow", F.col("at").alias("c0"), F.lead("at").over(line).alias("c1"),
-                           *[F.sum(f"_d_{n}").over(upto).alias(n) for n in names])
-    pieces = pieces.withColumn("_keep", F.coalesce(keep({n: F.col(n) for n in names}), F.lit(False)) & F.col("c1").isNotNull())
-    # A kept piece starts a run unless the piece before it was kept.
+    counted = events.select(*group, "prow", F.col("at").alias("c0"), F.lead("at").over(line).alias("c1"),
+                            *[F.sum(f"_d_{n}").over(upto).alias(n) for n in names])
+    counted = counted.withColumn("value", F.when(F.col("c1").isNotNull(), value({n: F.col(n) for n in names}))).drop(*names)
+    # A piece goes on from the one before it when both have the same value.
     line = Window.partitionBy(*group, "prow").orderBy("c0")
-    begins = F.col("_keep") & ~F.coalesce(F.lag("_keep").over(line), F.lit(False))
-    pieces = pieces.withColumn("_begin", begins).withColumn(
-        "_run", F.sum(F.col("_begin").cast("long")).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return (pieces.filter("_keep").groupBy(*group, "prow", "_run").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1"))
-            .select(*group, "prow", "c0", "c1"))
+    fresh = ~F.col("value").eqNullSafe(F.lag("value").over(line))
+    numbered = counted.withColumn("_new", fresh.cast("long")).withColumn("_run", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return (numbered.filter("value IS NOT NULL").groupBy(*group, "prow", "_run", "value").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1"))
+            .select(*group, "prow", "c0", "c1", "value"))
+
+
+def combine(layers: dict[str, DataFrame], keep, group: Sequence[str] = SCENE) -> DataFrame:
+    """Boolean algebra of run tables: the runs where ``keep`` of the layer counts holds."""
+    return pieces(layers, lambda n: F.when(keep(n), True), group).drop("value")
 
 
 def union_masks(runs: DataFrame, group: Sequence[str] = SCENE) -> DataFrame:
@@ -101,6 +108,7 @@ def _node() -> Column:
 def label_regions(runs: DataFrame, group: Sequence[str] = SCENE, connectivity: int = 8) -> DataFrame:
     """Maximal runs with the region they belong to (its first pixel, row * 2^32 + column)."""
     group = list(group)
+    runs = cut_lineage(runs.select(*group, "prow", "c0", "c1"))  # read for the edges and for the result
     reach = 1 if connectivity == 8 else 0
     blocks = F.sequence(F.floor((F.col("c0") - reach) / RUN_BLOCK), F.floor((F.col("c1") - 1 + reach) / RUN_BLOCK))
     keyed = runs.select(*group, "prow", "c0", "c1", _node().alias("node"), F.explode(blocks).alias("_b"))
