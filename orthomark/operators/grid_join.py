@@ -80,7 +80,9 @@ def overlapping_pairs(left: DataFrame, right: DataFrame, group: Sequence[str] =
         meet = meet & condition
     for clause in on:
         meet = clause & meet
-    joined = a.join(b, meet)
+    # Sizes before the expansion to cells mislead the planner into broadcasting a large side;
+    # a sort-merge join spills and has its hot partitions split.
+    joined = a.hint("merge").join(b, meet)
     return joined.drop(*[c for c in joined.columns if c.startswith(("_", "r__"))], *["r_" + g for g in group])
 
 

@@ -51,7 +51,10 @@ def read_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     Every file is one collection; large layers are kept as many files, as the writer makes them.
     """
-    files = spark.read.schema(_COLLECTION).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
+    # Whole text, then from_json: the JSON source cuts out nested text by searching from the
+    # start of the file each time.
+    text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    files = text.withColumn("_d", F.from_json("value", _COLLECTION)).select("_d.*", "file")
     reason = (F.when(~F.coalesce(F.col("type") == "FeatureCollection", F.lit(False)) | F.col("features").isNull(), "not a feature collection")
               .when(F.col("coordinate_space").isNotNull(), "pixel coordinates")
               .when(~F.coalesce(F.col("crs").rlike("4326|CRS84"), F.lit(True)), "not WGS84"))
