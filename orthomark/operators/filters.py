@@ -79,16 +79,24 @@ def has_address(address="address", candidate_address="candidate_address", eviden
     return known | F.coalesce(listed, F.lit(False))
 
 
-def filter_results(df: DataFrame, mode: str = "all", addressed: Column | None = None) -> DataFrame:
-    """Modes rejected, all, has_address, missing_address; all but the first drop rejected rows."""
+RESULT_MODES = ("rejected", "all", "has_address", "missing_address")
+
+
+def result_condition(mode: str = "all", addressed: Column | None = None) -> Column:
+    """What a result mode shows; all but ``rejected`` leave rejected rows out."""
+    if mode not in RESULT_MODES:
+        raise ValueError(f"choose one of {RESULT_MODES}")
     rejected = F.coalesce(F.col("rejected"), F.lit(False))
     if mode == "rejected":
-        return df.filter(rejected)
-    kept = df.filter(~rejected)
+        return rejected
     if mode == "all":
-        return kept
+        return ~rejected
     addressed = has_address() if addressed is None else addressed
-    return kept.filter(addressed if mode == "has_address" else ~addressed)
+    return ~rejected & (addressed if mode == "has_address" else ~addressed)
+
+
+def filter_results(df: DataFrame, mode: str = "all", addressed: Column | None = None) -> DataFrame:
+    return df.filter(result_condition(mode, addressed))
 
 
 def filter_score(df: DataFrame, threshold: float) -> DataFrame:

@@ -65,8 +65,11 @@ def percentile_stretch(pixels: DataFrame, bands: int, low: float = 2, high: floa
     """8-bit display values: 0 on invalid pixels and on flat bands, else stretched between the
     percentiles of the pixels valid in all bands, truncated. 8-bit input is kept as it is."""
     at = [*keys, "prow", "pcol"]
-    valid = valid_pixels(pixels, bands, keys)
-    marked = pixels.join(valid, at)
+    # The bands of a pixel are brought together once, which also tells whether it is valid.
+    good = is_finite("value")
+    together = pixels.groupBy(*at).agg((F.bool_and(good) & (F.count_if(good) == bands)).alias("valid"),
+                                       F.collect_list(F.struct("band", "value")).alias("_v"))
+    marked = together.select(*at, "valid", F.inline("_v"))
     if eight_bit:
         kept = F.when(F.col("valid"), F.col("value")).otherwise(0).cast("long")
         return marked.select(*keys, "band", "prow", "pcol", kept.alias("value"))

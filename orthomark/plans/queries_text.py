@@ -145,11 +145,8 @@ WHERE CASE mode WHEN 'rejected' THEN coalesce(rejected, false) WHEN 'all' THEN N
 def _(t):
     reviewed = _reviewed(t)
     addressed = filters.has_address(evidence=None) | (F.col("evidence_addresses") > 0)
-    out = None
-    for mode in ("rejected", "all", "has_address", "missing_address"):
-        part = filters.filter_results(reviewed, mode, addressed).select(F.lit(mode).alias("mode"), "object_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    modes = F.array(*[F.when(filters.result_condition(m, addressed), m) for m in filters.RESULT_MODES])
+    return reviewed.select(F.explode(modes).alias("mode"), "object_id").filter("mode IS NOT NULL")
 
 
 @query("p5_has_address", "detections map_polygons map_points", IDENTITY + "SELECT object_id, evidence_addresses > 0 AS has_address FROM identified")
