@@ -77,14 +77,14 @@ def connected_components(edges: DataFrame, group: Sequence[str], max_rounds: int
         # Settled once it is a star forest: no node hangs on two roots, no root hangs on another.
         roots = current.select(*group, F.col("b").alias("a")).distinct()
         twice = current.groupBy(*group, "a").count().filter("count > 1").select(*group, "a")
-        if twice.unionByName(current.select(*group, "a").join(roots, [*group, "a"], "left_semi")).isEmpty():
+        if twice.unionByName(current.select(*group, "a").hint("merge").join(roots, [*group, "a"], "left_semi")).isEmpty():
             break
         both = current.select(*group, "a", "b").unionByName(current.select(*group, F.col("b").alias("a"), F.col("a").alias("b")))
         smallest = both.groupBy(*group, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = (both.filter("b > a").join(smallest, [*group, "a"])
+        large = (both.filter("b > a").hint("merge").join(smallest, [*group, "a"])
                  .select(*group, F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
         down = large.groupBy(*group, "a").agg(F.min("b").alias("m"))
-        small = (large.join(down, [*group, "a"]).select(*group, F.explode(F.array(
+        small = (large.hint("merge").join(down, [*group, "a"]).select(*group, F.explode(F.array(
             F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select(*group, "e.a", "e.b").filter("a <> b").distinct())
         current = cut_lineage(small)

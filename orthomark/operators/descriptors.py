@@ -44,9 +44,9 @@ def match_descriptors(before: DataFrame, after: DataFrame, ratio: float = 0.72,
 
     counts = blocks(before, "_na").join(blocks(after, "_nb"), pair)
     home = F.pmod(F.xxhash64("id"), F.lit(2147483647))
-    a = (before.select(pair, "id", payload).join(counts, pair)
+    a = (before.select(pair, "id", payload).hint("merge").join(counts, pair)
          .withColumn("_ca", F.pmod(home, F.col("_na")).cast("int")).withColumn("_cb", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))))
-    b = (after.select(pair, "id", payload).join(counts, pair)
+    b = (after.select(pair, "id", payload).hint("merge").join(counts, pair)
          .withColumn("_cb", F.pmod(home, F.col("_nb")).cast("int")).withColumn("_ca", F.explode(F.sequence(F.lit(0), F.col("_na") - 1))))
     keys = [pair, "_ca", "_cb"]
     kind = before.schema[pair].dataType.simpleString()

@@ -32,7 +32,7 @@ def top_places(searches: DataFrame, places: DataFrame, k: int = TOP_PLACES) -> D
     s = searches.select("search_id", "cx", "cy", tokens_of("text").alias("_qt")).withColumn("_w", F.explode("_qt"))
     p = places.select("place_id", "x", "y", tokens_of("text").alias("_pt")).withColumn("_w", F.explode("_pt"))
     shared = F.array_intersect("_qt", "_pt")
-    pairs = s.join(p, "_w").withColumn("_s", shared).filter(F.array_min("_s") == F.col("_w"))
+    pairs = s.hint("merge").join(p, "_w").withColumn("_s", shared).filter(F.array_min("_s") == F.col("_w"))
     distance = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
     ranked = pairs.select("search_id", "place_id", F.size("_s").cast("long").alias("shared_words"), distance.alias("distance2"))
     order = Window.partitionBy("search_id").orderBy(F.col("shared_words").desc(), "distance2", "place_id")
@@ -84,7 +84,7 @@ def fresh_responses(log: DataFrame, ttl_seconds: float = RESPONSE_TTL_SECONDS, k
     line = Window.partitionBy("_key").orderBy("_slot")
     pause = F.col("_first") - F.lag("_last").over(line) >= F.lit(ttl)
     slots = slots.withColumn("_pause", F.coalesce(pause.cast("long"), F.lit(0))).withColumn("_session", F.sum("_pause").over(line))
-    tagged = rows.join(slots.select("_key", "_slot", "_session"), ["_key", "_slot"])
+    tagged = rows.hint("merge").join(slots.select("_key", "_slot", "_session"), ["_key", "_slot"])
     walk = tagged.select("_key", "_session", "_t", "_id").repartition("_key", "_session").sortWithinPartitions("_key", "_session", "_t", "_id")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -116,10 +116,10 @@ def label_regions(runs: DataFrame, group: Sequence[str] = SCENE, connectivity: i
                          F.col("node").alias("up"), "_b")
     meet = (F.col("c0") < F.col("u1") + reach) & (F.col("u0") < F.col("c1") + reach)
     once = F.floor(F.greatest("c0", "u0") / RUN_BLOCK) == F.col("_b")
-    edges = keyed.join(above, [*group, "prow", "_b"]).filter(meet & (once | F.lit(reach == 1))).select(
+    edges = keyed.hint("merge").join(above, [*group, "prow", "_b"]).filter(meet & (once | F.lit(reach == 1))).select(
         *group, F.col("node").alias("a"), F.col("up").alias("b"))
     component = connected_components(edges, group)
-    labelled = runs.withColumn("node", _node()).join(component, [*group, "node"], "left")
+    labelled = runs.withColumn("node", _node()).hint("merge").join(component, [*group, "node"], "left")
     return labelled.select(*group, "prow", "c0", "c1", F.coalesce("component", "node").alias("region"))
 
 
@@ -128,7 +128,7 @@ def remove_small(runs: DataFrame, minimum: int, group: Sequence[str] = SCENE) ->
     group = list(group)
     labelled = label_regions(runs, group, 8)
     large = labelled.groupBy(*group, "region").agg(F.sum(F.col("c1") - F.col("c0")).alias("n")).filter(F.col("n") >= minimum)
-    return labelled.join(large.select(*group, "region"), [*group, "region"], "left_semi").select(*group, "prow", "c0", "c1")
+    return labelled.hint("merge").join(large.select(*group, "region"), [*group, "region"], "left_semi").select(*group, "prow", "c0", "c1")
 
 
 def detect_changes(before: DataFrame, after: DataFrame, valid: DataFrame, width, height, tolerance: int = 1,

@@ -27,7 +27,7 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[Column],
         F.coalesce(F.sum(f"_sum_{n}").over(ahead), F.lit(0)).alias(f"_lift_{n}") for n in totals])
     inside = Window.partitionBy("_piece", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = pieces.select("*", *[F.sum(v).over(inside).alias(f"_part_{n}") for n, v in totals.items()])
-    joined = summed.join(lifts, [*group, "_piece"])
+    joined = summed.hint("merge").join(lifts, [*group, "_piece"])
     return joined.select(*df.columns, *[(F.col(f"_part_{n}") + F.col(f"_lift_{n}")).alias(n) for n in totals])
 
 

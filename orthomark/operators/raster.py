@@ -117,7 +117,7 @@ def warp(pixels: DataFrame, targets: DataFrame, value_columns: Sequence[str] = (
         wanted = at.select(*keys, "prow", "pcol", F.explode(corners).alias("k")).select(
             *keys, "prow", "pcol", F.col("k.c").alias("_c"), F.col("k.r").alias("_r"), F.col("k.w").alias("_w"))
     source = pixels.select(*keys, F.col("prow").cast("long").alias("_r"), F.col("pcol").cast("long").alias("_c"), *value_columns)
-    found = wanted.join(source, [*keys, "_r", "_c"])
+    found = wanted.hint("merge").join(source, [*keys, "_r", "_c"])
     return found.groupBy(*keys, "prow", "pcol").agg(*[F.sum(F.col("_w") * F.col(v)).alias(v) for v in value_columns])
 
 
