@@ -38,6 +38,7 @@ SHINGLE, ROWS, BANDS, BITS = 5, 5, 36, 2
 HASHES = ROWS * BANDS
 LINK = (85, 100)
 TILE = 1536
+SALTS = 32
 #: Estimates this much under the threshold are still confirmed: five standard errors of the estimator.
 MARGIN = 0.16
 
@@ -197,9 +198,13 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
     edges = rows.join(hubs, "key").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = cut_lineage(connected_components(edges, []).withColumnRenamed("component", "cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    placed = (clusters.join(sizes, "cluster").withColumn("part", part)
+    # Members of a large cluster meet its size in SALTS places, so that none of them gets all.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")).filter("parts > 1").select("cluster", "parts", salts)
+    place = F.xxhash64("node")
+    placed = (clusters.withColumn("salt", F.pmod(place, F.lit(SALTS)).cast("int")).join(sizes, ["cluster", "salt"], "left")
+              .withColumn("parts", F.coalesce("parts", F.lit(1)))
+              .withColumn("part", F.pmod(F.shiftright(place, 8), F.col("parts")).cast("int")).drop("salt")
               .join(classes.select(F.col("rep").alias("node"), "signature", "digest"), "node"))
     # A member meets its own part once and every other part in one tile; i <= j.
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")

@@ -230,22 +230,22 @@ class Scanner:
         return states[:len(data)]
 
     def _read(self, data: np.ndarray, state: int) -> np.ndarray:
-        out, rows = [], self.all.step.tolist()
+        out, step = [], memoryview(self.all.step.ravel())
         for byte in data.tolist():
-            state = rows[state][byte]
+            state = step[state << 8 | byte]
             out.append(state)
         return np.array(out, np.uint16)
 
     def _longest(self, rule: int, data: bytes, at: int) -> int:
         """End of the longest match of one rule that starts at ``at``, or -1."""
         machine = self.single[rule]
-        dead = machine.accepts.tolist()
+        step, accepts, idle = memoryview(machine.step.ravel()), machine.accepts.tolist(), machine.idle.tolist()
         state, end = 0, -1
         for k in range(at, len(data)):
-            state = int(machine.step[state, data[k]])
-            if dead[state]:
+            state = step[state << 8 | data[k]]
+            if accepts[state]:
                 end = k + 1
-            elif machine.idle[state] and not dead[state]:  # nothing is left of the rule: the dead state
+            elif idle[state]:  # nothing of the rule is under way any more
                 break
         return end
 
@@ -263,19 +263,16 @@ class Scanner:
             runs = np.stack([hit[np.concatenate([[0], cut + 1])], hit[np.concatenate([cut, [len(hit) - 1]])] + 1], axis=1)
             before = np.searchsorted(idle, runs[:, 0])
             starts = np.where(before > 0, idle[np.maximum(before - 1, 0)] + 1 if len(idle) else 0, 0)
-            done = 0
-            for start, end in zip(starts.tolist(), runs[:, 1].tolist()):
-                at, piece = max(start, done), data[:end].tobytes() if end < 4096 else None
-                low = 0 if piece is not None else max(start, done)
-                piece = piece if piece is not None else data[low:end].tobytes()
-                while at < end:
-                    to = self._longest(rule, piece, at - low)
+            # Runs without an idle byte between them are one region.
+            apart = np.concatenate([[True], starts[1:] >= runs[:-1, 1]])
+            last = np.concatenate([np.flatnonzero(apart)[1:] - 1, [len(runs) - 1]])
+            for low, high in zip(starts[apart].tolist(), runs[last, 1].tolist()):
+                piece, at = data[low:high].tobytes(), 0
+                while at < len(piece):
+                    to = self._longest(rule, piece, at)
                     if to >= 0:
-                        found.append((at, to + low, rule))
-                        at = to + low
-                    else:
-                        at += 1
-                done = max(done, at)
+                        found.append((low + at, low + to, rule))
+                    at = to if to >= 0 else at + 1
         return sorted(found)
 
 
