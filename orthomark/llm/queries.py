@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthomark.llm import decontamination, minhash
+from orthomark.llm import decontamination, minhash, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,38 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_i
 FROM (SELECT d AS doc_id, min(r) AS component_id FROM reach GROUP BY d) LEFT JOIN sizes USING (doc_id)""")
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def spans_sql(kinds: dict[str, tuple[str, str]], base: tuple[str, ...]) -> str:
+    """SQL of the span queries: ``kinds`` maps a kind to its regex and the test of a match ``m``."""
+    parts = []
+    for order, (kind, (pattern, test)) in enumerate(kinds.items()):
+        quoted = pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, '{kind}' AS kind, {order} AS ord, m, before + list_sum(list_transform(p[1:i], lambda x: length(x))) AS s FROM (
+  SELECT doc_id, p, i, a[i] AS m, coalesce(list_sum(list_transform(a[1:i-1], lambda x: length(x))), 0) AS before
+  FROM (SELECT doc_id, regexp_split_to_array(text, '{quoted}') AS p, regexp_extract_all(text, '{quoted}') AS a,
+               unnest(range(1, len(regexp_extract_all(text, '{quoted}')) + 1)) AS i FROM documents))
+  WHERE {test}""")
+    listed = "string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(m) AS BIGINT), ',' ORDER BY s, ord)"
+    is_base = "kind IN (" + ", ".join(f"'{k}'" for k in base) + ")"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in base)
+    return ("WITH spans AS (" + "\nUNION ALL\n".join(parts) + f"), found AS (SELECT doc_id, {counts}, {listed} FILTER ({is_base}) AS b, {listed} AS a FROM spans GROUP BY doc_id)\n"
+            f"SELECT doc_id, {', '.join(f'CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}' for k in base)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans "
+            "FROM documents LEFT JOIN found USING (doc_id)")
+
+
+def number_of(kind: str, spans: str = "spans") -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+SECRET_VALUE = r"regexp_extract(m, '(?i)^(?:password|passwd|secret|token|api_?key)[\"'']? *[:=] *[\"'']?(.*)$', 1)"
+
+
+@query("op4_secrets", sql=spans_sql({
+    kind: (r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]+" if kind == "assign" else pattern,
+           f"length({SECRET_VALUE}) >= {least}" if kind == "assign" else f"length(m) >= {least}")
+    for kind, (pattern, least) in {**secret_scan.BASE_RULES, **secret_scan.MORE_RULES}.items()}, tuple(secret_scan.BASE_RULES)))
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_RULES))
+    return found.select("doc_id", *[number_of(kind).alias(f"n_{kind}") for kind in secret_scan.BASE_RULES], F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
