@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthomark.llm import decontamination, minhash, secret_scan
+from orthomark.llm import decontamination, minhash, pii, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,8 +84,8 @@ def spans_sql(kinds: dict[str, tuple[str, str]], base: tuple[str, ...]) -> str:
             "FROM documents LEFT JOIN found USING (doc_id)")
 
 
-def number_of(kind: str, spans: str = "spans") -> Column:
-    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+def number_of(kind: str | int, spans: str = "spans", field: str = "kind") -> Column:
+    return F.size(F.filter(spans, lambda s: s[field] == kind)).cast("long")
 
 
 SECRET_VALUE = r"regexp_extract(m, '(?i)^(?:password|passwd|secret|token|api_?key)[\"'']? *[:=] *[\"'']?(.*)$', 1)"
@@ -99,3 +99,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_RULES))
     return found.select("doc_id", *[number_of(kind).alias(f"n_{kind}") for kind in secret_scan.BASE_RULES], F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
+
+
+@query("op1_pii")
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[number_of(k, "base", "ord").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)],
+                        F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
