@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthomark.llm import decontamination, minhash, packing, pii, secret_scan
+from orthomark.llm import decontamination, minhash, packing, pii, secret_scan, token_files
+from orthomark.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +112,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op5_tokens")
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_folder(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), folder)
+    return token_files.checksums(spark, folder)
