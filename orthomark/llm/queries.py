@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthomark.llm import decontamination, minhash, packing, pii, secret_scan, token_files
+from orthomark.llm import decontamination, minhash, neighbours, packing, pii, secret_scan, token_files
 from orthomark.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,14 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark, "tokens")
     token_files.write(table(spark, sf_dir, "documents"), folder)
     return token_files.checksums(spark, folder)
+
+
+@query("op8_neighbours", sql="""
+WITH usable AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+                WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+           FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND q.vec_id % 20 = 0 AND len(q.v) = len(c.v))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20""")
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
