@@ -12,6 +12,7 @@ with other white space, goes through the whole library.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,14 +46,29 @@ def byte_letters() -> dict[int, int]:
 
 
 class _Table(dict):
-    """Numbers of pieces; an unknown piece gets its number when it is asked for."""
+    """Numbers of pieces; an unknown piece is encoded and gets the next number when it is asked for."""
 
-    def __init__(self, number):
-        self.number = number
+    def __init__(self, encoder: Encoder, blank: str):
+        self.lengths, self.ids = encoder.lengths, encoder.ids
+        self.tokenize, self.letters, self.other = encoder.model.tokenize, encoder.letters, encoder.other_piece
+        self.blank, self.lower = blank, not encoder.blanks_kept
+        self.mark = "\u0120" if blank else ""
 
     def __missing__(self, word: str) -> int:
-        found = self[word] = self.number(word)
-        return found
+        if word.isalpha() and (word.isascii() or max(word) < "\u0100"):  # most pieces: letters of Latin-1
+            written = word.lower() if self.lower else word
+            if not word.isascii():
+                written = written.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.tokenize(self.mark + written)]
+        else:
+            ids = self.other(word, self.blank)
+            if ids is None:
+                self[word] = -1
+                return -1
+        number = self[word] = len(self.lengths)
+        self.lengths.append(len(ids))
+        self.ids.extend(ids)
+        return number
 
 
 class Encoder:
@@ -67,11 +83,10 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        #: Number of a piece that follows a blank, and of a first one; -1 if white space starts or ends it.
-        self.known = _Table(self._after_blank)
-        self.first = _Table(lambda word: self._number(word, ""))
-        self.fresh: list[list[int]] = []
-        self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        #: Ids of all pieces, one after the other, and how many each has.
+        self.ids, self.lengths = array("I"), array("q")
+        #: Numbers of pieces that follow a blank, and of first ones; -1 if white space starts or ends it.
+        self.known, self.first = _Table(self, " " if self.blanks_kept else ""), _Table(self, "")
         self.runs.clear()
 
     def whole(self, text: str) -> list[int]:
@@ -100,22 +115,16 @@ class Encoder:
                 out += self._run(run.lower())
         return out
 
-    def _after_blank(self, word: str) -> int:
+    def other_piece(self, word: str, blank: str) -> list[int] | None:
+        """Ids of a piece that is no plain word; None if white space starts or ends it."""
+        before: list[int] = []
         if word[:1] == "\1":  # cut off before a dot or comma
-            return self._number(word[1:], "")
-        if word[:1] == "\2":  # cut off before a line end
-            return self._number(word[1:], "", "\n")
-        return self._number(word, " " if self.blanks_kept else "")
-
-    def _number(self, word: str, blank: str, before: str = "") -> int:
-        if word.isalpha() and word.isascii() and not before:  # most pieces
-            written = "\u0120" + word if blank else word
-            self.fresh.append([t.id for t in self.model.tokenize(written if self.blanks_kept else word.lower())])
-            return len(self.lengths) + len(self.fresh) - 1
+            word, blank = word[1:], ""
+        elif word[:1] == "\2":  # cut off before a line end
+            word, blank, before = word[1:], "", self._run("\n")
         if not word or word[0].isspace() or word[-1].isspace():
-            return -1
-        self.fresh.append([*(self._run(before) if before else ()), *self._piece(word, blank)])
-        return len(self.lengths) + len(self.fresh) - 1
+            return None
+        return [*before, *self._piece(word, blank)]
 
     def _words(self, text: str) -> list[str]:
         raw = text.encode()
@@ -138,25 +147,22 @@ class Encoder:
         if len(self.known) + len(self.first) > REMEMBERED:
             self._forget()
         known = self.known.__getitem__
-        numbers: list[np.ndarray | None] = []
+        numbers = []
         for text in texts:
             words = self._words(text)
-            own = list(map(known, words))
+            own = np.fromiter(map(known, words), np.int64, len(words))
             if self.blanks_kept:  # the first piece has no blank before it
                 own[0] = self.first[words[0]]
-            numbers.append(None if -1 in own else np.array(own, np.int64))
-        if self.fresh:
-            self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, self.fresh), np.int64, len(self.fresh))])
-            self.ids = np.concatenate([self.ids, np.array([i for ids in self.fresh for i in ids], np.uint32)])
-            self.fresh = []
-        firsts = np.concatenate([[0], np.cumsum(self.lengths)])
+            numbers.append(own)
+        known_lengths, ids = np.array(self.lengths), np.array(self.ids)
+        firsts = np.concatenate([[0], np.cumsum(known_lengths)])
         for text, own in zip(texts, numbers):
-            if own is None:
+            if len(own) and own.min() < 0:
                 yield np.array(self.whole(text), np.uint32)
                 continue
-            lengths = self.lengths[own]
+            lengths = known_lengths[own]
             ends = np.cumsum(lengths)
-            yield self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(firsts[own] - (ends - lengths), lengths)]
+            yield ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(firsts[own] - (ends - lengths), lengths)]
 
 
 def batches_of(texts: list[str], size: int = 2_000_000) -> Iterator[list[str]]:
