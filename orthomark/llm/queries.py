@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthomark.llm import decontamination, minhash, neighbours, packing, pii, quality, secret_scan, token_files, toxicity
+from orthomark.llm import decontamination, html_text, minhash, neighbours, packing, pii, quality, secret_scan, token_files, toxicity
 from orthomark.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = quality.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return kept.select("doc_id", "n_grams", "log_weight", "sample_key")
+
+
+@query("op9_html")
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
