@@ -23,8 +23,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of every group of near-duplicates."""
-    return minhash.keep_one(docs)
+    """One document, that of the smallest id, of every group of near-duplicates: similarity .8 or more."""
+    return minhash.keep_one(docs, link=(80, 100))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

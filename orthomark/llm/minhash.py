@@ -6,7 +6,7 @@
 2. Copies with equal sets become one representative (partial aggregation by a 128-bit digest).
 3. Each band bucket ties its representatives to its smallest one, so that candidates form
    clusters; no pair inside a bucket is written. A pair at the threshold .85 shares no bucket
-   with a chance of (1 - .85^5)^36 < 1e-9.
+   with a chance of (1 - .85^5)^36 < 1e-9 (at .8: < 1e-6).
 4. Clusters are compared inside tasks: in tiles of at most ``TILE`` x ``TILE`` representatives, a large
    cluster in as many tiles as it needs. Bit counts of the packed signatures estimate the
    similarity, corrected for chance agreement; pairs that are not yet connected and whose
@@ -163,28 +163,31 @@ def confirm(codes: np.ndarray, bounds: np.ndarray, packed: np.ndarray, left: np.
     return found
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compare(link: tuple[int, int]):
     """Rows of whole tiles (cluster, i, j, part, node, signature, text) to confirmed links (a, b)."""
-    for frame, starts in whole_groups(batches, ["cluster", "i", "j"]):
-        sets, at, total = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
-        for _, _, words in W.word_steps(pa.array(frame["text"], pa.large_string()), W.SPACED):
-            codes, bounds = shingle_sets(words)
-            sets.append(codes)
-            at.append(bounds[1:] + total)
-            total += int(bounds[-1])
-        codes, bounds = np.concatenate(sets), np.concatenate(at)
-        packed = np.frombuffer(b"".join(frame["signature"]), np.uint64).reshape(len(frame), -1)
-        nodes, parts, ones, others = (frame[c].to_numpy() for c in ("node", "part", "i", "j"))
-        out = []
-        for s, e in zip(starts[:-1], starts[1:]):
-            if ones[s] == others[s]:
-                left = right = np.arange(e - s)
-            else:
-                left, right = np.flatnonzero(parts[s:e] == ones[s]), np.flatnonzero(parts[s:e] == others[s])
-            forest = confirm(codes[bounds[s]:bounds[e]], bounds[s:e + 1] - bounds[s], packed[s:e], left, right)
-            out.extend((nodes[s + x], nodes[s + y]) for x, y in forest)
-        if out:
-            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, starts in whole_groups(batches, ["cluster", "i", "j"]):
+            sets, at, total = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+            for _, _, words in W.word_steps(pa.array(frame["text"], pa.large_string()), W.SPACED):
+                codes, bounds = shingle_sets(words)
+                sets.append(codes)
+                at.append(bounds[1:] + total)
+                total += int(bounds[-1])
+            codes, bounds = np.concatenate(sets), np.concatenate(at)
+            packed = np.frombuffer(b"".join(frame["signature"]), np.uint64).reshape(len(frame), -1)
+            nodes, parts, ones, others = (frame[c].to_numpy() for c in ("node", "part", "i", "j"))
+            out = []
+            for s, e in zip(starts[:-1], starts[1:]):
+                if ones[s] == others[s]:
+                    left = right = np.arange(e - s)
+                else:
+                    left, right = np.flatnonzero(parts[s:e] == ones[s]), np.flatnonzero(parts[s:e] == others[s])
+                forest = confirm(codes[bounds[s]:bounds[e]], bounds[s:e + 1] - bounds[s], packed[s:e], left, right, link)
+                out.extend((nodes[s + x], nodes[s + y]) for x, y in forest)
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return task
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -192,7 +195,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketch, SKETCH)
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     """Confirmed links (a, b) between class representatives: a spanning forest of each tile."""
     rows = classes.select(F.col("rep").alias("node"), F.explode("bands").alias("key"))
     hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
@@ -211,17 +214,18 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).filter("node is not null")
     tiles = (placed.join(texts, "node").dropDuplicates(["node"]).select("cluster", "part", "node", "signature", "text", other)
              .select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "signature", "text"))
-    return cut_lineage(arranged(tiles, ["cluster", "i", "j"], [F.col("node")]).mapInPandas(_compare, "a long, b long"))
+    return cut_lineage(arranged(tiles, ["cluster", "i", "j"], [F.col("node")]).mapInPandas(_compare(link), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id long, text)."""
+def near_duplicates(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text). Documents are linked
+    with link[1] * intersection >= link[0] * union, a share of .8 or more (the bands are made for that)."""
     sketched = cut_lineage(sketches(docs))
     classes = cut_lineage(
         sketched.filter("digest is not null and doc_id is not null").groupBy("digest")
         .agg(F.min(F.struct("doc_id", "bands", "signature")).alias("s"))
         .select("digest", F.col("s.doc_id").alias("rep"), "s.bands", "s.signature"))
-    forest = links(docs, classes)
+    forest = links(docs, classes, link)
     components = connected_components(forest, []).select(F.col("node").alias("rep"), F.col("component"))
     member = (classes.select("digest", "rep").join(components, "rep", "left")
               .select("digest", F.coalesce("component", "rep").alias("component")))
@@ -231,8 +235,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     """One document of every group of near-duplicates, as it is: the one with the smallest id."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id")
+    gone = near_duplicates(docs, link).filter("not kept").select("doc_id")
     return docs.hint("merge").join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
