@@ -82,7 +82,7 @@ def concept_of(text) -> Column:
     concept = F.coalesce(F.nullif(known, F.lit("")), F.regexp_replace(query, FLAGS + CONCEPT_VERB, ""))
     for word in (" in ", " near ", " around "):
         concept = F.when(query.rlike(FLAGS + AREA), F.substring_index(concept, word, 1)).otherwise(concept)
-    return F.substring(concept, 1, MAX_PROMPT)
+    return concept
 
 
 def address_of(text) -> Column:
@@ -96,9 +96,8 @@ def request_reason(text) -> Column:
 
 
 def parse_request(text) -> Column:
-    """The plan struct of a request; NULL when the text is empty or over 1000 characters."""
-    raw = _c(text)
-    query = stripped(raw)
+    """The plan struct of a request; NULL only when the text is empty (``request_reason`` marks long ones)."""
+    query = stripped(_c(text))
     lower = F.lower(query)
     category, tag = category_of(query), _extract(query, TAG)
     visual = lower.rlike(FLAGS + VISUAL)
@@ -108,7 +107,7 @@ def parse_request(text) -> Column:
             .when(lower.rlike(FLAGS + MISSING_ADDRESS), "filter").when(lower.rlike(FLAGS + ENRICH_VERB) & lower.rlike(FLAGS + ENRICH_OBJECT), "enrich")
             .when(lower.rlike(FLAGS + COMPARE), "compare").when(lower.rlike(FLAGS + ROUTE), "route")
             .when(visual & site, "site").when(visual, "segment").when(mapped, "features").otherwise("address"))
-    return F.when(request_reason(raw).isNull(), geo.let(
+    return F.when(query != "", geo.let(
         F.struct(rule.alias("rule"), query.alias("query")), lambda r: _plan(r["rule"], r["query"])))
 
 

@@ -46,7 +46,7 @@ def _star(edges: pd.DataFrame, group: list[str]) -> pd.DataFrame:
     return star[star["a"] != star["b"]]
 
 
-def connected_components(edges: DataFrame, group: Sequence[str], max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, group: Sequence[str]) -> DataFrame:
     """(group, node, component) for every node with an edge; component = smallest node id.
 
     ``edges`` has the group columns and two long node ids ``a``, ``b``, unique within a group.
@@ -70,10 +70,11 @@ def connected_components(edges: DataFrame, group: Sequence[str], max_rounds: int
         if held and size:
             yield _star(pd.concat(held), group)
 
-    # A block of the group's node range keeps a huge group spread over many tasks.
-    block = F.shiftright("a", 40)
-    current = cut_lineage(spread(base, *group, block).mapInPandas(contract, schema))
-    for _ in range(max_rounds):
+    # Blocks of the group's node range keep a huge group spread over many tasks. Ids hold a row or window
+    # in their high half and a column or instance in the low one; both are cut.
+    blocks = (F.shiftright("a", 40), F.shiftright(F.col("a").bitwiseAND(0xFFFFFFFF), 12))
+    current = cut_lineage(spread(base, *group, *blocks).mapInPandas(contract, schema))
+    while True:
         # Settled once it is a star forest: no node hangs on two roots, no root hangs on another.
         roots = current.select(*group, F.col("b").alias("a")).distinct()
         twice = current.groupBy(*group, "a").count().filter("count > 1").select(*group, "a")
@@ -88,8 +89,6 @@ def connected_components(edges: DataFrame, group: Sequence[str], max_rounds: int
             F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select(*group, "e.a", "e.b").filter("a <> b").distinct())
         current = cut_lineage(small)
-    else:
-        raise RuntimeError("components did not settle")
     members = current.select(*group, F.col("a").alias("node"), F.col("b").alias("component"))
     heads = current.select(*group, F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return members.unionByName(heads)

@@ -17,10 +17,11 @@ from orthomark.session import spread
 
 
 def sign_code(vector) -> Column:
-    """One 64-bit word with a bit per positive element."""
+    """64-bit words with a bit per positive element, one word for every 64 elements begun."""
     v = F.col(vector) if isinstance(vector, str) else vector
-    return F.array(F.aggregate(F.slice(v, F.lit(1), F.lit(64)), F.lit(0).cast("long"),
-                               lambda word, x: F.shiftleft(word, 1).bitwiseOR((x > 0).cast("long"))))
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(64))
+    return F.transform(firsts, lambda first: F.aggregate(F.slice(v, first, F.lit(64)), F.lit(0).cast("long"),
+                                                         lambda word, x: F.shiftleft(word, 1).bitwiseOR((x > 0).cast("long"))))
 
 
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:

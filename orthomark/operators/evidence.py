@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orthomark.functions import geometry, labels
 from orthomark.functions.numbers import round_exact
 from orthomark.functions.ring_overlap import local_iou
+from orthomark.operators.filters import in_category
 from orthomark.operators.grid_join import box_iou, overlapping_pairs
 
 # Smallest overlap that counts as evidence, and as a tentative identity.
@@ -144,13 +145,14 @@ def containing_buildings(selected: DataFrame, buildings: DataFrame, cell: float
     """Building polygons covering a selected point record.
 
     ``selected``: lookup_id, scene_id, kind, x0, y0, name, address. Only lookups that resolve
-    to exactly one point are used.
+    to exactly one point are used. Of the records in ``buildings`` (with ``tags``) only those of the
+    category buildings count.
     """
     single = selected.groupBy("lookup_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").drop("_n")
     points = (selected.filter(F.col("kind") == "Point").join(single, "lookup_id", "left_semi")
               .withColumn("x1", F.col("x0")).withColumn("y1", F.col("y0")))
     pairs = overlapping_pairs(points.select("scene_id", "lookup_id", "name", "address", "x0", "y0", "x1", "y1"),
-                              buildings.select("scene_id", "osm_type", "osm_id", "name", "x0", "y0", "x1", "y1"),
+                              buildings.filter(in_category("tags", "buildings")).select("scene_id", "osm_type", "osm_id", "name", "x0", "y0", "x1", "y1"),
                               cell=cell, levels=levels)
     return pairs.select("lookup_id", F.col("r_osm_type").alias("osm_type"), F.col("r_osm_id").alias("osm_id"),
                         F.col("r_name").alias("name"), F.lit(labels.CONTAINS_SELECTED).alias("match_status"),

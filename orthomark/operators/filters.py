@@ -25,7 +25,6 @@ CATEGORY_RULES: dict[str, tuple[tuple[str, str | None], ...]] = {
         "railway", "tourism", "route", "addr:housenumber")),
 }
 TAG_PATTERN = r"^[A-Za-z0-9_:.-]+=[A-Za-z0-9_: .;-]+$"
-MAX_FEATURES = 10_000
 
 
 def _c(value) -> Column:
@@ -118,7 +117,7 @@ def check_geometry(df: DataFrame, geom: str = "geom") -> DataFrame:
     return df.withColumn("reason", F.when(empty, "empty geometry").when(~geometry.is_valid_geometry(g), "invalid geometry"))
 
 
-def run_limits(df: DataFrame, run: str = "run_id", limit: int = MAX_FEATURES) -> DataFrame:
-    """Features per run and a reason where there are more than the interactive limit."""
+def run_limits(df: DataFrame, run: str = "run_id", limit: int | None = None) -> DataFrame:
+    """Features per run, with a reason above a limit if there is one."""
     counted = df.groupBy(run).agg(F.count(F.lit(1)).alias("features"))
-    return counted.withColumn("reason", F.when(F.col("features") > limit, "too many features"))
+    return counted.withColumn("reason", F.when(F.col("features") > F.lit(limit).cast("long"), "too many features"))

@@ -91,9 +91,9 @@ def run_overlap(a: DataFrame, b: DataFrame, group: Sequence[str] = SCENE) -> Dat
 
 
 def dilate(runs: DataFrame, tolerance: int, width, height, group: Sequence[str] = SCENE, merge: bool = True) -> DataFrame:
-    """Square (2*tolerance+1) dilation, clipped to the image; tolerance 0..10."""
-    if not 0 <= tolerance <= 10:
-        raise ValueError("edge tolerance must be 0..10")
+    """Square (2*tolerance+1) dilation, clipped to the image."""
+    if tolerance < 0:
+        raise ValueError("edge tolerance must not be negative")
     w, h = (v if isinstance(v, Column) else F.lit(v) for v in (width, height))
     rows = F.sequence(F.greatest(F.col("prow") - tolerance, F.lit(0)), F.least(F.col("prow") + tolerance, h.cast("long") - 1))
     grown = runs.select(*group, F.explode(rows).alias("prow"), F.greatest(F.col("c0") - tolerance, F.lit(0)).cast("long").alias("c0"),

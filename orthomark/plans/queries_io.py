@@ -96,11 +96,12 @@ def _(t):
     return back.groupBy("run_id", "coordinate_space").agg(F.count(F.lit(1)).alias("features"))
 
 
-@query("s9_write_run", "detections", "SELECT 'run_a' AS run_id, count(*) AS objects FROM detections WHERE score >= 0.5")
+@query("s9_write_run", "detections", "SELECT 'run_a' AS run_id, concept, count(*) AS objects, CAST(sum(object_id) AS BIGINT) AS ids, round(sum(score), 2) AS scores FROM detections GROUP BY concept")
 def _(t):
     path = scratch_folder(t.spark, "runs")
-    writers.write_run(t.detections.filter("score >= 0.5"), path, "run_a")
-    return t.spark.read.parquet(path).groupBy("run_id").agg(F.count(F.lit(1)).alias("objects"))
+    writers.write_run(t.detections, path, "run_a")
+    return t.spark.read.parquet(path).groupBy("run_id", "concept").agg(
+        F.count(F.lit(1)).alias("objects"), F.sum("object_id").alias("ids"), F.round(F.sum("score"), 2).alias("scores"))
 
 
 @query("s10_write_masks", "mask_pixels", OBJECTS + """
@@ -146,12 +147,16 @@ def _(t):
 
 
 @query("flow_answer_requests", "query_log map_polygons", """
-, q AS (SELECT query_id, query_id % 150 AS scene_id, CASE query_id % 16 WHEN 1 THEN 'schools' WHEN 3 THEN 'hiking' ELSE 'hospitals' END AS category FROM query_log WHERE query_id % 16 IN (1, 3, 12))
-SELECT query_id, category, osm_type, osm_id, name FROM q JOIN map_polygons p ON p.scene_id = q.scene_id AND tag_key = 'amenity' AND concat(tag_value, 's') = category AND x0 <= 400 AND y0 <= 400""")
+, q AS (SELECT query_id, query_id % 150 AS scene_id, CASE query_id % 16 WHEN 1 THEN 'schools' WHEN 3 THEN 'hiking' ELSE 'hospitals' END AS category,
+   CASE WHEN query_id % 16 = 11 THEN 'amenity=school' END AS tag FROM query_log WHERE query_id % 16 IN (1, 3, 11, 12))
+SELECT query_id, category, tag, osm_type, osm_id, name FROM q JOIN map_polygons p ON p.scene_id = q.scene_id AND tag_key = 'amenity'
+  AND concat(tag_value, 's') = CASE WHEN tag IS NULL THEN category ELSE 'schools' END AND x0 <= 400 AND y0 <= 400""")
 def _(t):
     k = F.col("query_id")
     box = {"x0": 0, "y0": 0, "x1": 400, "y1": 400}
-    asked = t.query_log.select("query_id", "text", (k % 150).alias("scene_id"), *[F.lit(v).cast("long").alias(n) for n, v in box.items()])
+    # A tag stands above the category that is named beside it.
+    text = F.when(k % 16 == 11, "find hospitals amenity=school").otherwise(F.col("text")).alias("text")
+    asked = t.query_log.select("query_id", text, (k % 150).alias("scene_id"), *[F.lit(v).cast("long").alias(n) for n, v in box.items()])
     return jobs.answer_requests(asked, _polygons(t).withColumn("tags", F.create_map("tag_key", "tag_value")))
 
 

@@ -102,10 +102,10 @@ def _(t):
 
 
 @query("w4_rank_classes", "", """
-WITH s AS (SELECT vec_id, CAST(i - 1 AS BIGINT) AS i, embedding[i] AS score FROM embeddings, range(1, 11) AS a(i))
+WITH s AS (SELECT vec_id, CAST(i - 1 AS BIGINT) AS i, embedding[i] AS score FROM embeddings, range(1, 65) AS a(i) WHERE i <= len(embedding))
 SELECT vec_id, string_agg(CAST(i AS VARCHAR), ',' ORDER BY score DESC, i) AS ranking, CAST(arg_max(i, score) AS VARCHAR) AS predicted_class FROM s GROUP BY vec_id""")
 def _(t):
-    ranked = training.rank_classes(t.embeddings.select("vec_id", F.slice("embedding", 1, 10).alias("scores")))
+    ranked = training.rank_classes(t.embeddings.select("vec_id", F.col("embedding").alias("scores")))
     return ranked.select("vec_id", F.array_join(F.transform("ranking", lambda r: r["label"]), ",").alias("ranking"), "predicted_class")
 
 
@@ -206,10 +206,14 @@ def _(t):
     return f.select("scene_id", F.posexplode("features").alias("position", "v")).select("scene_id", F.col("position").cast("long").alias("position"), F.round("v", 5).alias("value"))
 
 
-@query("m4_augment_flips")
+@query("m4_augment_flips", "band_pixels", """
+, coins AS (SELECT DISTINCT scene_id, CAST('0x' || substr(sha256('42|0|' || CAST(scene_id AS VARCHAR)), 1, 1) AS INTEGER) AS coin FROM band_pixels)
+SELECT p.scene_id, band, CASE WHEN p.scene_id % 10 < 7 THEN 'train' ELSE 'val' END AS split,
+  CASE WHEN p.scene_id % 10 < 7 AND (coin // 2) % 2 = 1 THEN 31 - prow ELSE prow END AS prow,
+  CASE WHEN p.scene_id % 10 < 7 AND coin % 2 = 1 THEN 31 - pcol ELSE pcol END AS pcol, value FROM band_pixels p JOIN coins USING (scene_id)""")
 def _(t):
-    p = t.band_pixels.filter("band = 1").withColumn("split", F.when(F.col("scene_id") % 10 < 7, "train").otherwise("val"))
-    return training.augment_flips(p, ["scene_id"], 32, 32).select("scene_id", "split", "prow", "pcol", "value")
+    p = t.band_pixels.withColumn("split", F.when(F.col("scene_id") % 10 < 7, "train").otherwise("val"))
+    return training.augment_flips(p, ["scene_id"], 32, 32).select("scene_id", "band", "split", "prow", "pcol", "value")
 
 
 def _samples(t):

@@ -77,12 +77,11 @@ def _(t):
 
 
 @query("u4_union_geometry", "detections", """
-, covered AS (SELECT DISTINCT scene_id, concept, y0 + r AS prow, x0 + c AS pcol FROM detections, range(60) AS a(c), range(50) AS b(r)
-   WHERE c < w AND r < h AND scene_id % 10 = object_id % 10)
-SELECT scene_id, concept, count(*) AS area FROM covered GROUP BY scene_id, concept""")
+, pixel_rows AS (SELECT scene_id, concept, y0 + r AS prow, x0 AS c0, x0 + w AS c1 FROM detections, range(50) AS b(r) WHERE r < h),
+reached AS (SELECT *, max(c1) OVER (PARTITION BY scene_id, concept, prow ORDER BY c0, c1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM pixel_rows)
+SELECT scene_id, concept, CAST(sum(greatest(c1 - greatest(c0, coalesce(before, c0)), 0)) AS BIGINT) AS area FROM reached GROUP BY scene_id, concept""")
 def _(t):
-    some = _detections(t).filter("scene_id % 10 = object_id % 10")
-    runs = masks.rasterise_boxes(some, ["scene_id", "concept"], 100000, 100000)
+    runs = masks.rasterise_boxes(_detections(t), ["scene_id", "concept"], 100000, 100000)
     merged = masks.union_masks(runs, ["scene_id", "concept"])
     return merged.groupBy("scene_id", "concept").agg(F.sum(F.col("c1") - F.col("c0")).alias("area"))
 
@@ -197,8 +196,8 @@ WARP_SQL = """
 f AS (SELECT *, floor(x) AS x0, floor(y) AS y0 FROM t),
 k AS (SELECT f.scene_id, f.prow, f.pcol, x0 + dx AS c, y0 + dy AS r, (CASE WHEN dx = 1 THEN x - x0 ELSE 1 - (x - x0) END) * (CASE WHEN dy = 1 THEN y - y0 ELSE 1 - (y - y0) END) AS w
   FROM f, range(2) AS a(dx), range(2) AS b(dy))
-SELECT k.scene_id, k.prow, k.pcol, round(sum(w * coalesce(value, 0)), 6) AS value FROM k JOIN band_pixels p ON p.band = 1 AND p.scene_id = k.scene_id AND p.prow = r AND p.pcol = c
-WHERE w > 0 GROUP BY k.scene_id, k.prow, k.pcol"""
+SELECT k.scene_id, band, k.prow, k.pcol, round(sum(w * coalesce(value, 0)), 6) AS value FROM k JOIN band_pixels p ON p.scene_id = k.scene_id AND p.prow = r AND p.pcol = c
+WHERE w > 0 GROUP BY k.scene_id, band, k.prow, k.pcol"""
 
 
 @query("r16_warp", "band_pixels", WARP_SQL)
@@ -206,20 +205,25 @@ def _(t):
     span = F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))
     targets = t.supplier.select(F.col("s_suppkey").alias("scene_id"), F.explode(span).alias("prow")).withColumn("pcol", F.explode(span))
     inverse = F.array(F.lit(0.75), F.lit(0.125), (F.col("scene_id") % 4).cast("double"), F.lit(0.0), F.lit(0.75), F.lit(0.5), F.lit(0.0), F.lit(0.0), F.lit(1.0))
-    source = t.band_pixels.filter("band = 1").select("scene_id", "prow", "pcol", F.coalesce("value", F.lit(0.0)).alias("value"))
-    return raster.warp(source, targets.withColumn("inverse", inverse)).select("scene_id", "prow", "pcol", F.round("value", 6).alias("value"))
+    # The bands of a pixel as columns, so that they move together.
+    values = [F.coalesce(F.max(F.when(F.col("band") == b, F.col("value"))), F.lit(0.0)).alias(f"v{b}") for b in (1, 2, 3)]
+    source = t.band_pixels.groupBy("scene_id", "prow", "pcol").agg(*values)
+    warped = raster.warp(source, targets.withColumn("inverse", inverse), value_columns=("v1", "v2", "v3"))
+    bands = F.explode(F.array(*[F.struct(F.lit(b).cast("long").alias("band"), F.round(f"v{b}", 6).alias("value")) for b in (1, 2, 3)])).alias("b")
+    return warped.select("scene_id", "prow", "pcol", bands).select("scene_id", "b.band", "prow", "pcol", "b.value")
 
 
 @query("r19_blend", "band_pixels mask_pixels", STRETCHED + """
-SELECT s.scene_id, s.prow, s.pcol, CASE WHEN NOT s.valid THEN 40 WHEN before_hit AND NOT after_hit THEN CAST(floor(CAST(0.4 AS DOUBLE) * value + CAST(0.6 AS DOUBLE) * 255) AS BIGINT)
-  WHEN after_hit AND NOT before_hit THEN CAST(floor(CAST(0.4 AS DOUBLE) * value + CAST(0.6 AS DOUBLE) * 45) AS BIGINT) ELSE value END AS red
-FROM shown s JOIN mask_pixels m ON s.scene_id = m.scene_id AND s.prow = m.prow AND s.pcol = m.pcol WHERE band = 1""")
+SELECT s.scene_id, band, s.prow, s.pcol, CASE WHEN NOT s.valid THEN %s WHEN before_hit AND NOT after_hit THEN CAST(floor(CAST(0.4 AS DOUBLE) * value + CAST(0.6 AS DOUBLE) * %s) AS BIGINT)
+  WHEN after_hit AND NOT before_hit THEN CAST(floor(CAST(0.4 AS DOUBLE) * value + CAST(0.6 AS DOUBLE) * %s) AS BIGINT) ELSE value END AS shade
+FROM shown s JOIN mask_pixels m ON s.scene_id = m.scene_id AND s.prow = m.prow AND s.pcol = m.pcol""" % tuple(
+    "list_extract([%d, %d, %d], band)" % tuple(colour) for colour in (raster.NO_DATA_COLOUR, raster.REMOVED_BLEND[2], raster.ADDED_BLEND[2])))
 def _(t):
     valid = raster.valid_pixels(t.band_pixels, 3).withColumnRenamed("valid", "_ok")
-    image = raster.percentile_stretch(t.band_pixels, 3).filter("band = 1").join(valid, ["scene_id", "prow", "pcol"])
+    image = raster.percentile_stretch(t.band_pixels, 3).join(valid, ["scene_id", "prow", "pcol"])
     both = image.join(t.mask_pixels.drop("valid"), ["scene_id", "prow", "pcol"])
-    red = raster.paint(0, "value", added=F.expr("after_hit AND NOT before_hit"), removed=F.expr("before_hit AND NOT after_hit"), valid=F.col("_ok"))
-    return both.select("scene_id", "prow", "pcol", red.alias("red"))
+    shade = [raster.paint(b, "value", added=F.expr("after_hit AND NOT before_hit"), removed=F.expr("before_hit AND NOT after_hit"), valid=F.col("_ok")) for b in range(3)]
+    return both.select("scene_id", "band", "prow", "pcol", F.when(F.col("band") == 1, shade[0]).when(F.col("band") == 2, shade[1]).otherwise(shade[2]).alias("shade"))
 
 
 @query("r22_fit_within", "view_requests", """

@@ -192,4 +192,4 @@ def _(t):
 @query("p8_run_limits", "detections", """
 SELECT concept AS run_id, count(*) AS features, CASE WHEN count(*) > 10000 THEN 'too many features' END AS reason FROM detections GROUP BY concept""")
 def _(t):
-    return filters.run_limits(t.detections.withColumnRenamed("concept", "run_id"))
+    return filters.run_limits(t.detections.withColumnRenamed("concept", "run_id"), limit=10_000)

@@ -54,12 +54,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder all executors see: beside the shared checkpoints, or temporary in local tests."""
+    """A new folder all executors see, beside the checkpoints."""
     ensure_checkpoint_dir(spark)
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"orthomark-{name}-") + "/data"
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame, *keys) -> DataFrame:

@@ -5,6 +5,7 @@ Each gives, on the same rows, what the batch operator gives.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,13 @@ from pyspark.sql.streaming.query import StreamingQuery
 from orthomark.operators import evidence, lookups, ordering
 
 
-def _append_batches(path: str):
-    """Idempotent sink: a micro-batch owns one folder, so a repeated batch replaces itself."""
+def _append_batches(path: str, checkpoint: str):
+    """Idempotent sink: a micro-batch of a stream, told by its checkpoint, owns one folder, so a repeated
+    batch replaces itself and a new stream on an old path replaces nothing."""
+    stream = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/stream={stream}/batch_id={batch_id}")
     return write
 
 
@@ -28,18 +32,18 @@ def stream_label_edits(edits: DataFrame, path: str, checkpoint: str, key: tuple[
     """Keep a change log of the latest edits: every micro-batch is reduced to its last edit per
     object and appended. Edits that arrive late lose to newer ones when the log is read."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        _append_batches(path)(ordering.latest_edits(batch, key), batch_id)
+        _append_batches(path, checkpoint)(ordering.latest_edits(batch, key), batch_id)
 
     return edits.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def current_edits(spark: SparkSession, path: str, key: tuple[str, ...] = ("object_id",)) -> DataFrame:
-    return ordering.latest_edits(spark.read.parquet(path).drop("batch_id"), key)
+    return ordering.latest_edits(spark.read.parquet(path).drop("batch_id", "stream"), key)
 
 
 def compact_edits(spark: SparkSession, path: str, target: str, key: tuple[str, ...] = ("object_id",)) -> None:
     """Rewrite a grown change log as one row per object in a new folder."""
-    current_edits(spark, path, key).write.mode("errorifexists").parquet(f"{target.rstrip('/')}/batch_id=0")
+    current_edits(spark, path, key).write.mode("errorifexists").parquet(f"{target.rstrip('/')}/stream=compacted/batch_id=0")
 
 
 def stream_match_evidence(detections: DataFrame, records: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("scene_id", "object_id"),
@@ -49,7 +53,7 @@ def stream_match_evidence(detections: DataFrame, records: DataFrame, path: str,
     evidence is complete there."""
     def write(batch: DataFrame, batch_id: int) -> None:
         found = evidence.match_evidence(batch, records, keys, cell, levels)
-        _append_batches(path)(evidence.candidate_identity(batch, found, keys), batch_id)
+        _append_batches(path, checkpoint)(evidence.candidate_identity(batch, found, keys), batch_id)
 
     return detections.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
