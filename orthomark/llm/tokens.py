@@ -149,6 +149,9 @@ class Encoder:
         known = self.known.__getitem__
         numbers = []
         for text in texts:
+            if "\1" in text or "\2" in text:  # the marks of cuts themselves
+                numbers.append(np.array([-1]))
+                continue
             words = self._words(text)
             own = np.fromiter(map(known, words), np.int64, len(words))
             if self.blanks_kept:  # the first piece has no blank before it
