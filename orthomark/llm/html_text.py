@@ -7,7 +7,8 @@
    spreads over many tasks. In a shard the tokens outside of articles, one stream a page, are
    concatenated with a mark of its own after each page and their suffixes sorted by prefix
    doubling, up to ``RUN`` tokens. Suffixes that stand together in the suffix array with equal first
-   ``RUN`` tokens and come from at least ``PAGES`` distinct streams are repeated: boilerplate.
+   ``RUN`` tokens and come from at least ``PAGES`` distinct streams are repeated. A block that such runs
+   cover whole is boilerplate, and so is what a run inside of one block covers.
 3. The main text is the article if the page has one, else the main element, else the unique runs
    outside of furniture: what no repeated substring covers. Text of an article is never removed, however
    often it occurs elsewhere.
@@ -32,6 +33,8 @@ from orthomark.operators.walk import arranged, whole_groups
 from orthomark.session import cut_lineage
 
 SHARD, RUN, PAGES = 512, 6, 3
+#: White space like any other for the main text.
+BLOCK = "\x1e"
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|select|object|canvas)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
@@ -63,8 +66,8 @@ def is_furniture(attributes: str) -> bool:
 
 
 def read_page(source: str) -> list[tuple[str, str]]:
-    """(zone, text) runs in page order: a article, m main, f furniture, n neither. White space stands for
-    block ends; inline elements leave none."""
+    """(zone, text) runs in page order: a article, m main, f furniture, n neither. Block ends are marked by
+    BLOCK, inline elements leave nothing."""
     runs: list[tuple[str, str]] = []
     skipped: str | None = None  # element that began the furniture being read
     depth = articles = mains = at = 0
@@ -82,16 +85,16 @@ def read_page(source: str) -> list[tuple[str, str]]:
         source = source[:head.start()] + source[head.end():]
     for tag in TAG.finditer(source):
         if tag.start() > at:
-            put(html.unescape(source[at:tag.start()]))
+            put(html.unescape(source[at:tag.start()]).replace(BLOCK, " "))
         at = tag.end()
         name = (tag["name"] or tag["name2"] or "").lower()
         if not name:
             if tag["raw"]:
-                put(" ")
+                put(BLOCK)
             continue
         closing = bool(tag["end"] or tag["end2"])
         if name not in INLINE:
-            put(" ")
+            put(BLOCK)
         if skipped:
             if name == "article" and not closing and not is_furniture(tag["rest"] or tag["rest2"] or "") and skipped != "article" and not articles:
                 skipped = None  # an article ends furniture that was never closed
@@ -118,23 +121,27 @@ def read_page(source: str) -> list[tuple[str, str]]:
         elif name == "main":
             mains += 1
     if at < len(source):
-        put(html.unescape(source[at:]))
+        put(html.unescape(source[at:]).replace(BLOCK, " "))
     return runs
 
 
-def repeated(streams: list[list[str]]) -> list[np.ndarray]:
-    """For every stream, which tokens a run of RUN tokens covers that occurs in PAGES distinct streams."""
-    whole: dict[tuple[str, ...], int] = {}
-    owner = np.array([whole.setdefault(tuple(s), len(whole)) for s in streams], np.int64)
-    firsts = np.unique(owner, return_index=True)[1] if len(streams) else np.zeros(0, np.int64)
-    distinct = [streams[k] for k in firsts]
+def repeated(streams: list[list[list[str]]]) -> list[np.ndarray]:
+    """For every page, given as its blocks of tokens, which tokens are boilerplate."""
+    whole: dict[tuple, int] = {}
+    owner = [whole.setdefault(tuple(map(tuple, s)), len(whole)) for s in streams]
+    distinct = list(whole)
     codes: dict[str, int] = {}
-    values, ends = [], []
+    values, blocks, ends, block = [], [], [], 0
     for k, stream in enumerate(distinct):
-        values.extend(codes.setdefault(t, len(codes)) for t in stream)
+        for tokens in stream:
+            values.extend(codes.setdefault(t, len(codes)) for t in tokens)
+            blocks.extend([block] * len(tokens))
+            block += 1
         values.append(-1 - k)  # a mark that occurs once
+        blocks.append(block)
+        block += 1
         ends.append(len(values))
-    text = np.array(values, np.int64)
+    text, block_of = np.array(values, np.int64), np.array(blocks, np.int64)
     page = np.repeat(np.arange(len(distinct)), np.diff([0, *ends]))
     rank = np.unique(text, return_inverse=True)[1]
     length = 1
@@ -144,17 +151,22 @@ def repeated(streams: list[list[str]]) -> list[np.ndarray]:
         rank = np.unique(rank * (len(rank) + 2) + after, return_inverse=True)[1]
         length += step
     array = np.lexsort((page, rank))  # the suffix array, equal suffixes by page
-    covered = np.zeros(len(text) + RUN, np.int64)
+    start = np.zeros(0, np.int64)
     if len(array):
         fresh_rank = np.concatenate([[True], np.diff(rank[array]) > 0])
         fresh_page = fresh_rank | np.concatenate([[True], np.diff(page[array]) > 0])
         group = np.cumsum(fresh_rank) - 1
-        pages = np.bincount(group, fresh_page)
-        start = array[pages[group] >= PAGES]
-        np.add.at(covered, start, 1)
-        np.add.at(covered, start + RUN, -1)
-    marked = np.cumsum(covered)[:len(text)] > 0
-    parts = [marked[b - len(s) - 1:b - 1] for s, b in zip(distinct, ends)]
+        start = array[np.bincount(group, fresh_page)[group] >= PAGES]
+        start = start[start + RUN <= len(text)]
+
+    def covered(starts: np.ndarray) -> np.ndarray:
+        change = np.bincount(starts, minlength=len(text) + 1) - np.bincount(starts + RUN, minlength=len(text) + 1)
+        return np.cumsum(change[:len(text)]) > 0
+
+    inside, anywhere = covered(start[block_of[start] == block_of[start + RUN - 1]]), covered(start)
+    left = np.bincount(block_of[~anywhere], minlength=block + 1)
+    marked = inside | (anywhere & (left[block_of] == 0))
+    parts = [marked[b - sum(map(len, s)) - 1:b - 1] for s, b in zip(distinct, ends)]
     return [parts[o] for o in owner]
 
 
@@ -186,7 +198,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             runs = [read_page(h) if isinstance(h, str) else [] for h in frame["html"]]
-            yield frame.drop(columns="html").assign(zones=["".join(z for z, _ in r) for r in runs], texts=[[" ".join(t.split()) if z == "f" else t for z, t in r] for r in runs])
+            yield frame.drop(columns="html").assign(zones=["".join(z for z, _ in r) for r in runs], texts=[[t for _, t in r] for r in runs])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, starts in whole_groups(batches, ["host", "shard"]):
@@ -194,7 +206,7 @@ def extract(pages: DataFrame) -> DataFrame:
             for s, e in zip(starts[:-1], starts[1:]):
                 runs = [list(zip(z, t)) for z, t in zip(frame["zones"].iloc[s:e], frame["texts"].iloc[s:e])]
                 outside = [[(z if z != "a" else "f", t if z != "a" else "") for z, t in r] for r in runs]
-                covered = repeated([[w for _, t in r for w in t.split()] for r in outside])
+                covered = repeated([[b.split() for _, t in r for b in t.split(BLOCK)] for r in outside])
                 for page, rest, mark in zip(runs, outside, covered):
                     texts.append(main_text(page, mark) if any(z in "am" for z, _ in page) else main_text(rest, mark))
                     counts.append(int(mark.sum()))
