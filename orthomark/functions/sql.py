@@ -1,47 +1,47 @@
-"""Table functions for SQL users."""
+"""Table functions for SQL users, themselves SQL: they are planned into the query that calls them."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
 from orthomark.functions.geo import GEOHASH_ALPHABET
 
 
-def _offsets(length: int, size: int, overlap: int) -> list[int]:
-    if length <= size:
-        return [0]
-    return sorted({*range(0, length - size + 1, size - overlap), length - size})
+def _offsets(length: str) -> str:
+    """Window starts along one side: regular steps, and a last window that ends with the side."""
+    return (f"CASE WHEN {length} <= size THEN array(0L) ELSE array_distinct(concat("
+            f"sequence(0L, {length} - size, size - overlap), array({length} - size))) END")
 
 
-class Windows:
-    """windows(width, height, size, overlap): the windows covering an image."""
+WINDOWS = f"""
+CREATE OR REPLACE TEMPORARY FUNCTION windows(width BIGINT, height BIGINT, size BIGINT, overlap BIGINT)
+RETURNS TABLE(window_id BIGINT, x BIGINT, y BIGINT, w BIGINT, h BIGINT)
+COMMENT 'the windows covering an image, numbered row by row'
+RETURN SELECT i * cardinality(xs) + j, x, y, least(size, width - x), least(size, height - y)
+  FROM (SELECT {_offsets('width')} AS xs, {_offsets('height')} AS ys) LATERAL VIEW posexplode(ys) AS i, y LATERAL VIEW posexplode(xs) AS j, x"""
 
-    def eval(self, width: int, height: int, size: int, overlap: int):
-        number = 0
-        for y in _offsets(height, size, overlap):
-            for x in _offsets(width, size, overlap):
-                yield number, x, y, min(size, width - x), min(size, height - y)
-                number += 1
+_BIT = f"shiftright(instr('{GEOHASH_ALPHABET}', substr(t, CAST(k DIV 5 AS INT) + 1, 1)) - 1, 4 - CAST(k % 5 AS INT)) & 1"
 
 
-class GeohashCell:
-    """geohash_cell(text): the box of a geohash; no row for malformed text."""
+def _halved(low: str, high: str) -> str:
+    """The box with one axis cut to the half that the bit names."""
+    part = {"w": "a.w", "s": "a.s", "e": "a.e", "n": "a.n"}
+    middle = f"(a.{low} + a.{high}) / 2"
+    box = lambda changed: "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in {**part, changed: middle}.items()) + ")"
+    return f"CASE WHEN {_BIT} = 1 THEN {box(low)} ELSE {box(high)} END"
 
-    def eval(self, text: str):
-        value = (text or "").strip().lower()
-        if not 1 <= len(value) <= 12 or set(value) - set(GEOHASH_ALPHABET):
-            return
-        low, high, axis = [-180.0, -90.0], [180.0, 90.0], 0
-        for character in value:
-            for bit in (16, 8, 4, 2, 1):
-                middle = (low[axis] + high[axis]) / 2
-                (low if GEOHASH_ALPHABET.index(character) & bit else high)[axis] = middle
-                axis = 1 - axis
-        yield low[0], low[1], high[0], high[1]
+
+GEOHASH_CELL = f"""
+CREATE OR REPLACE TEMPORARY FUNCTION geohash_cell(code STRING)
+RETURNS TABLE(west DOUBLE, south DOUBLE, east DOUBLE, north DOUBLE)
+COMMENT 'the box of a geohash; no row for malformed text'
+RETURN SELECT b.w, b.s, b.e, b.n FROM (
+  SELECT aggregate(sequence(0, 5 * length(t) - 1), named_struct('w', -180D, 's', -90D, 'e', 180D, 'n', 90D),
+    (a, k) -> CASE WHEN k % 2 = 0 THEN {_halved('w', 'e')} ELSE {_halved('s', 'n')} END) AS b
+  FROM (SELECT lower(trim(code)) AS t) WHERE t RLIKE '^[{GEOHASH_ALPHABET}]{{1,12}}$')"""
 
 
 def register_table_functions(spark: SparkSession) -> None:
     """Make ``windows`` and ``geohash_cell`` available to SQL (use with LATERAL)."""
-    spark.udtf.register("windows", udtf(Windows, returnType="window_id bigint, x bigint, y bigint, w bigint, h bigint"))
-    spark.udtf.register("geohash_cell", udtf(GeohashCell, returnType="west double, south double, east double, north double"))
+    spark.sql(WINDOWS)
+    spark.sql(GEOHASH_CELL)

@@ -16,6 +16,7 @@ from orthomark.sources import readers, writers
 from orthomark.streaming import jobs as streams
 
 DEGREE = 1e-5
+FILES = 4  # of one micro-batch
 
 
 def _located(df):
@@ -58,18 +59,22 @@ def _(t):
 
 
 @query("s5_normalise_place_records", "map_points", f"""
-SELECT osm_id, nullif(concat_ws(', ', housenumber, street, city), '') AS address, 'OpenStreetMap via Photon' AS source, '{labels.SEARCH_CANDIDATE}' AS match_status, CAST(9 AS BIGINT) AS n FROM map_points""")
+SELECT osm_id, nullif(concat_ws(', ', housenumber, street, city), '') AS address, 'OpenStreetMap via Photon' AS source, '{labels.SEARCH_CANDIDATE}' AS match_status, CAST(9 AS BIGINT) AS n, x, y FROM map_points""")
 def _(t):
     raw = t.map_points.withColumn("lon", 13 + F.col("x") * F.lit(DEGREE)).withColumn("lat", 52 + F.col("y") * F.lit(DEGREE))
-    return normalise_place_records(raw).select("osm_id", "address", "source", "match_status", F.length("geohash").cast("long").alias("n"))
+    return normalise_place_records(raw).select("osm_id", "address", "source", "match_status", F.length("geohash").cast("long").alias("n"), "x", "y")
 
 
-@query("s6_write_geojson", "detections", "SELECT concept, count(*) AS features FROM detections GROUP BY concept")
+@query("s6_write_geojson", "detections", """
+SELECT CAST(object_id AS VARCHAR) AS object_id, concept, round(13 + x0 * CAST(0.00001 AS DOUBLE), 6) AS west, round(52 + y0 * CAST(0.00001 AS DOUBLE), 6) AS south, 'Polygon' AS kind FROM detections""")
 def _(t):
     path = scratch_folder(t.spark, "features")
-    writers.write_geojson(_located(_detections(t)).select("concept", "geom"), path, metadata={"completeness": "test"})
-    lines = t.spark.read.text(path).filter(F.col("value").contains('"type":"Feature"'))
-    return lines.groupBy(F.get_json_object(F.regexp_replace("value", "^,", ""), "$.properties.concept").alias("concept")).agg(F.count(F.lit(1)).alias("features"))
+    writers.write_geojson(_located(_detections(t)).select("object_id", "concept", "geom"), path, metadata={"completeness": "test"})
+    lines = t.spark.read.text(path).filter(F.col("value").contains('"type":"Feature"')).select(F.regexp_replace("value", "^,", "").alias("j"))
+    value = lambda p: F.get_json_object("j", p)
+    corner = lambda i: F.round(value(f"$.geometry.coordinates[0][0][{i}]").cast("double"), 6)
+    return lines.select(value("$.properties.object_id").alias("object_id"), value("$.properties.concept").alias("concept"), corner(0).alias("west"),
+                        corner(1).alias("south"), value("$.geometry.type").alias("kind"))
 
 
 def _labelled(t):
@@ -180,12 +185,15 @@ def _(t):
 
 
 @query("udtf_geohash_cell", "geo_points", """
-SELECT point_id, round(-180 + floor((lon + 180) / 360 * 32768) * (360 / CAST(32768 AS DOUBLE)), 6) AS west FROM geo_points""")
+, b AS (SELECT point_id, floor((lon + 180) / 360 * 32768) AS i, floor((lat + 90) / 180 * 32768) AS j FROM geo_points)
+SELECT point_id, round(-180 + i * (360 / CAST(32768 AS DOUBLE)), 6) AS west, round(-90 + j * (180 / CAST(32768 AS DOUBLE)), 6) AS south,
+  round(-180 + (i + 1) * (360 / CAST(32768 AS DOUBLE)), 6) AS east, round(-90 + (j + 1) * (180 / CAST(32768 AS DOUBLE)), 6) AS north FROM b""")
 def _(t):
     from orthomark.functions import geo
     register_table_functions(t.spark)
     cells = t.geo_points.select("point_id", geo.geohash_encode("lat", "lon", 6).alias("cell"))
-    return t.spark.sql("SELECT point_id, round(west, 6) AS west FROM {cells}, LATERAL geohash_cell(cell)", cells=cells)
+    return t.spark.sql("""SELECT point_id, round(west, 6) AS west, round(south, 6) AS south, round(east, 6) AS east, round(north, 6) AS north
+                          FROM {cells}, LATERAL geohash_cell(cell)""", cells=cells)
 
 
 # --- streams ----------------------------------------------------------------------------
@@ -196,8 +204,8 @@ def _stream(t, name):
     folder = scratch_folder(t.spark, "stream-input")
     df = getattr(t, name)
     for part in ("day(ts) <= 10", "day(ts) > 10 AND day(ts) <= 20", "day(ts) > 20"):
-        df.filter(part).coalesce(1).write.mode("append").parquet(folder)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        df.filter(part).repartition(FILES).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
 
 
 @query("t1_stream_label_edits", "label_edits", EDITED + "SELECT edit_object AS object_id, edit_id, reviewed_label, rejected FROM last")

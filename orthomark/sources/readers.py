@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,7 @@ from orthomark.functions import geo, geometry, labels
 RECORD_SOURCE = "OpenStreetMap via Overpass"
 RECORD_URL = "https://www.openstreetmap.org/"
 MANIFEST_COLUMNS = ("path", "label", "split", "group")
+PIXEL_ROWS = 65_536  # of one image passed on at a time
 _FEATURE = "struct<type:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>"
 _COLLECTION = f"type string, coordinate_space string, crs string, attribution string, features array<{_FEATURE}>"
 
@@ -65,9 +70,10 @@ def read_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return features.select("file", "attribution", geom.alias("geom"), F.col("f.properties").alias("properties")), rejected
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest rows with absolute paths; ``group`` becomes ``grp``. A byte-order mark is accepted."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_manifest(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Manifest rows with absolute paths; ``group`` becomes ``grp``. A byte-order mark is accepted. With
+    ``multi_line`` quoted values may hold line ends, but a file is then read by one task."""
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     clean = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
     missing = [c for c in MANIFEST_COLUMNS if c not in clean.columns]
     if missing:
@@ -86,28 +92,35 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def read_images(spark: SparkSession, path: str, scenes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(images, pixels) of a folder of PNG, JPEG or plain TIFF files.
 
-    Images carry origin, width, height, channels and, from ``scenes`` (file, transform), their
-    georeference. Pixels are rows of red, green, blue and ``valid`` (alpha above zero).
+    Images carry path, file (its name), width, height, channels and, from ``scenes`` (path or file,
+    transform), their georeference; one that cannot be decoded is kept with a reason. Pixels are
+    rows of red, green, blue and ``valid`` (alpha above zero), told apart by the whole path.
     """
-    raw = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    images = raw.select(F.regexp_extract("origin", r"([^/]+)$", 1).alias("file"), "width", "height", F.col("nChannels").alias("channels"), "data")
-    size = F.col("width") * F.col("height")
-    at = F.explode(F.sequence(F.lit(0), size - 1)).alias("i")
-    pixels = images.select("file", "width", "channels", "data", at)
-
-    def channel(offset):
-        position = F.col("i") * F.col("channels") + offset + 1
-        return F.conv(F.hex(F.substring(F.col("data"), position.cast("int"), F.lit(1))), 16, 10).cast("int")
-
-    grey = F.col("channels") == 1
-    blue, green, red = channel(0), F.when(grey, channel(0)).otherwise(channel(1)), F.when(grey, channel(0)).otherwise(channel(2))
-    valid = F.when(F.col("channels") == 4, channel(3) > 0).otherwise(F.lit(True))
-    rows = pixels.select("file", F.floor(F.col("i") / F.col("width")).cast("long").alias("prow"), (F.col("i") % F.col("width")).cast("long").alias("pcol"),
-                         red.alias("red"), green.alias("green"), blue.alias("blue"), valid.alias("valid"))
-    described = images.drop("data")
+    raw = spark.read.format("image").load(path).select("image.*")
+    name = F.regexp_extract("origin", r"([^/]+)$", 1)
+    broken = F.coalesce((F.col("width") < 1) | (F.col("nChannels") < 1), F.lit(True))
+    seen = raw.select(F.col("origin").alias("path"), name.alias("file"), *[F.when(~broken, F.col(c)).alias(n) for c, n in (
+        ("width", "width"), ("height", "height"), ("nChannels", "channels"))], F.when(broken, "not a readable image").alias("reason"), "data")
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for image in batch.itertuples(index=False):
+                size = int(image.width) * int(image.height)
+                # Bytes are stored blue, green, red and, with four channels, alpha; grey has one.
+                values = np.frombuffer(image.data, np.uint8).reshape(size, int(image.channels))
+                for at in range(0, size, PIXEL_ROWS):
+                    part, i = values[at:at + PIXEL_ROWS], np.arange(at, min(at + PIXEL_ROWS, size))
+                    colours = part[:, [0, 0, 0]] if part.shape[1] == 1 else part[:, [2, 1, 0]]
+                    yield pd.DataFrame({"path": image.path, "file": image.file, "prow": i // int(image.width), "pcol": i % int(image.width), "red": colours[:, 0].astype(np.int32),
+                                        "green": colours[:, 1].astype(np.int32), "blue": colours[:, 2].astype(np.int32),
+                                        "valid": part[:, 3] > 0 if part.shape[1] == 4 else np.ones(len(part), bool)})
+
+    pixels = seen.filter("reason IS NULL").mapInPandas(decode, "path string, file string, prow long, pcol long, red int, green int, blue int, valid boolean")
+    described = seen.drop("data")
     if scenes is not None:
-        described = described.join(scenes.select("file", "transform"), "file", "left")
-    return described, rows
+        key = "path" if "path" in scenes.columns else "file"
+        described = described.join(scenes.select(key, "transform"), key, "left")
+    return described, pixels
 
 
 def normalise_map_records(raw: DataFrame) -> DataFrame:

@@ -91,9 +91,17 @@ def write_masks(mask_runs: DataFrame, scores: DataFrame, path: str, mode: str =
 
 
 def run_metadata(features: DataFrame, constants: dict | None = None, keys: Sequence[str] = ("run_id",)) -> DataFrame:
-    """One row per run: object and match counts, score range and the given constants."""
+    """One row per run: objects, score range, matched objects and objects with a candidate name, least
+    coverage with its warning (each where ``features`` has the columns), and the given constants."""
     n = F.count(F.lit(1)).alias("objects")
     extra = [F.min("score").alias("min_score"), F.max("score").alias("max_score")] if "score" in features.columns else []
+    if "match_status" in features.columns:
+        extra.append(F.count_if(F.col("match_status") != labels.UNMATCHED).alias("matched"))
+    if "candidate_name" in features.columns:
+        extra.append(F.count_if(F.col("candidate_name").isNotNull()).alias("with_candidate_name"))
+    if "coverage_fraction" in features.columns:
+        share = F.min("coverage_fraction")
+        extra += [share.alias("coverage_fraction"), labels.coverage_warning(share).alias("warning")]
     counted = features.groupBy(*keys).agg(n, *extra)
     for name, value in (constants or {}).items():
         counted = counted.withColumn(name, value if isinstance(value, Column) else F.lit(value))

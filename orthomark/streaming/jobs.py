@@ -6,6 +6,7 @@ Each gives, on the same rows, what the batch operator gives.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,30 +63,39 @@ RESPONSE_TYPE = "request_id bigint, request_key string, age_us bigint"
 
 
 class FreshResponses(StatefulProcessor):
-    """Per request key, the time of the last fetch; it expires with the response."""
+    """Per request key, the times of the fetches that may still answer something."""
 
     def __init__(self, ttl_us: int):
         self.ttl_us = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last_fetch", "at bigint")
+        self.fetches = handle.getListState("fetches", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # The rows of one key and micro-batch. A late request is served by the response held.
-        batch = pd.concat(list(rows)).sort_values(["t", "request_id"])
-        last = self.last.get()[0] if self.last.exists() else None
-        times = batch["t"].to_numpy()
-        source = lookups.answer_in_order(times, self.ttl_us, last)
-        if last is None or source[-1] != last:
-            self.last.update((int(source[-1]),))
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int((source[-1] + self.ttl_us) // 1000) + 1)
-        yield pd.DataFrame({"request_id": batch["request_id"], "request_key": key[0], "age_us": np.maximum(times - source, 0)})
+        # A request is answered by an earlier fetch or is one itself, also where it arrives after later ones.
+        known = sorted(row[0] for row in self.fetches.get())
+        for batch in rows:
+            batch = batch.sort_values(["t", "request_id"])
+            ages = []
+            for t in batch["t"].tolist():
+                place = bisect_right(known, t)
+                if place and t - known[place - 1] < self.ttl_us:
+                    ages.append(t - known[place - 1])
+                else:
+                    known.insert(place, t)
+                    ages.append(0)
+            yield pd.DataFrame({"request_id": batch["request_id"], "request_key": key[0], "age_us": np.array(ages, np.int64)})
+        # Rows older than the watermark never come; a fetch a lifetime before it answers nothing any more.
+        oldest = timerValues.getCurrentWatermarkInMs() * 1000 - self.ttl_us
+        kept = [t for t in known if t > oldest] or known[-1:]
+        self.fetches.put([(int(t),) for t in kept])
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int((kept[-1] + self.ttl_us) // 1000) + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
+        self.fetches.clear()
         yield pd.DataFrame({"request_id": pd.Series(dtype="int64"), "request_key": pd.Series(dtype=str), "age_us": pd.Series(dtype="int64")})
 
     def close(self) -> None:
