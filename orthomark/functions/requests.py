@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orthomark.functions import geo
@@ -61,7 +61,10 @@ def _mentions(lower: Column, pattern: str) -> Column:
 
 def category_of(text) -> Column:
     """The first category mentioned, in declaration order; known misspellings count."""
-    lower = F.lower(_c(text))
+    return _category(F.lower(_c(text)))
+
+
+def _category(lower: Column) -> Column:
     found = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, pattern in CATEGORIES.items():
         found = found.when(_mentions(lower, pattern), name)
@@ -95,31 +98,47 @@ def request_reason(text) -> Column:
     return F.when(query.isNull() | (query == ""), "empty query").when(F.length(query) > MAX_QUERY, "query too long")
 
 
-def parse_request(text) -> Column:
-    """The plan struct of a request; NULL only when the text is empty (``request_reason`` marks long ones)."""
-    query = stripped(_c(text))
-    lower = F.lower(query)
-    category, tag = category_of(query), _extract(query, TAG)
+def _rule(query: Column, lower: Column, category: Column, tag: Column) -> Column:
+    """Which rule of the grammar applies: the first that matches."""
     visual = lower.rlike(FLAGS + VISUAL)
     site = F.coalesce(category.isin(*SITE_CATEGORIES), F.lit(False))
     mapped = (category.isNotNull() | tag.isNotNull()) & ~lower.rlike(FLAGS + HOUSE_NUMBER)
-    rule = (F.when(lower.rlike(FLAGS + GEOHASH_PREFIX), "geohash").when(query.rlike(FLAGS + COORDINATES), "coordinates")
+    return (F.when(lower.rlike(FLAGS + GEOHASH_PREFIX), "geohash").when(query.rlike(FLAGS + COORDINATES), "coordinates")
             .when(lower.rlike(FLAGS + MISSING_ADDRESS), "filter").when(lower.rlike(FLAGS + ENRICH_VERB) & lower.rlike(FLAGS + ENRICH_OBJECT), "enrich")
             .when(lower.rlike(FLAGS + COMPARE), "compare").when(lower.rlike(FLAGS + ROUTE), "route")
             .when(visual & site, "site").when(visual, "segment").when(mapped, "features").otherwise("address"))
-    return F.when(query != "", geo.let(
-        F.struct(rule.alias("rule"), query.alias("query")), lambda r: _plan(r["rule"], r["query"])))
 
 
-def _plan(rule: Column, query: Column) -> Column:
+def with_plan(df: DataFrame, text: str = "text", name: str = "plan") -> DataFrame:
+    """``df`` with the plan struct of its requests; NULL only when the text is empty (``request_reason`` marks
+    long ones). What several fields need is computed once, in steps that stay in generated code."""
+    query = df.withColumn("_q", stripped(F.col(text))).withColumn("_l", F.lower("_q"))
+    seen = query.withColumn("_c", _category(F.col("_l"))).withColumn("_t", _extract(F.col("_q"), TAG))
+    ruled = seen.withColumn("_r", _rule(F.col("_q"), F.col("_l"), F.col("_c"), F.col("_t")))
+    plan = F.when(F.col("_q") != "", _plan(*[F.col(c) for c in ("_r", "_q", "_c", "_t")]))
+    return ruled.withColumn(name, plan).drop("_q", "_l", "_c", "_t", "_r")
+
+
+def parse_request(text) -> Column:
+    """The plan of ``with_plan`` as one expression."""
+    def planned(s):
+        category, tag = _category(F.lower(s["query"])), _extract(s["query"], TAG)
+        rule = _rule(s["query"], F.lower(s["query"]), category, tag)
+        return geo.let(F.struct(rule.alias("r"), s["query"].alias("q"), category.alias("c"), tag.alias("t")), lambda v: _plan(v["r"], v["q"], v["c"], v["t"]))
+
+    query = stripped(_c(text))
+    return F.when(query != "", geo.let(F.struct(query.alias("query")), planned))
+
+
+def _plan(rule: Column, query: Column, category: Column, tag: Column) -> Column:
     null = F.lit(None).cast("string")
     text = (F.when(rule == "geohash", F.regexp_replace(F.lower(query), FLAGS + GEOHASH_STRIP, ""))
             .when(rule == "address", address_of(query)).otherwise(query))
     return F.struct(
         F.when(rule == "site", "features").otherwise(rule).alias("intent"), text.alias("query"),
-        F.when(rule == "site", category_of(query)).when(rule == "features", F.coalesce(category_of(query), F.lit("all"))).otherwise(null).alias("category"),
+        F.when(rule == "site", category).when(rule == "features", F.coalesce(category, F.lit("all"))).otherwise(null).alias("category"),
         F.when(rule.isin("site", "segment"), area_of(query, True)).when(rule == "features", area_of(query)).otherwise(null).alias("area"),
-        F.when(rule == "features", _extract(query, TAG)).otherwise(null).alias("tag"),
+        F.when(rule == "features", tag).otherwise(null).alias("tag"),
         F.when(rule == "coordinates", "Input order is latitude, longitude.").otherwise("").alias("explanation"),
         F.when(rule == "site", "combined").when(rule == "segment", "imagery").otherwise("auto").alias("source"),
         F.when(rule == "site", "building").when(rule == "segment", concept_of(query)).otherwise(null).alias("prompt"),

@@ -26,7 +26,7 @@ FIELDS = ("intent", "query", "category", "area", "tag", "source", "prompt")
 
 
 def _plans(t):
-    return t.query_log.select("query_id", "text", requests.parse_request("text").alias("plan"))
+    return requests.with_plan(t.query_log.select("query_id", "text"))
 
 
 @query("q1_parse_requests", "query_log", PLANS + "SELECT query_id, intent, query, category, area, tag, source, prompt, result_filter FROM plans")
@@ -34,11 +34,25 @@ def _(t):
     return _plans(t).select("query_id", *[F.col(f"plan.{f}").alias(f) for f in FIELDS], F.col("plan.filter").alias("result_filter"))
 
 
-@query("q1_parse_conversations", "", r"""
-SELECT conv_id, turn, CASE WHEN text IS NULL OR trim(text) = '' THEN NULL WHEN length(text) > 1000 THEN NULL ELSE 'parsed' END AS state FROM conversations""")
+def _word(text: str, pattern: str) -> str:
+    """SQL of a pattern between word ends of any script."""
+    return rf"regexp_matches({text}, '(?:^|[^\pL\pM\pN_])(?:{pattern})(?:$|[^\pL\pM\pN_])')"
+
+
+# Of the grammar's words the invented turns hold only categories, "in" and "from ... to"; the SQL has the rules for these.
+@query("q1_parse_conversations", "", rf"""
+WITH c AS (SELECT conv_id, turn, regexp_replace(text, '^[\s\x0B\x{{85}}\p{{Z}}]+|[\s\x0B\x{{85}}\p{{Z}}]+$', '', 'g') AS q FROM conversations),
+k AS (SELECT conv_id, turn, q, CASE {' '.join(f"WHEN {_word('lower(q)', p)} THEN '{c}'" for c, p in requests.CATEGORIES.items())} END AS cat FROM c WHERE q <> ''),
+r AS (SELECT *, CASE WHEN {_word('lower(q)', 'from .+ to|directions|navigate')} THEN 'route'
+  WHEN cat IS NOT NULL AND NOT {_word('lower(q)', '[0-9]+[a-z]?')} THEN 'features' ELSE 'address' END AS i FROM k)
+SELECT c.conv_id, c.turn, i AS intent, CASE WHEN i = 'address' THEN regexp_replace(r.q, '^[ ?!]+|[ ?!]+$', '', 'g') ELSE r.q END AS query,
+  CASE WHEN i = 'features' THEN cat END AS category,
+  CASE WHEN i = 'features' THEN nullif(regexp_replace(regexp_extract(r.q, '(?i)(?:^|[^\pL\pM\pN_])(?:in|near|around)\s+([^\n]+?)[?.!]*$', 1), '^\s+|\s+$', '', 'g'), '') END AS area,
+  CAST(NULL AS VARCHAR) AS tag, CASE WHEN i IS NOT NULL THEN 'auto' END AS source, CAST(NULL AS VARCHAR) AS prompt, CASE WHEN i IS NOT NULL THEN 'all' END AS result_filter
+FROM c LEFT JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn""")
 def _(t):
-    plan = requests.parse_request("text")
-    return t.conversations.select("conv_id", "turn", F.when(plan.isNotNull() & plan["intent"].isin(*requests.INTENTS), "parsed").alias("state"))
+    plans = requests.with_plan(t.conversations.select("conv_id", "turn", "text"))
+    return plans.select("conv_id", "turn", *[F.col(f"plan.{f}").alias(f) for f in FIELDS], F.col("plan.filter").alias("result_filter"))
 
 
 @query("q2_category_of", "query_log", """
