@@ -243,10 +243,10 @@ def written(spans: str) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in angle brackets; overlapping spans
-    become one, of the kind of the first. A null text stays null. Fitting reads the texts once and
-    redaction once more, so that rows need no key."""
+    become one, of the kind of the first. A null text stays null. Fitting reads the texts once (only the
+    candidates are written) and redaction once more, so that rows need no key."""
     found = candidates(docs)
-    trees, thresholds = fit(found.select("doc.doc_id", "found"))
+    trees, thresholds = fit(cut_lineage(found.select("doc.doc_id", "found")))
     kind = "array<struct<start:bigint,ord:int,end:bigint>>"
 
     def grow(out, s):
