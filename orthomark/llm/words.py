@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-STEP = 3 << 20  # bytes handled at a time; a longer text is a step of its own
+STEP = 1 << 20  # bytes handled at a time; a longer text is a step of its own
 U64 = np.uint64
 _P = U64(0x9E3779B97F4A7C15)
 _P_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
