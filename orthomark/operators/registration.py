@@ -170,6 +170,32 @@ def align_same_grid(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("method", F.when(same, METHODS["same_grid"])).withColumn("reason", F.when(~same, "images differ in size"))
 
 
+def align_georeferenced(pairs: DataFrame) -> DataFrame:
+    """Pairs brought to the grid of the after image by their transforms (before_transform, after_transform,
+    sizes; one crs, or equal before_crs and after_crs): method and the matrix from before to after
+    pixels. Grids that are the same already keep the identity. Otherwise a reason."""
+    b, a = F.col("before_transform"), F.col("after_transform")
+    size = (F.col("before_width") == F.col("after_width")) & (F.col("before_height") == F.col("after_height"))
+    crs = F.lit(True)
+    if "before_crs" in pairs.columns:
+        crs = F.col("before_crs").eqNullSafe(F.col("after_crs"))
+    det = a["a"] * a["e"] - a["b"] * a["d"]
+    # Before pixels to the ground, and from there to after pixels.
+    inverse = {"a": a["e"] / det, "b": -a["b"] / det, "d": -a["d"] / det, "e": a["a"] / det}
+    dx, dy = b["c"] - a["c"], b["f"] - a["f"]
+    row = lambda p, q: [p * b["a"] + q * b["d"], p * b["b"] + q * b["e"], p * dx + q * dy]
+    zero, one = F.lit(0.0), F.lit(1.0)
+    matrix = F.array(*row(inverse["a"], inverse["b"]), *row(inverse["d"], inverse["e"]), zero, zero, one)
+    reason = (F.when(b.isNull() | a.isNull(), "not georeferenced").when(~crs, "different coordinate systems")
+              .when(F.abs(det) < F.lit(1e-30), "degenerate"))
+    same = size & b.eqNullSafe(a)
+    marked = pairs.withColumn("reason", reason)
+    identity = F.array(*[one if i % 4 == 0 else zero for i in range(9)])
+    usable = F.col("reason").isNull()
+    return (marked.withColumn("method", F.when(usable & same, METHODS["identical"]).when(usable, METHODS["georeferenced"]))
+            .withColumn("matrix", F.when(usable & same, identity).when(usable, matrix)))
+
+
 def apply_matrix(matrix, x, y) -> Column:
     """Struct x, y of a point under a row-major 3x3 matrix."""
     m = lambda i: F.get(matrix, F.lit(i))

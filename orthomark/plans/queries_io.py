@@ -175,6 +175,37 @@ def _(t):
         "scene_id", "added_pixels", "removed_pixels", "valid_overlap_pixels")
 
 
+@query("flow_change_features", "mask_pixels", changes_sql("(before_hit AND valid)", "(after_hit AND valid)") + """
+SELECT scene_id, change, CAST(sum(c1 - c0) AS BIGINT) AS area_pixels, round(13 + min(c0) * CAST(0.00001 AS DOUBLE), 6) AS west, round(13 + max(c1) * CAST(0.00001 AS DOUBLE), 6) AS east,
+  round(52 - min(prow) * CAST(0.00001 AS DOUBLE), 6) AS north, round(52 - (max(prow) + 1) * CAST(0.00001 AS DOUBLE), 6) AS south, CAST(9 AS BIGINT) AS geohash_length
+FROM changes WHERE scene_id % 7 <> 0 GROUP BY scene_id, change""", recursive=True)
+def _(t):
+    """A seventh of the scenes has no georeference and so no map features."""
+    from orthomark.functions import geo
+
+    date = lambda hit: t.mask_pixels.select("scene_id", "prow", "pcol", F.col(hit).alias("hit"), "valid")
+    changes = jobs.compare_dates(date("before_hit"), date("after_hit"), SIDE, SIDE)["changes"]
+    transform = F.when(F.col("s_suppkey") % 7 != 0, geo.affine(DEGREE, 0.0, 13.0, 0.0, -DEGREE, 52.0))
+    features = jobs.change_features(changes, t.supplier.select(F.col("s_suppkey").alias("scene_id"), transform.alias("transform")))
+    b = features.select("scene_id", "change", "area_pixels", "geohash", geometry.geom_bbox("geom").alias("b"))
+    return b.select("scene_id", "change", "area_pixels", F.round("b.xmin", 6).alias("west"), F.round("b.xmax", 6).alias("east"), F.round("b.ymax", 6).alias("north"),
+                    F.round("b.ymin", 6).alias("south"), F.length("geohash").cast("long").alias("geohash_length"))
+
+
+@query("flow_segment_area")
+def _(t):
+    """The mask grids as images: segmented, outlined on the map and matched with mapped boxes on the same ground."""
+    from orthomark.functions import geo
+
+    pixels = t.mask_pixels.select("scene_id", "prow", "pcol", "valid", F.when(F.col("after_hit"), 255.0).otherwise(0.0).alias("grey"))
+    scenes = t.supplier.select(F.col("s_suppkey").alias("scene_id"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), geo.affine(DEGREE, 0.0, 13.0, 0.0, -DEGREE, 52.0).alias("transform"))
+    x, y = 13 + F.col("x0") % SIDE * F.lit(DEGREE), 52 - F.col("y0") % SIDE * F.lit(DEGREE)
+    box = geometry.box_geom(x, y - 8 * DEGREE, x + 8 * DEGREE, y)
+    records = _polygons(t).select("scene_id", "osm_type", "osm_id", "name", "address", box.alias("geom"))
+    found = jobs.label_area(pixels, scenes, records, ["building"], threshold_predictor(), ["grey"], size=40, overlap=16, min_pixels=4)
+    return found.select("scene_id", "object_id", "label", "evidence_count", "match_status", "candidate_name", "geohash")
+
+
 @query("udtf_windows", "", """
 WITH s AS (SELECT s_suppkey AS scene_id, 300 + s_suppkey * 37 % 3000 AS width FROM supplier)
 SELECT scene_id, CAST(sum(CASE WHEN width <= 1008 THEN 1 ELSE ceil((width - 1008) / 912.0) + 1 END) AS BIGINT) AS windows FROM s GROUP BY scene_id""")

@@ -166,6 +166,29 @@ def _(t):
     return a.select("pair_id", "matched_landmarks", at(2).alias("dx"), at(5).alias("dy"), (F.col("registration_error_px") + F.lit(0.0)).alias("registration_error_px"), "reason")
 
 
+@query("r17_modes", "", """
+WITH k AS (SELECT c_custkey AS pair_id, c_custkey % 5 AS m, CAST(c_custkey % 40 AS DOUBLE) AS s FROM customer)
+SELECT pair_id, CASE m WHEN 0 THEN 'Identical image grids' WHEN 1 THEN 'Georeferenced common grid' WHEN 2 THEN 'Georeferenced common grid' END AS method,
+  CASE m WHEN 0 THEN CAST(0 AS DOUBLE) WHEN 1 THEN s WHEN 2 THEN s / 2 END AS dx, CASE m WHEN 0 THEN CAST(1 AS DOUBLE) WHEN 1 THEN CAST(1 AS DOUBLE) WHEN 2 THEN CAST(0.5 AS DOUBLE) END AS scale,
+  CASE m WHEN 3 THEN 'not georeferenced' WHEN 4 THEN 'different coordinate systems' END AS reason,
+  CASE WHEN m = 2 THEN 'images differ in size' END AS declared_reason FROM k""")
+def _(t):
+    """Grids that are equal, shifted, shifted and half as fine, without georeference, and in another system."""
+    from orthomark.functions import geo
+
+    k, m, shift = F.col("c_custkey"), F.col("c_custkey") % 5, (F.col("c_custkey") % 40).cast("double")
+    fine = F.when(m == 2, 4.0).otherwise(2.0)
+    pairs = t.customer.select(
+        k.alias("pair_id"), F.when(m != 3, geo.affine(2.0, 0.0, 100.0 + F.when(m == 0, 0.0).otherwise(2.0 * shift), 0.0, -2.0, 50.0)).alias("before_transform"),
+        geo.affine(fine, 0.0, F.lit(100.0), 0.0, -fine, F.lit(50.0)).alias("after_transform"), F.lit("EPSG:3857").alias("before_crs"),
+        F.when(m == 4, "EPSG:4326").otherwise("EPSG:3857").alias("after_crs"), *[F.lit(n).alias(c) for c, n in (("before_width", 200), ("before_height", 100))],
+        F.when(m == 2, 100).otherwise(200).alias("after_width"), F.when(m == 2, 50).otherwise(100).alias("after_height"))
+    placed = registration.align_georeferenced(pairs)
+    declared = registration.align_same_grid(pairs).select("pair_id", F.col("reason").alias("declared_reason"))
+    at = lambda i: F.round(F.get("matrix", F.lit(i)), 9) + F.lit(0.0)
+    return placed.select("pair_id", "method", at(2).alias("dx"), at(0).alias("scale"), "reason").join(declared, "pair_id")
+
+
 @query("a15_registration_quality", "", """
 WITH l AS (SELECT c_custkey, i, CASE WHEN i % 10 = 9 THEN sqrt((57 + i - 1) * (57 + i - 1) + (31 + i) * (31 + i)) ELSE CAST(1 AS DOUBLE) END AS residual FROM customer, range(40) AS a(i))
 SELECT c_custkey AS pair_id, round(median(residual) FILTER (residual <= 3), 6) AS registration_error_px, count(*) FILTER (residual <= 3) AS matched_landmarks,
