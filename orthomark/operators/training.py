@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,25 +170,30 @@ def augment_flips(pixels: DataFrame, keys: Sequence[str], width: int, height: in
 
 
 def train_classifier(samples: DataFrame, features: str = "features", label: str = "class_index", epochs: Sequence[int] = (5, 20),
-                     learning_rate: float = 0.001, batch_size: int = 2, seed: int = SEED):
+                     learning_rate: float = 0.001):
     """Linear classifier on split = 'train'; of the given iteration counts the one with the
     smallest validation loss is kept. Returns (model, history rows of epoch, train and val
     loss and accuracy)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    if not epochs or min(epochs) < 1 or batch_size < 2 or learning_rate <= 0:
-        raise ValueError("use epochs >= 1, batch size >= 2 and learning rate > 0")
+    if not epochs or min(epochs) < 1 or learning_rate <= 0:
+        raise ValueError("use epochs >= 1 and learning rate > 0")
     data = samples.select("split", F.col(label).cast("double").alias("label"), array_to_vector(F.col(features).cast("array<double>")).alias("features"))
+    # Every iteration count reads these rows again and again; memory falls back to disk.
+    data = data.filter("split IN ('train', 'val')").persist(StorageLevel.MEMORY_AND_DISK)
     train = data.filter("split = 'train'")
     best, history = None, []
     for count in epochs:
         model = LogisticRegression(maxIter=int(count), regParam=float(learning_rate), standardization=True).fit(train)
-        scored = _losses(model, data.filter("split IN ('train', 'val')"))
+        scored = _losses(model, data)
         record = {"epoch": int(count), **{f"{r['split']}_{m}": r[m] for r in scored.collect() for m in ("loss", "accuracy")}}
         history.append(record)
-        if best is None or record["val_loss"] < best[0]:
-            best = (record["val_loss"], model)
+        # Without validation rows the training loss decides.
+        loss = record.get("val_loss", record["train_loss"])
+        if best is None or loss < best[0]:
+            best = (loss, model)
+    data.unpersist()
     return best[1], history
 
 

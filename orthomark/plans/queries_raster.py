@@ -129,10 +129,13 @@ def _(t):
     return planned.select("request_id", *[F.when(usable, F.col(c)).alias(c) for c in ("width", "height", "windows")], "reason")
 
 
-@query("r4_cut_windows", "mask_pixels", """
+CUT_SQL = """
 , w AS (SELECT * FROM (VALUES (0, 0, 0), (1, 24, 0), (2, 0, 24), (3, 24, 24)) AS v(window_id, x, y))
 SELECT scene_id, CAST(window_id AS BIGINT) AS window_id, count(*) AS pixels, CAST(sum((prow - y) * 40 + (pcol - x)) AS BIGINT) AS positions, CAST(sum(after_hit::INT) AS BIGINT) AS hits
-FROM mask_pixels JOIN w ON prow >= y AND prow < y + 40 AND pcol >= x AND pcol < x + 40 GROUP BY scene_id, window_id""")
+FROM mask_pixels JOIN w ON prow >= y AND prow < y + 40 AND pcol >= x AND pcol < x + 40 GROUP BY scene_id, window_id"""
+
+
+@query("r4_cut_windows", "mask_pixels", CUT_SQL)
 def _(t):
     scenes = t.supplier.select(F.col("s_suppkey").alias("scene_id"), F.lit(64).alias("width"), F.lit(64).alias("height"))
     windows = views.plan_windows(scenes, 40, 16)
@@ -141,6 +144,14 @@ def _(t):
                                                     F.count_if("after_hit").alias("hits"))
 
 
+@query("r4_assign_windows", "mask_pixels", CUT_SQL)
+def _(t):
+    pixels = t.mask_pixels.select("scene_id", "prow", "pcol", "after_hit", F.lit(64).alias("width"), F.lit(64).alias("height"))
+    cut = views.assign_windows(pixels, 40, 16)
+    return cut.groupBy("scene_id", "window_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum(F.col("prow") * 40 + F.col("pcol")).alias("positions"),
+                                                    F.count_if("after_hit").alias("hits"))
+
+
 @query("r5_select_rgb", "", """
 SELECT s_suppkey AS scene_id, CASE s_suppkey % 3 WHEN 0 THEN '1,2,3' WHEN 1 THEN '4,3,2' END AS rgb,
   CASE WHEN s_suppkey % 3 = 2 THEN 'raster does not declare RGB bands' END AS reason FROM supplier""")
