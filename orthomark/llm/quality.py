@@ -42,14 +42,17 @@ LOW, HIGH, BINS = -12.0, 4.0, 16_000
 STEP_BINS = 2048
 
 
-def grams(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text number) of every n-gram."""
-    n = max(len(raw) - BYTES + 1, 0)
-    code = np.zeros(n, np.uint64)
-    for k in range(BYTES):
-        code = (code << np.uint64(8)) | raw[k:k + n]
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    inside = owner[:n] == owner[BYTES - 1:] if n else np.zeros(0, bool)
+def grams(raw: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, text number) of every n-gram, a very long text in parts."""
+    for at in range(0, len(raw), 2 * W.STEP):
+        part = raw[at:at + 2 * W.STEP + BYTES - 1]
+        n = max(len(part) - BYTES + 1, 0)
+        code = np.zeros(n, np.uint64)
+        for k in range(BYTES):
+            code = (code << np.uint64(8)) | part[k:k + n]
+        owner = np.searchsorted(bounds, np.arange(at, at + len(part)), side="right") - 1
+        inside = owner[:n] == owner[BYTES - 1:] if n else np.zeros(0, bool)
+        yield _bucket(code[inside]), owner[:n][inside]
     words = W.Words(raw, bounds, W.SPACED)
     again = np.zeros(len(words.codes), np.uint64)
     if len(again):
@@ -57,15 +60,21 @@ def grams(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pattern = np.zeros(len(again), np.uint64)
     for k in range(REPEATS):
         pattern[k:] |= again[:len(again) - k] << np.uint64(k)
-    code = np.concatenate([code[inside], pattern | np.uint64(1 << 40)])
-    return (W.mix(code) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.concatenate([owner[:n][inside], words.text])
+    yield _bucket(pattern | np.uint64(1 << 40)), words.text
+
+
+def _bucket(code: np.ndarray) -> np.ndarray:
+    return (W.mix(code) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def means(raw: np.ndarray, bounds: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Number of n-grams of every text, and the mean table value for each table."""
-    place, owner = grams(raw, bounds)
-    count = np.bincount(owner, minlength=len(bounds) - 1)
-    return count, [np.bincount(owner, t[place], minlength=len(count)) / np.maximum(count, 1) for t in tables]
+    count, sums = np.zeros(len(bounds) - 1, np.int64), [np.zeros(len(bounds) - 1) for _ in tables]
+    for place, owner in grams(raw, bounds):
+        count += np.bincount(owner, minlength=len(count))
+        for total, table in zip(sums, tables):
+            total += np.bincount(owner, table[place], minlength=len(count))
+    return count, [total / np.maximum(count, 1) for total in sums]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,11 +83,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         halves = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
         for at, to, raw, bounds in W.steps(batch.column(0)):
-            place, owner = grams(raw, bounds)
-            counts[0] += np.bincount(place, minlength=BUCKETS)
-            half = halves[at:to][owner]
-            for h in range(2):
-                counts[h + 1] += np.bincount(place[half == h], minlength=BUCKETS)
+            for place, owner in grams(raw, bounds):
+                counts[0] += np.bincount(place, minlength=BUCKETS)
+                half = halves[at:to][owner]
+                for h in range(2):
+                    counts[h + 1] += np.bincount(place[half == h], minlength=BUCKETS)
     some = np.flatnonzero(counts[0])
     yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(c[some]) for c in counts]], names=["bucket", "raw", "target0", "target1"])
 

@@ -71,14 +71,18 @@ class Words:
         if len(inside) and inside[0]:
             edges = np.concatenate([[0], edges])
         self.starts, self.ends = edges[0::2], edges[1::2]
-        if len(self.starts):
-            size = len(self.data)
+        self.codes = np.zeros(len(self.starts), U64)
+        at = 0
+        while at < len(self.starts):  # a very long text is hashed in parts
+            base = self.starts[at]
+            to = max(at + 1, int(np.searchsorted(self.ends, base + 2 * STEP)))
+            starts, ends = self.starts[at:to] - base, self.ends[at:to] - base
+            size = int(ends[-1])
             sums = np.zeros(size + 1, U64)
-            np.cumsum(self.data * _powers(_P, size), out=sums[1:])
-            self.codes = mix((sums[self.ends] - sums[self.starts]) * _powers(_P_INVERSE, size)[self.starts]
-                             + (self.ends - self.starts).astype(U64))
-        else:
-            self.codes = np.zeros(0, U64)
+            np.cumsum(self.data[base:base + size] * _powers(_P, size), out=sums[1:])
+            self.codes[at:to] = (sums[ends] - sums[starts]) * _powers(_P_INVERSE, size)[starts] + (ends - starts).astype(U64)
+            at = to
+        self.codes = mix(self.codes)
         firsts = np.searchsorted(self.starts, self.bounds)
         self.counts = np.diff(firsts)
         self.text = np.repeat(np.arange(n), self.counts)

@@ -382,3 +382,16 @@ def test_toxicity(spark):
 
 def test_hash_columns_are_stable():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_very_long_text_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    text = pa.array(["some words 12 éé and a " * 400 + "x" * 3000 + " end"])
+    whole = [w.codes for _, _, w in words.word_steps(text, words.ALNUM)][0]
+    raw, bounds = words.text_bytes(text)
+    counted = sum(np.bincount(p, minlength=quality.BUCKETS) for p, _ in quality.grams(raw, bounds))
+    monkeypatch.setattr(words, "STEP", 100)
+    parts = [w.codes for _, _, w in words.word_steps(text, words.ALNUM)][0]
+    assert (whole == parts).all()
+    assert (sum(np.bincount(p, minlength=quality.BUCKETS) for p, _ in quality.grams(raw, bounds)) == counted).all()
