@@ -175,6 +175,18 @@ def _(t):
         "scene_id", "added_pixels", "removed_pixels", "valid_overlap_pixels")
 
 
+@query("flow_compare_images", "mask_pixels", changes_sql("(before_hit AND valid)", "(after_hit AND valid)") + """
+SELECT scene_id, change, prow, CAST(sum(c1 - c0) AS BIGINT) AS pixels, count(*) AS runs FROM changes GROUP BY scene_id, change, prow""", recursive=True)
+def _(t):
+    """The before images are stored three columns and two rows off, and brought back by their matrix."""
+    image = lambda hit, right, down: t.mask_pixels.select(
+        "scene_id", (F.col("prow") + down).alias("prow"), (F.col("pcol") + right).alias("pcol"), "valid", F.when(F.col(hit), 255.0).otherwise(0.0).alias("grey"))
+    inverse = F.array(*[F.lit(float(v)) for v in (1, 0, 3, 0, 1, 2, 0, 0, 1)])
+    scenes = t.supplier.select(F.col("s_suppkey").alias("scene_id"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), inverse.alias("inverse"))
+    found = jobs.compare_images(image("before_hit", 3, 2), image("after_hit", 0, 0), scenes, ["building"], threshold_predictor(), ["grey"], size=40, overlap=16, object_pixels=1)
+    return found["changes"].groupBy("scene_id", "change", "prow").agg(F.sum(F.col("c1") - F.col("c0")).alias("pixels"), F.count(F.lit(1)).alias("runs"))
+
+
 @query("flow_change_features", "mask_pixels", changes_sql("(before_hit AND valid)", "(after_hit AND valid)") + """
 SELECT scene_id, change, CAST(sum(c1 - c0) AS BIGINT) AS area_pixels, round(13 + min(c0) * CAST(0.00001 AS DOUBLE), 6) AS west, round(13 + max(c1) * CAST(0.00001 AS DOUBLE), 6) AS east,
   round(52 - min(prow) * CAST(0.00001 AS DOUBLE), 6) AS north, round(52 - (max(prow) + 1) * CAST(0.00001 AS DOUBLE), 6) AS south, CAST(9 AS BIGINT) AS geohash_length
