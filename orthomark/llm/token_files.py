@@ -34,7 +34,7 @@ from orthomark.llm.tokens import Encoder, batches_of, tokenizer_path
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 SHARD_TOKENS = 1_000_000
-ROUNDS, LEAST, COMMON, AT_ONCE, STRIDE = 4, 16, 256, 1024, 64
+ROUNDS, LEAST, COMMON, AT_ONCE, STRIDE = 3, 16, 256, 1024, 64
 SHARDS = "part int, shard int, n_tokens long, doc_ids array<long>, doc_ends array<long>, data binary"
 
 
@@ -106,20 +106,25 @@ class Shard:
         self.lengths = np.frombuffer(data, "<u4", rules, at := at + 8 * int(rules))
         self.sequence = np.frombuffer(data, "<u4", symbols, at := at + 4 * int(rules))
         self.positions = np.frombuffer(data, "<u8", -1, at + 4 * int(symbols))
-        self.first = first_symbol
+        self.first, self.written = first_symbol, None
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids of some symbols: rules are replaced by their pairs until none is left."""
-        while True:
-            rules = symbols >= self.first
-            if not rules.any():
-                return symbols
-            where = np.cumsum(1 + rules) - 1  # the last place of every symbol
-            out = np.empty(int(where[-1]) + 1, np.uint32)
-            pair = self.pairs[symbols[rules] - self.first]
-            out[where] = symbols
-            out[where[rules] - 1], out[where[rules]] = pair[:, 0], pair[:, 1]
-            symbols = out
+        """The ids of some symbols, from the rules written out once."""
+        if self.written is None:
+            written: list[list[int]] = []
+            for left, right in self.pairs.tolist():
+                written.append([i for s in (left, right) for i in (written[s - self.first] if s >= self.first else (s,))])
+            self.written = np.array([i for ids in written for i in ids], np.uint32)
+            self.firsts = np.concatenate([[0], np.cumsum(self.lengths.astype(np.int64))])
+        lengths = symbol_lengths(self.lengths, symbols)
+        ends = np.cumsum(lengths)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        rules = symbols >= self.first
+        out[(ends - lengths)[~rules]] = symbols[~rules]
+        own, size = symbols[rules] - self.first, lengths[rules]
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat((ends - lengths)[rules], size) + inside] = self.written[np.repeat(self.firsts[own], size) + inside]
+        return out
 
     def tokens(self, start: int, stop: int) -> np.ndarray:
         """Ids at the positions start to stop of the shard, from the symbols that cover them."""

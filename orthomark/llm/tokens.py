@@ -136,7 +136,7 @@ class Encoder:
                 text = text.lower()
             if alone:
                 text = text.replace(".", " .").replace(",", " ,").replace("\n", " ")
-            return [w for w in text.split(" ") if w]
+            return list(filter(None, text.split(" ")))
         # Dots, commas and line ends that stand alone between other characters.
         if alone and not (b"nn" in classes or b"wn" in classes or b"nw" in classes or classes[:1] in b"ns" or b"ws" in classes or b"ns" in classes or classes[-1:] == b"n"):
             text = text.replace(".", " \1.").replace(",", " \1,").replace("\n", " \2")
@@ -157,15 +157,16 @@ class Encoder:
             if self.blanks_kept:  # the first piece has no blank before it
                 own[0] = self.first[words[0]]
             numbers.append(own)
-        known_lengths, ids = np.array(self.lengths), np.array(self.ids)
+        # The ids of all pieces of these texts in one go; a text with a piece -1 goes through the library.
+        known_lengths, ids = np.append(np.array(self.lengths), 0), np.array(self.ids)
         firsts = np.concatenate([[0], np.cumsum(known_lengths)])
-        for text, own in zip(texts, numbers):
-            if len(own) and own.min() < 0:
-                yield np.array(self.whole(text), np.uint32)
-                continue
-            lengths = known_lengths[own]
-            ends = np.cumsum(lengths)
-            yield ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(firsts[own] - (ends - lengths), lengths)]
+        pieces = np.concatenate([*numbers, np.zeros(0, np.int64)])
+        lengths = known_lengths[pieces]
+        ends = np.cumsum(lengths)
+        joined = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(firsts[pieces] - (ends - lengths), lengths)]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(n) for n in numbers])]).astype(np.int64)]
+        for text, own, start, end in zip(texts, numbers, bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield np.array(self.whole(text), np.uint32) if -1 in own else joined[start:end]
 
 
 def batches_of(texts: list[str], size: int = 2_000_000) -> Iterator[list[str]]:
