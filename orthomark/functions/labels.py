@@ -100,6 +100,10 @@ def concept_reason(prompt) -> Column:
             .when(F.length(_c(prompt)) > 200, "prompt too long"))
 
 
+# Fixed value: goes with every matched detection.
+LABEL_NOTE = "Names/addresses come from map evidence, not SAM; review spatial matches."
+
+
 def match_status(evidence_count) -> Column:
     return F.when(_c(evidence_count) > 0, CANDIDATES).otherwise(UNMATCHED)
 

@@ -20,36 +20,38 @@ EVIDENCE_COLUMNS = ("osm_type", "osm_id", "name", "address", "spatial_relation",
 AREAL = ("Polygon", "MultiPolygon")
 
 
-def _evidence(pairs: DataFrame, overlap, is_area, keys: Sequence[str]) -> DataFrame:
+def _evidence(pairs: DataFrame, overlap, is_area, keys: Sequence[str], keep: Sequence[str]) -> DataFrame:
     relation = F.when(is_area, labels.OVERLAPPING).otherwise(labels.CONTAINED_POINT)
     return pairs.select(*keys, F.col("r_osm_type").alias("osm_type"), F.col("r_osm_id").alias("osm_id"),
                         F.col("r_name").alias("name"), F.col("r_address").alias("address"),
                         relation.alias("spatial_relation"),
-                        F.when(is_area, round_exact(overlap, 4)).alias("intersection_over_union"))
+                        F.when(is_area, round_exact(overlap, 4)).alias("intersection_over_union"),
+                        *[F.col(f"r_{c}").alias(c) for c in keep])
 
 
 def match_evidence(detections: DataFrame, records: DataFrame, keys: Sequence[str] = ("scene_id", "object_id"),
-                   cell: float = 64, levels: int | None = None, salt: int = 1) -> DataFrame:
+                   cell: float = 64, levels: int | None = None, salt: int = 1, keep: Sequence[str] = ()) -> DataFrame:
     """One row per detection and map record that supports it, for axis-aligned boxes.
 
     Detections: keys, x0..y1. Records: scene_id, osm_type, osm_id, kind, name, address, x0..y1
-    (a point has x0 = x1). Polygons count from an unrounded IoU of .05, points when covered;
+    (a point has x0 = x1), and the columns ``keep`` that the evidence is to carry as well (tags, source,
+    source_url, geohash, ...). Polygons count from an unrounded IoU of .05, points when covered;
     other kinds never match.
     """
     left = detections.select(*keys, "x0", "y0", "x1", "y1")
     right = records.filter(F.col("kind").isin(*AREAL, "Point")).select(
-        "scene_id", "osm_type", "osm_id", "kind", "name", "address", "x0", "y0", "x1", "y1")
+        "scene_id", "osm_type", "osm_id", "kind", "name", "address", "x0", "y0", "x1", "y1", *keep)
     is_area = F.col("r_kind") != "Point"
     covered = ((F.col("r_x0") >= F.col("x0")) & (F.col("r_x0") <= F.col("x1"))
                & (F.col("r_y0") >= F.col("y0")) & (F.col("r_y0") <= F.col("y1")))
     pairs = overlapping_pairs(left, right, cell=cell, levels=levels, salt=salt,
                               condition=F.when(is_area, box_iou() >= MIN_EVIDENCE_IOU).otherwise(covered))
-    return _evidence(pairs, box_iou(), is_area, keys)
+    return _evidence(pairs, box_iou(), is_area, keys, keep)
 
 
 def match_evidence_geometry(detections: DataFrame, records: DataFrame, keys: Sequence[str] = ("scene_id", "object_id"),
                             group: Sequence[str] = ("scene_id",), cell: float = 0.002,
-                            levels: int | None = None, salt: int = 1) -> DataFrame:
+                            levels: int | None = None, salt: int = 1, keep: Sequence[str] = ()) -> DataFrame:
     """The same for WGS84 geometry: boxes prune, then the overlap is measured in a local
     equal-area projection about the detection's own interior point."""
     def boxed(df, columns):
@@ -58,29 +60,35 @@ def match_evidence_geometry(detections: DataFrame, records: DataFrame, keys: Seq
 
     left = detections.withColumn("at", geometry.representative_point("geom"))
     left = boxed(left, [*dict.fromkeys([*group, *keys]), "geom", "at"])
-    right = boxed(records.filter(F.col("geom.kind").isin(*AREAL, "Point")), [*group, "osm_type", "osm_id", "name", "address", "geom"])
+    right = boxed(records.filter(F.col("geom.kind").isin(*AREAL, "Point")), [*group, "osm_type", "osm_id", "name", "address", "geom", *keep])
     pairs = overlapping_pairs(left, right, group=group, cell=cell, levels=levels, salt=salt)
     is_area = F.col("r_geom.kind") != "Point"
     points = pairs.filter(~is_area).filter(geometry.covers_point("geom", "r_x0", "r_y0"))
     areas = pairs.filter(is_area).withColumn("_iou", local_iou("geom", "r_geom", F.col("at.x"), F.col("at.y")))
     areas = areas.filter(F.col("_iou") >= MIN_EVIDENCE_IOU)
-    return (_evidence(areas, F.col("_iou"), F.lit(True), keys)
-            .unionByName(_evidence(points, F.lit(None).cast("double"), F.lit(False), keys)))
+    return (_evidence(areas, F.col("_iou"), F.lit(True), keys, keep)
+            .unionByName(_evidence(points, F.lit(None).cast("double"), F.lit(False), keys, keep)))
 
 
 def collect_evidence(detections: DataFrame, evidence: DataFrame, keys: Sequence[str] = ("scene_id", "object_id")) -> DataFrame:
     """Detections with their evidence array (best overlap first, points last), status and
-    tentative identity. ``name`` and ``address`` stay NULL. The evidence rows themselves are
-    the form to use where one detection may cover very many records."""
+    tentative identity. Further columns of the evidence rows go into the array as well. ``name`` and
+    ``address`` stay NULL. The evidence rows themselves are the form to use where one detection may
+    cover very many records."""
     iou = F.coalesce(F.col("intersection_over_union"), F.lit(0.0))
-    ordered = F.struct((-iou).alias("order"), "osm_type", "osm_id", "name", "address",
-                       "spatial_relation", "intersection_over_union")
-    grouped = evidence.groupBy(*keys).agg(F.array_sort(F.collect_list(ordered)).alias("_sorted"), *_identity(iou))
-    fields = EVIDENCE_COLUMNS
+    more = [c for c in evidence.columns if c not in (*keys, *EVIDENCE_COLUMNS)]
+    fields = [*EVIDENCE_COLUMNS, *more]
+    # Maps cannot be compared, so further columns do not take part in the order.
+    ordered = F.struct((-iou).alias("order"), "osm_type", "osm_id", "name", "address", "spatial_relation", "intersection_over_union")
+    entry = F.struct(ordered.alias("o"), *more)
+    by_order = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
+    sorted_entries = F.transform(F.array_sort(F.collect_list(entry), by_order), lambda e: F.struct(
+        *[e["o"][f].alias(f) for f in EVIDENCE_COLUMNS], *[e[f].alias(f) for f in more]))
+    grouped = evidence.groupBy(*keys).agg(sorted_entries.alias("_sorted"), *_identity(iou))
     evidence_array = F.transform("_sorted", lambda e: F.struct(*[e[f].alias(f) for f in fields]))
     joined = detections.drop("name", "address").join(grouped, list(keys), "left")
     return (joined.withColumn("map_evidence", F.coalesce(evidence_array, F.expr("filter(array(named_struct("
-            + ", ".join(f"'{f}', CAST(NULL AS {t})" for f, t in zip(fields, ("string", "bigint", "string", "string", "string", "double")))
+            + ", ".join(f"'{f}', CAST(NULL AS {evidence.schema[f].dataType.simpleString()})" for f in fields)
             + ")), x -> false)"))).drop("_sorted")
             .transform(_finish))
 
@@ -108,6 +116,7 @@ def _finish(df: DataFrame) -> DataFrame:
             .withColumn("candidate_name", F.when(single, F.col("_pick.name")))
             .withColumn("candidate_address", F.when(single, F.col("_pick.address")))
             .withColumn("evidence_addresses", F.coalesce("evidence_addresses", F.lit(0).cast("long")))
+            .withColumn("label_note", F.lit(labels.LABEL_NOTE))
             .drop("_strong", "_pick"))
 
 

@@ -63,6 +63,21 @@ def _(t):
     return _evidence(t)
 
 
+@query("j1_evidence_properties", "detections map_polygons map_points", EVIDENCE + """
+, source AS (SELECT osm_type, osm_id, tag_key, tag_value FROM map_polygons)
+SELECT object_id, count(*) AS records, string_agg(e.osm_type || ' ' || CAST(e.osm_id AS VARCHAR) || ' ' || coalesce(tag_key || '=' || tag_value, '-'), ', '
+   ORDER BY coalesce(intersection_over_union, 0) DESC, e.osm_type, e.osm_id) AS listed
+FROM evidence e LEFT JOIN source s ON s.osm_type = e.osm_type AND s.osm_id = e.osm_id GROUP BY object_id""")
+def _(t):
+    """The evidence array with the tags of the records carried along."""
+    records = evidence.map_records(_polygons(t), _points(t)).join(t.map_polygons.select("osm_type", "osm_id", F.create_map("tag_key", "tag_value").alias("tags")), ["osm_type", "osm_id"], "left")
+    d = _detections(t)
+    found = evidence.collect_evidence(d, evidence.match_evidence(d, records, levels=1, keep=("tags",))).filter(F.size("map_evidence") > 0)
+    tag = lambda e: F.coalesce(F.array_join(F.transform(F.map_entries(e["tags"]), lambda m: F.concat(m["key"], F.lit("="), m["value"])), ","), F.lit("-"))
+    listed = F.array_join(F.transform("map_evidence", lambda e: F.concat_ws(" ", e["osm_type"], e["osm_id"].cast("string"), tag(e))), ", ")
+    return found.select("object_id", F.size("map_evidence").cast("long").alias("records"), listed.alias("listed"))
+
+
 @query("j1_match_evidence_geometry", "detections map_polygons map_points", """
 , boxes AS (SELECT d.object_id, p.osm_type, p.osm_id, d.w AS wa, p.w AS wb, least(d.x0 + d.w, p.x0 + p.w) - greatest(d.x0, p.x0) AS across,
    radians(52 + d.y0 * 1e-5::DOUBLE) AS a0, radians(52 + (d.y0 + d.h) * 1e-5::DOUBLE) AS a1, radians(52 + p.y0 * 1e-5::DOUBLE) AS b0, radians(52 + (p.y0 + p.h) * 1e-5::DOUBLE) AS b1
