@@ -15,6 +15,9 @@ from orthomark.functions import geo, labels
 # Candidates per search and lifetime of a response.
 TOP_PLACES = 6
 RESPONSE_TTL_SECONDS = 86400
+# A word of more places is compared in tiles; so many of them at most, and the sides of a tile.
+HOT_WORD, HOT_WORDS = 1000, 512
+TILE_SEARCHES, TILE_PLACES, TILE_CHUNKS = 4096, 32_768, 16
 PLACE_SOURCE = "OpenStreetMap via Photon"
 
 
@@ -23,20 +26,72 @@ def tokens_of(text) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(t), r"(?U)[^\w]+"), lambda w: w != ""))
 
 
-def top_places(searches: DataFrame, places: DataFrame, k: int = TOP_PLACES) -> DataFrame:
-    """The best ``k`` places per search: most shared words, then nearest to the view centre.
+def top_places(searches: DataFrame, places: DataFrame, k: int = TOP_PLACES, hot: int = HOT_WORD) -> DataFrame:
+    """The best ``k`` places per search: most shared words, then nearest to the view centre, then smallest id.
 
-    ``searches``: search_id, text, cx, cy. ``places``: place_id, text, x, y. A pair is formed
-    only at its first shared word; the rank limit is applied before the shuffle.
+    ``searches``: search_id, text, cx, cy. ``places``: place_id, text, x, y. Pairs are formed at their
+    first shared word that at most ``hot`` places have. Words of more places (the HOT_WORDS most
+    frequent ones; the rest stays with the pairs) would bring every search to every place: for these,
+    tiles of searches and places are compared by bit masks, and only the best ``k`` of a tile are written.
+    A place left out of them has ``k`` others before it whatever else it shares, so the result is exact.
     """
-    s = searches.select("search_id", "cx", "cy", tokens_of("text").alias("_qt")).withColumn("_w", F.explode("_qt"))
-    p = places.select("place_id", "x", "y", tokens_of("text").alias("_pt")).withColumn("_w", F.explode("_pt"))
-    shared = F.array_intersect("_qt", "_pt")
-    pairs = s.hint("merge").join(p, "_w").withColumn("_s", shared).filter(F.array_min("_s") == F.col("_w"))
+    s = searches.select("search_id", "cx", "cy", tokens_of("text").alias("_qt"))
+    p = places.select("place_id", "x", "y", tokens_of("text").alias("_pt"))
+    counted = p.select(F.explode("_pt").alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot)
+    frequent = [r["_w"] for r in counted.orderBy(F.col("n").desc(), "_w").limit(HOT_WORDS).collect()]
+    known = F.array(*[F.lit(w) for w in frequent]).cast("array<string>")
+    s = s.withColumn("_qr", F.array_except("_qt", known)).withColumn("_w", F.explode("_qr"))
+    p = p.withColumn("_pr", F.array_except("_pt", known)).withColumn("_w", F.explode("_pr"))
+    pairs = s.hint("merge").join(p, "_w").filter(F.array_min(F.array_intersect("_qr", "_pr")) == F.col("_w"))
     distance = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
-    ranked = pairs.select("search_id", "place_id", F.size("_s").cast("long").alias("shared_words"), distance.alias("distance2"))
+    found = pairs.select("search_id", "place_id", F.size(F.array_intersect("_qt", "_pt")).cast("long").alias("shared_words"), distance.cast("double").alias("distance2"))
+    if frequent:
+        both = found.unionByName(_hot_places(searches, places, known, k))
+        found = both.groupBy("search_id", "place_id").agg(F.max("shared_words").alias("shared_words"), F.min("distance2").alias("distance2"))
     order = Window.partitionBy("search_id").orderBy(F.col("shared_words").desc(), "distance2", "place_id")
-    return ranked.withColumn("place_rank", F.row_number().over(order)).filter(F.col("place_rank") <= k)
+    return found.withColumn("place_rank", F.row_number().over(order)).filter(F.col("place_rank") <= k)
+
+
+def _hot_places(searches: DataFrame, places: DataFrame, known: Column, k: int) -> DataFrame:
+    """The best k places of every tile for every search, by frequent words alone."""
+    numbers = lambda text: F.transform(F.array_intersect(tokens_of(text), known), lambda w: F.array_position(known, w).cast("int") - 1)
+    s = searches.select("search_id", F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"), numbers("text").alias("hot")).filter(F.size("hot") > 0)
+    p = places.select("place_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), numbers("text").alias("hot")).filter(F.size("hot") > 0)
+    groups, chunks = (max(least, -(-side.count() // most)) for side, least, most in ((s, 1, TILE_SEARCHES), (p, TILE_CHUNKS, TILE_PLACES)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = s.select(place("search_id", groups).alias("g"), every(chunks).alias("c"), "search_id", "x", "y", "hot")
+    right = p.select(every(groups).alias("g"), place("place_id", chunks).alias("c"), "place_id", "x", "y", "hot")
+
+    def masks(hot: pd.Series) -> np.ndarray:
+        out = np.zeros((len(hot), HOT_WORDS // 64), np.uint64)
+        rows, bits = np.repeat(np.arange(len(hot)), [len(h) for h in hot]), np.concatenate([np.asarray(h, np.int64) for h in hot])
+        np.bitwise_or.at(out, (rows, bits // 64), np.uint64(1) << (bits % 64).astype(np.uint64))
+        return out
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            mine, theirs, ids = masks(a["hot"]), masks(b["hot"]), b["place_id"].to_numpy()
+            used = np.flatnonzero(mine.any(axis=0))
+            x, y = b["x"].to_numpy(), b["y"].to_numpy()
+            for row, (search, cx, cy) in enumerate(zip(a["search_id"], a["x"], a["y"])):
+                shared = np.bitwise_count(theirs[:, used] & mine[row, used]).sum(axis=1)
+                away, left_over = (x - cx) ** 2 + (y - cy) ** 2, k
+                for level in np.unique(shared[shared > 0])[::-1]:
+                    at = np.flatnonzero(shared == level)
+                    if len(at) > left_over:
+                        at = at[away[at] <= np.partition(away[at], left_over - 1)[left_over - 1]]
+                    at = at[np.lexsort((ids[at], away[at]))][:left_over]
+                    out.extend(zip([search] * len(at), ids[at].tolist(), [int(level)] * len(at), away[at].tolist()))
+                    left_over -= len(at)
+                    if not left_over:
+                        break
+        return pd.DataFrame(out, columns=["search_id", "place_id", "shared_words", "distance2"])
+
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((searches, "search_id"), (places, "place_id"))]
+    return left.groupBy("g", "c").cogroup(right.groupBy("g", "c")).applyInPandas(
+        best, f"search_id {kinds[0]}, place_id {kinds[1]}, shared_words bigint, distance2 double")
 
 
 def normalise_place_records(raw: DataFrame, fetched_at=None) -> DataFrame:

@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from orthomark.operators import components, descriptors, evidence, lookups, masks, merging, ordering
+from orthomark.functions import requests
+from orthomark.operators import components, descriptors, evidence, lookups, masks, merging, ordering, registration
 from orthomark.operators.grid_join import overlapping_pairs
+from orthomark.sources import readers
 from orthomark.streaming import jobs as streams
 
 BOXES = "scene_id long, key long, x0 long, y0 long, x1 long, y1 long"
@@ -165,3 +167,62 @@ def test_late_edits_lose(spark, tmp_path):
     assert {r["object_id"]: r["reviewed_label"] for r in streams.current_edits(spark, str(tmp_path / "log")).collect()} == {1: "new", 2: "y"}
     streams.compact_edits(spark, str(tmp_path / "log"), str(tmp_path / "compact"))
     assert spark.read.parquet(str(tmp_path / "compact")).count() == 2
+
+
+@pytest.mark.parametrize("hot", [0, 3, 40, 10_000])
+def test_top_places_with_frequent_words(spark, hot):
+    """Every split of words into frequent and other ones gives the same places."""
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(12)]
+    text = lambda: " ".join({words[int(v)] for v in np.minimum(rng.geometric(.25, rng.integers(1, 5)) - 1, 11)})
+    places = [(k, text(), int(rng.integers(0, 30)), int(rng.integers(0, 30))) for k in range(300)]
+    searches = [(k, text() if k else "", int(rng.integers(0, 30)), int(rng.integers(0, 30))) for k in range(40)]
+    out = lookups.top_places(spark.createDataFrame(searches, "search_id long, text string, cx int, cy int"),
+                             spark.createDataFrame(places, "place_id long, text string, x int, y int"), hot=hot)
+    got = sorted((r["search_id"], r["place_rank"], r["place_id"], r["shared_words"]) for r in out.collect())
+    expected = []
+    for s, q, cx, cy in searches:
+        ranked = sorted((-len(set(q.split()) & set(t.split())), (x - cx) ** 2 + (y - cy) ** 2, p) for p, t, x, y in places)
+        expected += [(s, n + 1, p, -c) for n, (c, _, p) in enumerate(r for r in ranked[:6] if r[0])]
+    assert got == sorted(expected)
+
+
+def test_instances_without_area_stay(spark):
+    rects = "array<struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint>>"
+    rows = [(1, "a", 0, k, .9, [(5, 5, 5, 9)]) for k in range(2)] + [(1, "a", 0, k, .8, [(0, 0, 9, 9)]) for k in (2, 3)]
+    df = spark.createDataFrame(rows, f"scene_id long, concept string, window_id long, instance_id long, score double, rects {rects}")
+    got = sorted((r["area_pixels"], r["members"]) for r in merging.merge_across_windows(df, 0.0).collect())
+    assert got == [(0, 1), (0, 1), (81, 2)]
+
+
+def test_codes_hold_every_element(spark):
+    rows = [(1, [1.0] * 128), (2, [1.0] * 64 + [-1.0] * 64), (3, [1.0] * 70)]
+    codes = {r["id"]: r["c"] for r in spark.createDataFrame(rows, "id long, v array<double>").select("id", descriptors.sign_code("v").alias("c")).collect()}
+    assert codes[1] == [-1, -1] and codes[2] == [-1, 0] and codes[3] == [-1, 63]
+
+
+def test_pair_of_very_many_landmarks(spark):
+    rng = np.random.default_rng(2)
+    b = rng.uniform(0, 900, (6001, 2))
+    rows = [(1, "auto", *map(float, p), float(p[0] + 5), float(p[1] - 3)) for p in b] + [(2, "manual", *map(float, p), *map(float, p)) for p in b[:31]]
+    fit = {r["pair_id"]: r for r in registration.align_pairs(spark.createDataFrame(rows, "pair_id long, mode string, bx double, by double, ax double, ay double")).collect()}
+    assert fit[1]["reason"] is None and fit[1]["matched_landmarks"] == 6001 and np.allclose(np.array(fit[1]["matrix"])[[2, 5]], [5, -3], atol=1e-6)
+    assert fit[2]["reason"] is None and fit[2]["landmarks"] == 31
+
+
+def test_unreadable_images_are_kept(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "same.png").write_bytes(b"no image")
+    images, pixels = readers.read_images(spark, str(tmp_path / "*"))
+    rows = images.collect()
+    assert len({r["path"] for r in rows}) == 2 and {(r["file"], r["reason"]) for r in rows} == {("same.png", "not a readable image")} and pixels.count() == 0
+
+
+def test_long_texts_have_plans(spark):
+    df = spark.createDataFrame([("find hospitals " + "x " * 2000,), ("   ",), ("segment " + "q" * 500,)], "text string")
+    rows = requests.with_plan(df).select("plan.*", requests.request_reason("text").alias("reason")).collect()
+    assert (rows[0]["intent"], rows[0]["category"], rows[0]["reason"]) == ("features", "hospitals", "query too long")
+    assert rows[1]["intent"] is None and rows[1]["reason"] == "empty query" and rows[2]["prompt"] == "q" * 500
+    same = df.select(requests.parse_request("text").alias("plan")).select("plan.*").collect()
+    assert [tuple(r)[:10] for r in same] == [tuple(r)[:10] for r in rows]
