@@ -136,10 +136,12 @@ def detect_changes(before: DataFrame, after: DataFrame, valid: DataFrame, width,
     """Runs of candidate changes with their kind: in one mask, away from the other's dilated
     outline, on valid pixels, in regions that are not small."""
     group = list(group)
-    added = difference_masks(after, dilate(before, tolerance, width, height, group, merge=False), valid, group)
-    removed = difference_masks(before, dilate(after, tolerance, width, height, group, merge=False), valid, group)
-    both = (added.withColumn("change", F.lit("added candidate"))
-            .unionByName(removed.withColumn("change", F.lit("removed candidate"))))
+    grown = lambda runs: dilate(runs, tolerance, width, height, group, merge=False)
+    # Both kinds in one pass; a mask lies within its grown form, so a pixel is of one kind at most.
+    kinds = pieces({"before": before, "after": after, "near_before": grown(before), "near_after": grown(after), "valid": valid},
+                   lambda n: F.when((n["valid"] > 0) & (n["after"] > 0) & (n["near_before"] == 0), "added candidate")
+                   .when((n["valid"] > 0) & (n["before"] > 0) & (n["near_after"] == 0), "removed candidate"), group)
+    both = kinds.select(*group, F.col("value").alias("change"), "prow", "c0", "c1")
     return remove_small(both, min_pixels, [*group, "change"])
 
 

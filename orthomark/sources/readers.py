@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orthomark.functions import geo, geometry, labels
+from orthomark.session import cut_lineage
 
 # Fixed value: the source written on normalised map records.
 RECORD_SOURCE = "OpenStreetMap via Overpass"
@@ -54,20 +55,35 @@ def geojson_coordinates(geom) -> Column:
 def read_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(features, rejected files). Rejected: other types, pixel space, other coordinate systems.
 
-    Every file is one collection; large layers are kept as many files, as the writer makes them.
+    A file with a head line, one feature a line and a closing line, as the writer makes them, is read
+    by line and split like any text, whatever its size. Any other file is one row of whole text.
     """
-    # Whole text, then from_json: the JSON source cuts out nested text by searching from the
-    # start of the file each time.
-    text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    files = text.withColumn("_d", F.from_json("value", _COLLECTION)).select("_d.*", "file")
-    reason = (F.when(~F.coalesce(F.col("type") == "FeatureCollection", F.lit(False)) | F.col("features").isNull(), "not a feature collection")
-              .when(F.col("coordinate_space").isNotNull(), "pixel coordinates")
-              .when(~F.coalesce(F.col("crs").rlike("4326|CRS84"), F.lit(True)), "not WGS84"))
-    marked = files.withColumn("reason", reason)
-    rejected = marked.filter("reason IS NOT NULL").select("file", "reason")
-    features = marked.filter("reason IS NULL").select("file", "attribution", F.explode("features").alias("f"))
+    value = F.trim("value")
+    is_feature = value.rlike(r'^,?\s*\{"type":\s*"Feature",')
+    is_head = value.rlike(r'^\{"type":\s*"FeatureCollection".*"features":\s*\[$')
+    is_end = value.isin("]}", "")
+    lines = spark.read.text(path).withColumn("file", F.input_file_name())
+    # One row per file.
+    files = cut_lineage(lines.groupBy("file").agg(
+        F.count_if(is_head).alias("heads"), F.count_if(~(is_feature | is_head | is_end)).alias("others"), F.max(F.when(is_head, value)).alias("head")))
+    by_line = (F.col("heads") == 1) & (F.col("others") == 0)
+    head = F.from_json(F.concat("head", F.lit("]}")), _COLLECTION)
+    # from_json on whole text: the JSON source cuts out nested text by searching from the start each time.
+    rest = [r["file"] for r in files.filter(~by_line).select("file").collect()]
+    whole = spark.read.text(rest, wholetext=True) if rest else spark.createDataFrame([], "value string")
+    whole = whole.withColumn("file", F.input_file_name()).select("file", F.from_json("value", _COLLECTION).alias("_d"))
+    reason = (F.when(~F.coalesce(F.col("_d.type") == "FeatureCollection", F.lit(False)) | F.col("_d.features").isNull(), "not a feature collection")
+              .when(F.col("_d.coordinate_space").isNotNull(), "pixel coordinates")
+              .when(~F.coalesce(F.col("_d.crs").rlike("4326|CRS84"), F.lit(True)), "not WGS84"))
+    heads = files.filter(by_line).select("file", head.alias("_d")).withColumn("reason", reason)
+    marked = whole.withColumn("reason", reason)
+    rejected = heads.unionByName(marked).filter("reason IS NOT NULL").select("file", "reason")
+    feature = F.from_json(F.regexp_replace(value, r"^,\s*", ""), _FEATURE)
+    from_lines = (lines.filter(is_feature).join(heads.filter("reason IS NULL").select("file", "_d.attribution"), "file")
+                  .select("file", "attribution", feature.alias("f")))
+    from_whole = marked.filter("reason IS NULL").select("file", "_d.attribution", F.explode("_d.features").alias("f"))
     geom = geojson_geometry(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))
-    return features.select("file", "attribution", geom.alias("geom"), F.col("f.properties").alias("properties")), rejected
+    return from_lines.unionByName(from_whole).select("file", "attribution", geom.alias("geom"), F.col("f.properties").alias("properties")), rejected
 
 
 def read_manifest(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

@@ -226,3 +226,20 @@ def test_long_texts_have_plans(spark):
     assert rows[1]["intent"] is None and rows[1]["reason"] == "empty query" and rows[2]["prompt"] == "q" * 500
     same = df.select(requests.parse_request("text").alias("plan")).select("plan.*").collect()
     assert [tuple(r)[:10] for r in same] == [tuple(r)[:10] for r in rows]
+
+
+def test_geojson_by_line_and_whole(spark, tmp_path):
+    """A collection in one line, over many lines, and as the writer lays it out give the same features."""
+    import json
+
+    features = [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [k, 1.5]}, "properties": {"n": k, "t": ',{"type":"Feature",'}} for k in range(5)]
+    collection = {"type": "FeatureCollection", "attribution": "x", "features": features}
+    (tmp_path / "one.geojson").write_text(json.dumps(collection))
+    (tmp_path / "many.geojson").write_text(json.dumps(collection, indent=2))
+    compact = [json.dumps(f, separators=(",", ":")) for f in features]
+    (tmp_path / "lines.geojson").write_text('{"type": "FeatureCollection", "attribution": "x", "features": [\n' + "\n,".join(compact) + "\n]}\n")
+    (tmp_path / "empty.geojson").write_text('{"type": "FeatureCollection", "features": [\n]}\n')
+    found, rejected = readers.read_geojson(spark, str(tmp_path))
+    rows = sorted((r["file"].rsplit("/", 1)[1], r["attribution"], r["geom"]["rings"][0][0][0]["x"], r["properties"]["n"]) for r in found.collect())
+    assert rows == sorted((f"{name}.geojson", "x", float(k), str(k)) for name in ("one", "many", "lines") for k in range(5))
+    assert rejected.count() == 0
