@@ -50,7 +50,8 @@ def grams(raw: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         code = np.zeros(n, np.uint64)
         for k in range(BYTES):
             code = (code << np.uint64(8)) | part[k:k + n]
-        owner = np.searchsorted(bounds, np.arange(at, at + len(part)), side="right") - 1
+        # Only a text of its own is longer than a part.
+        owner = np.zeros(len(part), np.int64) if len(bounds) == 2 else np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[at:at + len(part)]
         inside = owner[:n] == owner[BYTES - 1:] if n else np.zeros(0, bool)
         yield _bucket(code[inside]), owner[:n][inside]
     words = W.Words(raw, bounds, W.SPACED)
