@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -106,25 +105,20 @@ class Shard:
         self.lengths = np.frombuffer(data, "<u4", rules, at := at + 8 * int(rules))
         self.sequence = np.frombuffer(data, "<u4", symbols, at := at + 4 * int(rules))
         self.positions = np.frombuffer(data, "<u8", -1, at + 4 * int(symbols))
-        self.first, self.written = first_symbol, None
+        self.first, self.table = first_symbol, None
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids of some symbols, from the rules written out once."""
-        if self.written is None:
+        """The ids of some symbols, from a table of all ids and of all rules written out once."""
+        if self.table is None:
             written: list[list[int]] = []
             for left, right in self.pairs.tolist():
                 written.append([i for s in (left, right) for i in (written[s - self.first] if s >= self.first else (s,))])
-            self.written = np.array([i for ids in written for i in ids], np.uint32)
-            self.firsts = np.concatenate([[0], np.cumsum(self.lengths.astype(np.int64))])
-        lengths = symbol_lengths(self.lengths, symbols)
-        ends = np.cumsum(lengths)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
-        rules = symbols >= self.first
-        out[(ends - lengths)[~rules]] = symbols[~rules]
-        own, size = symbols[rules] - self.first, lengths[rules]
-        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat((ends - lengths)[rules], size) + inside] = self.written[np.repeat(self.firsts[own], size) + inside]
-        return out
+            self.table = np.concatenate([np.arange(self.first, dtype=np.uint32), np.array([i for ids in written for i in ids], np.uint32)])
+            self.sizes = np.concatenate([np.ones(self.first, np.int64), self.lengths])
+            self.places = np.cumsum(self.sizes) - self.sizes
+        sizes = self.sizes[symbols]
+        ends = np.cumsum(sizes)
+        return self.table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.places[symbols] - (ends - sizes), sizes)]
 
     def tokens(self, start: int, stop: int) -> np.ndarray:
         """Ids at the positions start to stop of the shard, from the symbols that cover them."""
@@ -188,10 +182,11 @@ def _documents(spark: SparkSession, folder: str, name: str, kind: str, value) ->
                 raw = memoryview(shard.expand(shard.sequence).astype("<u4").tobytes())
                 ends = row["doc_ends"]
                 starts = [0, *ends[:-1]]
-                columns = zip([row["part"]] * len(ends), [row["shard"]] * len(ends), row["doc_ids"], starts,
-                              [e - s for s, e in zip(starts, ends)], [value(raw[4 * s:4 * e]) for s, e in zip(starts, ends)])
+                columns = ([row["part"]] * len(ends), [row["shard"]] * len(ends), row["doc_ids"], starts, [e - s for s, e in zip(starts, ends)],
+                           [value(raw[4 * s:4 * e]) for s, e in zip(starts, ends)])
+                found = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
                 for at in range(0, len(ends), 2000):  # a batch of decoded documents stays small
-                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, c)) for c in islice(columns, 2000)], schema=schema)
+                    yield found.slice(at, 2000)
 
     longs = [pa.field(n, pa.int64()) for n in ("doc_id", "local", "n_tokens")]
     schema = pa.schema([pa.field("part", pa.int32()), pa.field("shard", pa.int32()), *longs, pa.field(name, pa.int64() if kind == "long" else pa.binary())])
