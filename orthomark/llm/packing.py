@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orthomark.llm.tokens import Encoder, batches_of, tokenizer_path
+from orthomark.llm.tokens import Encoder, batches_of, some_at_a_time, tokenizer_path
 from orthomark.session import cut_lineage
 
 SIZE = 2048
@@ -75,7 +75,7 @@ def pieces(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, with
         encoder, part, seen = Encoder(path, blanks_kept=True), TaskContext.get().partitionId(), [0] * (size + 1)
         for batch in batches:
             doc_ids, at = batch.column(0), 0
-            for texts in batches_of([t or "" for t in batch.column(1).to_pylist()]):
+            for texts in batches_of(some_at_a_time(batch.column(1))):
                 doc, rows = [], []
                 for k, ids in enumerate(encoder.encode(texts)):
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orthomark.llm.tokens import Encoder, batches_of, tokenizer_path
+from orthomark.llm.tokens import Encoder, batches_of, some_at_a_time, tokenizer_path
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 SHARD_TOKENS = 1_000_000
@@ -150,7 +150,7 @@ def _write(path: str):
 
         for batch in batches:
             ids_of, at = batch.column(0).to_pylist(), 0
-            for texts in batches_of([t or "" for t in batch.column(1).to_pylist()]):
+            for texts in batches_of(some_at_a_time(batch.column(1))):
                 for ids in encoder.encode(texts):
                     held.append(np.append(ids, np.uint32(END_ID)))
                     doc_ids.append(ids_of[at])

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -169,7 +169,13 @@ class Encoder:
             yield np.array(self.whole(text), np.uint32) if -1 in own else joined[start:end]
 
 
-def batches_of(texts: list[str], size: int = 2_000_000) -> Iterator[list[str]]:
+def some_at_a_time(column, rows: int = 256) -> Iterator[str]:
+    """Texts of an Arrow column, null as empty, few of them as Python strings at once."""
+    for at in range(0, len(column), rows):
+        yield from (t or "" for t in column.slice(at, rows).to_pylist())
+
+
+def batches_of(texts: Iterable[str], size: int = 2_000_000) -> Iterator[list[str]]:
     """Texts in lists of about ``size`` characters."""
     held, total = [], 0
     for text in texts:
