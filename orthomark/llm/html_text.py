@@ -4,11 +4,13 @@
    page furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments, told
    by element, role or class), or neither. Scripts, styles and markup vanish.
 2. The pages of a host come together in shards of about ``SHARD`` pages, so that a host of any size
-   spreads over many tasks. In a shard the tokens outside of articles, one stream a page, are
-   concatenated with a mark of its own after each page and their suffixes sorted by prefix
+   spreads over many tasks. In a host of one shard the tokens outside of articles, one stream a page,
+   are concatenated with a mark of its own after each page and their suffixes sorted by prefix
    doubling, up to ``RUN`` tokens. Suffixes that stand together in the suffix array with equal first
-   ``RUN`` tokens and come from at least ``PAGES`` distinct streams are repeated. A block that such runs
-   cover whole is boilerplate, and so is what a run inside of one block covers.
+   ``RUN`` tokens and come from at least ``PAGES`` distinct streams are repeated. Of a host of many
+   shards the distinct streams that hold a run are counted over the whole host, by 64-bit codes of
+   the runs, and each shard gets back the repeated runs it holds; that is the same set of runs.
+   A block that such runs cover whole is boilerplate, and so is what a run inside of one block covers.
 3. The main text is the article if the page has one, else the main element, else the unique runs
    outside of furniture: what no repeated substring covers. Text of an article is never removed, however
    often it occurs elsewhere.
@@ -19,6 +21,7 @@ extracted alike; pages without a url form a host of their own.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -28,6 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orthomark.llm import words as W
 from orthomark.llm.labelled import with_marks
 from orthomark.operators.walk import arranged, whole_groups
 from orthomark.session import cut_lineage
@@ -159,15 +163,86 @@ def repeated(streams: list[list[list[str]]]) -> list[np.ndarray]:
         start = array[np.bincount(group, fresh_page)[group] >= PAGES]
         start = start[start + RUN <= len(text)]
 
+    marked = mark(start, block_of)
+    parts = [marked[b - sum(map(len, s)) - 1:b - 1] for s, b in zip(distinct, ends)]
+    return [parts[o] for o in owner]
+
+
+def mark(start: np.ndarray, block_of: np.ndarray) -> np.ndarray:
+    """Which tokens repeated runs from ``start`` on make boilerplate; ``block_of`` has the block of every token."""
     def covered(starts: np.ndarray) -> np.ndarray:
-        change = np.bincount(starts, minlength=len(text) + 1) - np.bincount(starts + RUN, minlength=len(text) + 1)
-        return np.cumsum(change[:len(text)]) > 0
+        change = np.bincount(starts, minlength=len(block_of) + 1) - np.bincount(starts + RUN, minlength=len(block_of) + 1)
+        return np.cumsum(change[:len(block_of)]) > 0
 
     inside, anywhere = covered(start[block_of[start] == block_of[start + RUN - 1]]), covered(start)
-    left = np.bincount(block_of[~anywhere], minlength=block + 1)
-    marked = inside | (anywhere & (left[block_of] == 0))
-    parts = [marked[b - sum(map(len, s)) - 1:b - 1] for s, b in zip(distinct, ends)]
-    return [parts[o] for o in owner]
+    left = np.bincount(block_of[~anywhere], minlength=block_of.max(initial=0) + 1)
+    return inside | (anywhere & (left[block_of] == 0))
+
+
+class Runs:
+    """Codes of the runs of ``RUN`` tokens of some pages, each given as its blocks of tokens."""
+
+    def __init__(self, streams: list[list[list[str]]]):
+        tokens = [t for s in streams for block in s for t in block]
+        sizes = [sum(map(len, s)) for s in streams]
+        lengths = [len(block) for s in streams for block in s]
+        self.bounds = np.cumsum([0, *sizes])
+        self.block_of = np.repeat(np.arange(len(lengths)), lengths)
+        page = np.repeat(np.arange(len(streams)), sizes)
+        values = pd.util.hash_array(np.array(tokens, object)) if tokens else np.zeros(0, W.U64)
+        codes, self.start = W.windows(values, page, RUN)
+        self.codes, self.page = codes.view(np.int64), page[self.start] if len(page) else page
+
+    def of_pages(self) -> list[np.ndarray]:
+        """The distinct codes of every page."""
+        cuts = np.searchsorted(self.page, np.arange(len(self.bounds)))
+        return [np.unique(self.codes[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def marks(self, kept: np.ndarray) -> list[np.ndarray]:
+        """What repeated() returns, where the runs with codes ``kept`` are the repeated ones."""
+        marked = mark(self.start[np.isin(self.codes, kept)], self.block_of)
+        return [marked[a:b] for a, b in zip(self.bounds[:-1], self.bounds[1:])]
+
+
+def outside_of(runs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The runs of a page with those of articles blanked."""
+    return [(z if z != "a" else "f", t if z != "a" else "") for z, t in runs]
+
+
+def blocks_of(runs: list[tuple[str, str]]) -> list[list[str]]:
+    return [b.split() for _, t in runs for b in t.split(BLOCK)]
+
+
+def stream_code(blocks: list[list[str]]) -> int:
+    whole = BLOCK.join(" ".join(b) for b in blocks)
+    return int.from_bytes(hashlib.blake2b(whole.encode(errors="replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def shared_runs(pages: DataFrame) -> DataFrame:
+    """(host, shard, kept): codes of the runs in a shard that at least ``PAGES`` distinct streams of its
+    host hold, from rows (host, shard, html). Only codes are moved; a run that all pages share is added up
+    in every task first."""
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[str, int, int]] = set()
+        for frame in batches:
+            for at in range(0, len(frame), 256):
+                rows, streams = [], []
+                for host, shard, source in frame[["host", "shard", "html"]].iloc[at:at + 256].itertuples(index=False):
+                    blocks = blocks_of(outside_of(read_page(source))) if isinstance(source, str) else []
+                    row = (host, shard, stream_code(blocks))
+                    if row not in seen:
+                        seen.add(row)
+                        rows.append(row)
+                        streams.append(blocks)
+                yield pd.DataFrame(rows, columns=["host", "shard", "stream"]).assign(runs=Runs(streams).of_pages())
+
+    found = pages.mapInPandas(read, "host string, shard int, stream long, runs array<long>")
+    # Copies of one stream in many shards count once.
+    streams = cut_lineage(found.groupBy("host", "stream").agg(F.first("runs").alias("runs"), F.collect_set("shard").alias("shards")))
+    listed = streams.select("host", "shards", F.explode("runs").alias("run"))
+    kept = cut_lineage(listed.groupBy("host", "run").agg(F.count("*").alias("n")).filter(F.col("n") >= PAGES).select("host", "run", F.lit(True).alias("repeated")))
+    held = with_marks(listed, kept, ["host", "run"]).filter("repeated").select("host", F.explode("shards").alias("shard"), "run")
+    return held.groupBy("host", "shard").agg(F.collect_set("run").alias("kept"))
 
 
 def main_text(runs: list[tuple[str, str]], covered: np.ndarray) -> str:
@@ -193,7 +268,7 @@ def extract(pages: DataFrame) -> DataFrame:
     # Only hosts of more than one shard are listed.
     large = cut_lineage(keyed.groupBy("host").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards")).filter("shards > 1"))
     shard = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1))).cast("int")
-    placed = with_marks(keyed, large, "host").select("host", shard.alias("shard"), "page_id", "url", "html")
+    placed = with_marks(keyed, large, "host").select("host", shard.alias("shard"), F.col("shards").isNotNull().alias("large"), "page_id", "url", "html")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -204,13 +279,20 @@ def extract(pages: DataFrame) -> DataFrame:
         for frame, starts in whole_groups(batches, ["host", "shard"]):
             texts, counts = [], []
             for s, e in zip(starts[:-1], starts[1:]):
-                runs = [list(zip(z, t)) for z, t in zip(frame["zones"].iloc[s:e], frame["texts"].iloc[s:e])]
-                outside = [[(z if z != "a" else "f", t if z != "a" else "") for z, t in r] for r in runs]
-                covered = repeated([[b.split() for _, t in r for b in t.split(BLOCK)] for r in outside])
-                for page, rest, mark in zip(runs, outside, covered):
-                    texts.append(main_text(page, mark) if any(z in "am" for z, _ in page) else main_text(rest, mark))
-                    counts.append(int(mark.sum()))
-            yield pd.DataFrame({"page_id": frame["page_id"].array, "url": frame["url"].array, "text": texts, "n_chars": [len(t) for t in texts], "n_repeated": counts})
-
-    parsed = placed.mapInPandas(read, "host string, shard int, page_id long, url string, zones string, texts array<string>")
-    return arranged(parsed, ["host", "shard"], [F.col("page_id")]).mapInPandas(judge, "page_id long, url string, text string, n_chars long, n_repeated long")
+                group = frame.iloc[s:e]
+                kept = [k for k in group["kept"] if k is not None]
+                group = group[group["zones"].notna()]
+                runs = [list(zip(z, t)) for z, t in zip(group["zones"], group["texts"])]
+                outside = [outside_of(r) for r in runs]
+                streams = [blocks_of(r) for r in outside]
+                covered = Runs(streams).marks(np.concatenate([np.zeros(0, np.int64), *kept])) if group["large"].any() else repeated(streams)
+                for page, rest, marks in zip(runs, outside, covered):
+                    texts.append(main_text(page, marks) if any(z in "am" for z, _ in page) else main_text(rest, marks))
+                    counts.append(int(marks.sum()))
+            pages = frame[frame["zones"].notna()]
+            yield pd.DataFrame({"page_id": pages["page_id"].array, "url": pages["url"].array, "text": texts, "n_chars": [len(t) for t in texts], "n_repeated": counts})
+
+    parsed = placed.mapInPandas(read, "host string, shard int, large boolean, page_id long, url string, zones string, texts array<string>")
+    known = shared_runs(placed.filter("large").select("host", "shard", "html"))
+    everything = parsed.unionByName(known, allowMissingColumns=True)
+    return arranged(everything, ["host", "shard"], [F.col("page_id")]).mapInPandas(judge, "page_id long, url string, text string, n_chars long, n_repeated long")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 MOST_BROADCAST = 1_000_000
 
 
-def with_marks(rows: DataFrame, marks: DataFrame, key: str, most: int = MOST_BROADCAST) -> DataFrame:
-    """``rows`` left-joined with ``marks`` (one row per key)."""
+def with_marks(rows: DataFrame, marks: DataFrame, key: str | list[str], most: int = MOST_BROADCAST) -> DataFrame:
+    """``rows`` left-joined with ``marks`` (one row per key or keys)."""
     few = marks.limit(most + 1).count() <= most
     return rows.join(F.broadcast(marks) if few else marks.hint("merge"), key, "left")

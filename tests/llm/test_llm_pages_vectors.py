@@ -67,6 +67,34 @@ def test_boilerplate_of_a_host(spark):
     assert html_text.extract(pages.filter("false")).count() == 0
 
 
+def test_boilerplate_is_counted_over_the_whole_host(spark, monkeypatch):
+    """A notice on few pages of a host of many shards goes, as it does in a host of one; copies count once."""
+    notice, twice = "please read the terms of this site before you go on", "only two different pages hold this line of words"
+    rows = []
+    for k in range(240):
+        extra = f"<div>{notice}</div>" if k % 60 == 0 else f"<div>{twice}</div>" if k in (1, 2) else ""
+        rows.append((k, f"https://h.example/{k}", f"{extra}<p>own{k} words{k} of{k} page{k}</p>"))
+    rows += [(1000 + k, f"https://h.example/copy{k}", rows[1][2]) for k in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one = {r.page_id: r for r in html_text.extract(pages).collect()}
+    monkeypatch.setattr(html_text, "SHARD", 8)
+    many = {r.page_id: r for r in html_text.extract(pages).collect()}
+    assert one == many and len(many) == len(rows)
+    assert all(many[k].text == f"own{k} words{k} of{k} page{k}" for k in range(0, 240, 60))
+    assert all(many[k].text.startswith(twice) for k in (1, 2, 1000, 1029))
+
+
+def test_run_codes_mark_like_the_suffix_array():
+    rng = np.random.default_rng(6)
+    for top in (1, 2, 30):
+        pages = [[[f"t{v}" for v in rng.integers(0, top, rng.integers(0, 3 * html_text.RUN))] for _ in range(rng.integers(0, 4))] for _ in range(12)]
+        found = html_text.Runs(pages)
+        distinct = {html_text.stream_code(p): c for p, c in zip(pages, found.of_pages())}
+        codes, n = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
+        assert [m.tolist() for m in found.marks(codes[n >= html_text.PAGES])] == brute_repeated(pages)
+    assert html_text.Runs([]).marks(np.zeros(0, np.int64)) == []
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(300, 24)).astype(np.float32)
