@@ -7,10 +7,12 @@
    spreads over many tasks. In a host of one shard the tokens outside of articles, one stream a page,
    are concatenated with a mark of its own after each page and their suffixes sorted by prefix
    doubling, up to ``RUN`` tokens. Suffixes that stand together in the suffix array with equal first
-   ``RUN`` tokens and come from at least ``PAGES`` distinct streams are repeated. Of a host of many
-   shards the distinct streams that hold a run are counted over the whole host, by 64-bit codes of
-   the runs, and each shard gets back the repeated runs it holds; that is the same set of runs.
-   A block that such runs cover whole is boilerplate, and so is what a run inside of one block covers.
+   ``RUN`` tokens and come from enough distinct streams (``enough``) are repeated. A block that such
+   runs cover whole is boilerplate, and so is what a run inside of one block covers. Shorter repeats
+   count only as whole blocks: a block of at least ``LEAST`` tokens, or the fewest whole blocks side
+   by side that have as many, are boilerplate if enough distinct streams hold them as such. Of a host of
+   many shards the distinct streams of runs and blocks are counted over the whole host, by 64-bit
+   codes, and each shard gets back the repeated ones it holds; that is the same set.
 3. The main text is the article if the page has one, else the main element, else the unique runs
    outside of furniture: what no repeated substring covers. Text of an article is never removed, however
    often it occurs elsewhere.
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -36,7 +39,9 @@ from orthomark.llm.labelled import with_marks
 from orthomark.operators.walk import arranged, whole_groups
 from orthomark.session import cut_lineage
 
-SHARD, RUN, PAGES = 512, 6, 3
+SHARD, RUN, LEAST = 512, 32, 6
+#: Repeated is what PAGES distinct streams and a SHARE of those of the host hold, or MANY streams of a host of any size.
+PAGES, SHARE, MANY = 3, 0.01, 100
 #: White space like any other for the main text.
 BLOCK = "\x1e"
 TAG = re.compile(
@@ -129,8 +134,14 @@ def read_page(source: str) -> list[tuple[str, str]]:
     return runs
 
 
+def enough(streams: int) -> int:
+    """Of how many distinct streams a host has, how many must hold a repeated passage."""
+    return min(max(PAGES, math.ceil(SHARE * streams)), max(PAGES, MANY))
+
+
 def repeated(streams: list[list[list[str]]]) -> list[np.ndarray]:
-    """For every page, given as its blocks of tokens, which tokens are boilerplate."""
+    """For every page, given as its blocks of tokens, which tokens repeated runs of ``RUN`` tokens make
+    boilerplate."""
     whole: dict[tuple, int] = {}
     owner = [whole.setdefault(tuple(map(tuple, s)), len(whole)) for s in streams]
     distinct = list(whole)
@@ -160,7 +171,7 @@ def repeated(streams: list[list[list[str]]]) -> list[np.ndarray]:
         fresh_rank = np.concatenate([[True], np.diff(rank[array]) > 0])
         fresh_page = fresh_rank | np.concatenate([[True], np.diff(page[array]) > 0])
         group = np.cumsum(fresh_rank) - 1
-        start = array[np.bincount(group, fresh_page)[group] >= PAGES]
+        start = array[np.bincount(group, fresh_page)[group] >= enough(len(distinct))]
         start = start[start + RUN <= len(text)]
 
     marked = mark(start, block_of)
@@ -180,7 +191,8 @@ def mark(start: np.ndarray, block_of: np.ndarray) -> np.ndarray:
 
 
 class Runs:
-    """Codes of the runs of ``RUN`` tokens of some pages, each given as its blocks of tokens."""
+    """Codes of the passages of some pages, each given as its blocks of tokens: the runs of ``RUN`` tokens, and
+    the fewest whole blocks side by side, from and up to every block, that have ``LEAST`` tokens."""
 
     def __init__(self, streams: list[list[list[str]]]):
         tokens = [t for s in streams for block in s for t in block]
@@ -191,18 +203,60 @@ class Runs:
         page = np.repeat(np.arange(len(streams)), sizes)
         values = pd.util.hash_array(np.array(tokens, object)) if tokens else np.zeros(0, W.U64)
         codes, self.start = W.windows(values, page, RUN)
-        self.codes, self.page = codes.view(np.int64), page[self.start] if len(page) else page
+        edges = np.unique(np.cumsum([0, *lengths]))  # of blocks that have tokens
+        first, last = edges[:-1], edges[1:]
+        if len(first):
+            to = np.searchsorted(last, first + LEAST)
+            ahead = to < len(last)
+            since = np.searchsorted(first, last - LEAST, side="right") - 1
+            behind = since >= 0
+            spans = np.unique(np.concatenate([np.stack([first[ahead], last[to[ahead]]], axis=1), np.stack([first[since[behind]], last[behind]], axis=1)]), axis=0)
+            spans = spans[page[spans[:, 0]] == page[spans[:, 1] - 1]]
+        else:
+            spans = np.zeros((0, 2), np.int64)
+        self.begin, self.end = spans[:, 0], spans[:, 1]
+        sums = np.zeros(len(values) + 1, W.U64)
+        np.cumsum(values * W._powers(W._P, len(values) + 1)[:-1], out=sums[1:])
+        whole = (sums[self.end] - sums[self.begin]) * W._powers(W._P_INVERSE, len(values) + 1)[self.begin]
+        # Blocks and runs are counted apart.
+        blocks = W.mix(W.mix(whole) + (self.end - self.begin).astype(W.U64) + W.U64(1 << 32))
+        self.run_codes, self.block_codes = codes.view(np.int64), blocks.view(np.int64)
+        self.codes = np.concatenate([self.run_codes, self.block_codes])
+        at = np.concatenate([self.start, self.begin])
+        self.page = page[at] if len(page) else at
 
     def of_pages(self) -> list[np.ndarray]:
         """The distinct codes of every page."""
-        cuts = np.searchsorted(self.page, np.arange(len(self.bounds)))
-        return [np.unique(self.codes[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+        order = np.argsort(self.page, kind="stable")
+        cuts = np.searchsorted(self.page[order], np.arange(len(self.bounds)))
+        return [np.unique(self.codes[order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
 
-    def marks(self, kept: np.ndarray) -> list[np.ndarray]:
-        """What repeated() returns, where the runs with codes ``kept`` are the repeated ones."""
-        marked = mark(self.start[np.isin(self.codes, kept)], self.block_of)
+    def _split(self, marked: np.ndarray) -> list[np.ndarray]:
         return [marked[a:b] for a, b in zip(self.bounds[:-1], self.bounds[1:])]
 
+    def run_marks(self, kept: np.ndarray) -> list[np.ndarray]:
+        """What repeated() returns, where the runs with codes ``kept`` are the repeated ones."""
+        return self._split(mark(self.start[np.isin(self.run_codes, kept)], self.block_of))
+
+    def block_marks(self, kept: np.ndarray) -> list[np.ndarray]:
+        """For every page, which tokens are in whole blocks with codes ``kept``."""
+        own, n = np.isin(self.block_codes, kept), int(self.bounds[-1])
+        change = np.bincount(self.begin[own], minlength=n + 1) - np.bincount(self.end[own], minlength=n + 1)
+        return self._split(np.cumsum(change[:n]) > 0)
+
+
+def boilerplate(streams: list[list[list[str]]], kept: np.ndarray | None = None) -> list[np.ndarray]:
+    """For every page which tokens are boilerplate: by the ``kept`` codes of a larger host, else as counted in
+    these pages, which are the whole host."""
+    found = Runs(streams)
+    if kept is not None:
+        runs = found.run_marks(kept)
+    else:
+        distinct = {stream_code(s): codes for s, codes in zip(streams, found.of_pages())}
+        codes, n = np.unique(np.concatenate([np.zeros(0, np.int64), *distinct.values()]), return_counts=True)
+        runs, kept = repeated(streams), codes[n >= enough(len(distinct))]
+    return [a | b for a, b in zip(runs, found.block_marks(kept))]
+
 
 def outside_of(runs: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """The runs of a page with those of articles blanked."""
@@ -219,9 +273,9 @@ def stream_code(blocks: list[list[str]]) -> int:
 
 
 def shared_runs(pages: DataFrame) -> DataFrame:
-    """(host, shard, kept): codes of the runs in a shard that at least ``PAGES`` distinct streams of its
-    host hold, from rows (host, shard, html). Only codes are moved; a run that all pages share is added up
-    in every task first."""
+    """(host, shard, kept): codes of the passages in a shard that enough distinct streams of its host hold,
+    from rows (host, shard, html). Only codes are moved; one that all pages share is added up in every
+    task first."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[tuple[str, int, int]] = set()
         for frame in batches:
@@ -240,7 +294,10 @@ def shared_runs(pages: DataFrame) -> DataFrame:
     # Copies of one stream in many shards count once.
     streams = cut_lineage(found.groupBy("host", "stream").agg(F.first("runs").alias("runs"), F.collect_set("shard").alias("shards")))
     listed = streams.select("host", "shards", F.explode("runs").alias("run"))
-    kept = cut_lineage(listed.groupBy("host", "run").agg(F.count("*").alias("n")).filter(F.col("n") >= PAGES).select("host", "run", F.lit(True).alias("repeated")))
+    least = F.least(F.greatest(F.lit(PAGES), F.ceil(F.count("*") * SHARE)), F.lit(max(PAGES, MANY)))
+    hosts = cut_lineage(streams.groupBy("host").agg(least.alias("least")))
+    counted = with_marks(listed.groupBy("host", "run").agg(F.count("*").alias("n")).filter(F.col("n") >= PAGES), hosts, "host")
+    kept = cut_lineage(counted.filter("n >= least").select("host", "run", F.lit(True).alias("repeated")))
     held = with_marks(listed, kept, ["host", "run"]).filter("repeated").select("host", F.explode("shards").alias("shard"), "run")
     return held.groupBy("host", "shard").agg(F.collect_set("run").alias("kept"))
 
@@ -285,7 +342,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 runs = [list(zip(z, t)) for z, t in zip(group["zones"], group["texts"])]
                 outside = [outside_of(r) for r in runs]
                 streams = [blocks_of(r) for r in outside]
-                covered = Runs(streams).marks(np.concatenate([np.zeros(0, np.int64), *kept])) if group["large"].any() else repeated(streams)
+                covered = boilerplate(streams, np.concatenate([np.zeros(0, np.int64), *kept]) if group["large"].any() else None)
                 for page, rest, marks in zip(runs, outside, covered):
                     texts.append(main_text(page, marks) if any(z in "am" for z, _ in page) else main_text(rest, marks))
                     counts.append(int(marks.sum()))

@@ -84,15 +84,60 @@ def test_boilerplate_is_counted_over_the_whole_host(spark, monkeypatch):
     assert all(many[k].text.startswith(twice) for k in (1, 2, 1000, 1029))
 
 
-def test_run_codes_mark_like_the_suffix_array():
+@pytest.mark.parametrize("run", [4, html_text.RUN])
+def test_run_codes_mark_like_the_suffix_array(monkeypatch, run):
+    monkeypatch.setattr(html_text, "RUN", run)
     rng = np.random.default_rng(6)
     for top in (1, 2, 30):
         pages = [[[f"t{v}" for v in rng.integers(0, top, rng.integers(0, 3 * html_text.RUN))] for _ in range(rng.integers(0, 4))] for _ in range(12)]
         found = html_text.Runs(pages)
         distinct = {html_text.stream_code(p): c for p, c in zip(pages, found.of_pages())}
         codes, n = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
-        assert [m.tolist() for m in found.marks(codes[n >= html_text.PAGES])] == brute_repeated(pages)
-    assert html_text.Runs([]).marks(np.zeros(0, np.int64)) == []
+        assert [m.tolist() for m in html_text.repeated(pages)] == brute_repeated(pages)
+        assert [m.tolist() for m in found.run_marks(codes[n >= html_text.PAGES])] == brute_repeated(pages)
+    assert html_text.Runs([]).run_marks(np.zeros(0, np.int64)) == html_text.boilerplate([]) == []
+
+
+def brute_whole_blocks(pages):
+    """Tokens in whole blocks side by side, the fewest that have LEAST tokens from or up to a block."""
+    pages = [[b for b in p if b] for p in pages]
+
+    def spans(page):
+        for k in range(len(page)):
+            for part in ([page[k:e] for e in range(k + 1, len(page) + 1)], [page[s:k + 1] for s in range(k, -1, -1)]):
+                long = [p for p in part if sum(map(len, p)) >= html_text.LEAST]
+                if long:
+                    at = k if part[0] == page[k:k + 1] and long[0] == page[k:k + len(long[0])] else k + 1 - len(long[0])
+                    yield sum(long[0], []), at, at + len(long[0])
+
+    distinct = {tuple(map(tuple, p)): p for p in pages}
+    held = [{tuple(t) for t, _, _ in spans(p)} for p in distinct.values()]
+    out = []
+    for p in pages:
+        marked = set()
+        for t, a, b in spans(p):
+            if sum(tuple(t) in h for h in held) >= html_text.enough(len(distinct)):
+                marked |= set(range(a, b))
+        out.append([n in marked for n, block in enumerate(p) for _ in block])
+    return out
+
+
+def test_whole_blocks():
+    rng = np.random.default_rng(9)
+    for top in (1, 2, 4):
+        pages = [[[f"t{v}" for v in rng.integers(0, top, rng.choice([0, 1, 2, 3, 6, 8]))] for _ in range(rng.integers(0, 6))] for _ in range(14)]
+        pages = [[b for b in p if b] for p in pages]
+        assert [m.tolist() for m in html_text.boilerplate(pages)] == brute_whole_blocks(pages)
+
+
+def test_common_phrases_stay(spark):
+    """Six words that many pages share are not cut out of unique prose; repeats of few pages of a large host stay."""
+    phrase, quoted = "at the end of the day it was", "to be or not to be that is the question"
+    texts = [f"first{k} second{k} {phrase} third{k} fourth{k}" for k in range(400)]
+    rows = [(k, f"https://h.example/{k}", f"<p>{t}</p>" + (f"<p>{quoted}</p>" if k < 3 else "")) for k, t in enumerate(texts)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got == {k: t + (f" {quoted}" if k < 3 else "") for k, t in enumerate(texts)}
 
 
 def test_nearest_vectors(spark):
