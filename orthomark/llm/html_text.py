@@ -14,8 +14,10 @@
    many shards the distinct streams of runs and blocks are counted over the whole host, by 64-bit
    codes, and each shard gets back the repeated ones it holds; that is the same set.
 3. The main text is the article if the page has one, else the main element, else the unique runs
-   outside of furniture: what no repeated substring covers. Text of an article is never removed, however
-   often it occurs elsewhere.
+   outside of furniture: what no repeated substring covers. Where unique runs of ``LONG`` tokens or more
+   inside of blocks outside of furniture have more tokens than the article (or main element), that is a
+   teaser, and these runs belong to the main text as well, in page order. Text of an article is never
+   removed, however often it occurs elsewhere.
 
 Defined results: a null or empty page has an empty text; repeated rows count as one stream and are
 extracted alike; pages without a url form a host of their own.
@@ -39,7 +41,7 @@ from orthomark.llm.labelled import with_marks
 from orthomark.operators.walk import arranged, whole_groups
 from orthomark.session import cut_lineage
 
-SHARD, RUN, LEAST = 512, 32, 6
+SHARD, RUN, LEAST, LONG = 512, 32, 6, 20
 #: Repeated is what PAGES distinct streams and a SHARE of those of the host hold, or MANY streams of a host of any size.
 PAGES, SHARE, MANY = 3, 0.01, 100
 #: White space like any other for the main text.
@@ -302,19 +304,33 @@ def shared_runs(pages: DataFrame) -> DataFrame:
     return held.groupBy("host", "shard").agg(F.collect_set("run").alias("kept"))
 
 
-def main_text(runs: list[tuple[str, str]], covered: np.ndarray) -> str:
-    """The article, else the main element, else the uncovered tokens outside of furniture."""
-    for zone in ("a", "m"):
-        text = " ".join("".join(t if z == zone else " " for z, t in runs).split())
-        if text:
-            return text
+def unique_runs(text: str, covered: np.ndarray) -> list[list[str]]:
+    """Tokens of every uncovered stretch inside of one block."""
     out, at = [], 0
-    for zone, text in runs:
-        tokens = text.split()
-        if zone == "n":
-            out.extend(t for k, t in enumerate(tokens) if not covered[at + k])
+    for block in text.split(BLOCK):
+        tokens = block.split()
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], covered[at:at + len(tokens)], [True]]).astype(np.int8)))
+        out.extend(tokens[s:e] for s, e in zip(edges[0::2], edges[1::2]))
         at += len(tokens)
-    return " ".join(out)
+    return out
+
+
+def main_text(runs: list[tuple[str, str]], covered: np.ndarray) -> str:
+    """The article, else the main element, with longer unique runs around a teaser; else the uncovered tokens
+    outside of furniture. ``covered`` counts the tokens outside of articles."""
+    unique, at = [], 0
+    for zone, text in runs:
+        n = 0 if zone == "a" else len(text.split())
+        unique.append(unique_runs(text, covered[at:at + n]) if zone in "mn" else [])
+        at += n
+    for zone, around in (("a", "mn"), ("m", "n")):
+        parts = [text.split() if z == zone else [] for z, text in runs]
+        own = sum(map(len, parts))
+        if own:
+            long = [[t for run in found if len(run) >= LONG for t in run] if z in around else [] for (z, _), found in zip(runs, unique)]
+            teaser = sum(map(len, long)) > own
+            return " ".join(t for part, rest in zip(parts, long) for t in (part or (rest if teaser else [])))
+    return " ".join(t for (z, _), found in zip(runs, unique) if z == "n" for run in found for t in run)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -340,11 +356,10 @@ def extract(pages: DataFrame) -> DataFrame:
                 kept = [k for k in group["kept"] if k is not None]
                 group = group[group["zones"].notna()]
                 runs = [list(zip(z, t)) for z, t in zip(group["zones"], group["texts"])]
-                outside = [outside_of(r) for r in runs]
-                streams = [blocks_of(r) for r in outside]
+                streams = [blocks_of(outside_of(r)) for r in runs]
                 covered = boilerplate(streams, np.concatenate([np.zeros(0, np.int64), *kept]) if group["large"].any() else None)
-                for page, rest, marks in zip(runs, outside, covered):
-                    texts.append(main_text(page, marks) if any(z in "am" for z, _ in page) else main_text(rest, marks))
+                for page, marks in zip(runs, covered):
+                    texts.append(main_text(page, marks))
                     counts.append(int(marks.sum()))
             pages = frame[frame["zones"].notna()]
             yield pd.DataFrame({"page_id": pages["page_id"].array, "url": pages["url"].array, "text": texts, "n_chars": [len(t) for t in texts], "n_repeated": counts})

@@ -140,6 +140,19 @@ def test_common_phrases_stay(spark):
     assert got == {k: t + (f" {quoted}" if k < 3 else "") for k, t in enumerate(texts)}
 
 
+def test_long_text_around_teasers(spark):
+    """Long unique text outside of short articles stays, repeated and short text there goes."""
+    own = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(6)]
+    line = " ".join(f"line{j}" for j in range(30))
+    teaser = "<article>one teaser</article><div>short note</div>"
+    rows = [(k, f"https://h.example/{k}", f"<div>{line}</div>{teaser}<div>{t}</div>") for k, t in enumerate(own)]
+    rows += [(10, "https://h.example/m", f"<main><div>{own[0]} m</div><article>one teaser</article></main>"),
+             (11, "https://h.example/a", f"<article>{own[1]} a</article><div>{own[2][:200]} b</div>")]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"one teaser {t}" for k, t in enumerate(own))
+    assert got[10] == f"{own[0]} m one teaser" and got[11] == f"{own[1]} a"
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(300, 24)).astype(np.float32)
