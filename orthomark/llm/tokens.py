@@ -6,7 +6,7 @@ therefore cut there, and where no marks stand side by side also before dots, com
 ends; a bounded table remembers the ids of the pieces. A piece made of Latin letters, digits,
 ASCII marks (no apostrophe) and single line ends falls apart the same way under both tokenizers'
 rules, into runs of one sort; the library's model encodes these runs. Any other piece, and a text
-with other white space, goes through the whole library.
+with other white space or with the string of an added token, goes through the whole library.
 """
 
 from __future__ import annotations
@@ -77,7 +77,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.library.get_added_tokens_decoder().values()
+        #: Strings that the library turns into one id wherever they stand; after its normalizer any text may hold one.
+        self.added = [t.content for t in added] if not any(t.normalized for t in added) else [""]
         self.model, self.letters, self.blanks_kept = self.library.model, byte_letters(), blanks_kept
         self.runs: dict[str, list[int]] = {}
         self._forget()
@@ -149,7 +151,7 @@ class Encoder:
         known = self.known.__getitem__
         numbers = []
         for text in texts:
-            if "\1" in text or "\2" in text:  # the marks of cuts themselves
+            if "\1" in text or "\2" in text or any(a in text for a in self.added):  # the marks of cuts themselves, added tokens
                 numbers.append(np.array([-1]))
                 continue
             words = self._words(text)

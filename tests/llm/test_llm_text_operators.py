@@ -238,6 +238,17 @@ def test_encoder(name, blanks):
     assert got == [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name, blanks", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_added_tokens_are_one_id(name, blanks):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.tokenizer_path(name))
+    texts = ["a <|endoftext|> b", "x<|startoftext|><|endoftext|>y", "<|endoftext|>", " <|EndOfText|> <|endoftext", "plain words, 12.\nend"]
+    got = [ids.tolist() for ids in tokens.Encoder(tokens.tokenizer_path(name), blanks).encode(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert library.token_to_id("<|endoftext|>") in got[0]
+
+
 def reference_ids(name, texts, end):
     encoder = tokens.Encoder(tokens.tokenizer_path(name), False)
     return [np.array([*e.ids, end], "<u4") for e in encoder.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
