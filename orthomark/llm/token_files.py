@@ -1,13 +1,12 @@
 """Token ids in files of shards compressed by Re-Pair.
 
 A shard holds the ids of consecutive documents, in ascending order of their ids: about
-``SHARD_TOKENS`` of them, always whole documents. Pairs of neighbouring symbols are counted, the
-most frequent ones are replaced by new symbols, and this is repeated until no pair occurs
-``LEAST`` times or after ``ROUNDS`` rounds; a round replaces many pairs at once, of overlapping
-places every second one. Pairs are counted exactly among the ``COMMON`` most frequent symbols of
-the shard. Stored are the rules, the expanded length of every rule, the remaining sequence and
-the token position at every ``STRIDE``-th symbol, so that any token range is decoded from the
-symbols that cover it.
+``SHARD_TOKENS`` of them, always whole documents. All pairs of neighbouring symbols are counted,
+frequent ones are replaced by new symbols, and this is repeated until no pair occurs ``LEAST``
+times; a round replaces all pairs at least a quarter as frequent as the most frequent one, of
+overlapping places every second one. Stored are the rules, the expanded length of every rule, the
+remaining sequence and the token position at every ``STRIDE``-th symbol, so that any token range is
+decoded from the symbols that cover it.
 
 A file is a Parquet file with one row per shard, written and committed by Spark:
 part, shard (order), n_tokens, doc_ids, doc_ends (token position after each document), data.
@@ -33,49 +32,53 @@ from orthomark.llm.tokens import Encoder, batches_of, some_at_a_time, tokenizer_
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 SHARD_TOKENS = 1_000_000
-ROUNDS, LEAST, COMMON, AT_ONCE, STRIDE = 3, 16, 256, 1024, 64
+LEAST, STRIDE = 16, 64
 SHARDS = "part int, shard int, n_tokens long, doc_ids array<long>, doc_ends array<long>, data binary"
 
 
 def compress(ids: np.ndarray, first_symbol: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pairs, rule lengths, sequence): symbols below ``first_symbol`` are ids, the others rules in order."""
     sequence = ids.astype(np.uint32)
-    pairs, lengths = [], []
-    for _ in range(ROUNDS):
-        if len(sequence) < 2:
+    pairs, lengths = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint32)
+    # Places whose pair may be frequent: a pair that was rare stays so, as new pairs have a new symbol.
+    active = np.arange(max(len(sequence) - 1, 0))
+    while len(active) >= LEAST:
+        codes = (sequence[active].astype(np.uint64) << np.uint64(32)) | sequence[active + 1]
+        ordered = np.sort(codes)
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        counts = np.diff(np.append(starts, len(ordered)))
+        often = counts >= LEAST
+        if not often.any():
             break
-        frequency = np.bincount(sequence)
-        common = np.argsort(frequency, kind="stable")[::-1][:COMMON - 1]
-        rank = np.zeros(len(frequency), np.int64)
-        rank[common] = np.arange(1, len(common) + 1)
-        ranked = rank[sequence]
-        codes = ranked[:-1] * COMMON
-        codes += ranked[1:]
-        counts = np.bincount(codes, minlength=COMMON * COMMON)
-        counts[:COMMON] = counts[::COMMON] = 0  # pairs with a symbol that is not common
-        best = np.argpartition(counts, -AT_ONCE)[-AT_ONCE:]
-        best = best[counts[best] >= LEAST]
-        if not len(best):
-            break
-        best = best[np.argsort(counts[best], kind="stable")[::-1]]
-        rule = np.zeros(COMMON * COMMON, np.uint32)
-        fresh = first_symbol + len(lengths) + np.arange(len(best))
-        rule[best] = fresh
-        place = np.flatnonzero(rule[codes])
+        known, counts = ordered[starts[often]], counts[often]
+        number = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        own = known[number] == codes
+        active, number = active[own], number[own]
+        chosen = counts >= max(LEAST, int(counts.max()) // 4)
+        rule = (first_symbol + len(lengths) - 1 + np.cumsum(chosen)).astype(np.uint32)
+        best = known[chosen]
+        fresh = np.stack([best >> np.uint64(32), best & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        hit = chosen[number]
+        place, rules = active[hit], rule[number[hit]]
         # Of places that overlap, the first, third, ... of each run are replaced.
         start = np.concatenate([[True], np.diff(place) > 1])
         run = place[start][np.cumsum(start) - 1]
-        place = place[(place - run) % 2 == 0]
-        length_of = lambda s: np.where(s < first_symbol, 1, np.array([0, *lengths])[np.maximum(s.astype(np.int64) - first_symbol, -1) + 1])
-        left, right = common[best // COMMON - 1], common[best % COMMON - 1]
-        pairs.append(np.stack([left, right], axis=1).astype(np.uint32))
-        lengths.extend((length_of(left) + length_of(right)).tolist())
-        sequence[place] = rule[codes[place]]
+        odd = (place - run) % 2 == 0
+        place, rules = place[odd], rules[odd]
+        sizes = symbol_lengths(lengths, fresh.ravel(), first_symbol).reshape(-1, 2).sum(axis=1)
+        pairs.append(fresh)
+        lengths = np.concatenate([lengths, sizes.astype(np.uint32)])
+        sequence[place] = rules
         keep = np.ones(len(sequence), bool)
         keep[place + 1] = False
+        again = np.zeros(len(sequence), bool)
+        again[active] = True
+        again[place] = True
+        again[place[place > 0] - 1] = True
         sequence = sequence[keep]
-    table = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.uint32)
-    return table, np.array(lengths, np.uint32), sequence
+        active = np.flatnonzero(again[keep])
+        active = active[active < len(sequence) - 1]
+    return np.concatenate(pairs), lengths, sequence
 
 
 def pack_shard(ids: np.ndarray) -> bytes:
@@ -110,12 +113,24 @@ class Shard:
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """The ids of some symbols, from a table of all ids and of all rules written out once."""
         if self.table is None:
-            written: list[list[int]] = []
-            for left, right in self.pairs.tolist():
-                written.append([i for s in (left, right) for i in (written[s - self.first] if s >= self.first else (s,))])
-            self.table = np.concatenate([np.arange(self.first, dtype=np.uint32), np.array([i for ids in written for i in ids], np.uint32)])
-            self.sizes = np.concatenate([np.ones(self.first, np.int64), self.lengths])
-            self.places = np.cumsum(self.sizes) - self.sizes
+            lengths = self.lengths.astype(np.int64)
+            places = self.first + np.cumsum(lengths) - lengths
+            self.table = np.concatenate([np.arange(self.first, dtype=np.uint32), np.zeros(int(lengths.sum()), np.uint32)])
+            all_sizes, all_places = np.concatenate([np.ones(self.first, np.int64), lengths]), np.concatenate([np.arange(self.first), places])
+            # Rules are written out when both of their symbols are.
+            done = np.concatenate([np.ones(self.first, bool), np.zeros(len(lengths), bool)])
+            left = np.arange(len(lengths))
+            while len(left):
+                ready = done[self.pairs[left]].all(axis=1)
+                now, left = left[ready], left[~ready]
+                begin = places[now]
+                for part in self.pairs[now].T:
+                    sizes = all_sizes[part]
+                    offset = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    self.table[np.repeat(begin, sizes) + offset] = self.table[np.repeat(all_places[part], sizes) + offset]
+                    begin = begin + sizes
+                done[self.first + now] = True
+            self.sizes, self.places = all_sizes, all_places
         sizes = self.sizes[symbols]
         ends = np.cumsum(sizes)
         return self.table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.places[symbols] - (ends - sizes), sizes)]

@@ -282,6 +282,19 @@ def test_shards_decode_any_range(size, top):
         assert len(shard.sequence) < size / 2
 
 
+def test_no_frequent_pair_is_left():
+    """A passage of rare ids that repeats among very many other ids becomes a few rules, however long."""
+    rng = np.random.default_rng(4)
+    passage = rng.integers(30_000, 49_000, 700)
+    ids = np.concatenate([np.concatenate([passage, rng.integers(0, 49_000, 300)]) for _ in range(40)] + [np.full(5000, 7), np.tile([1, 2], 900)]).astype(np.uint32)
+    pairs, lengths, sequence = token_files.compress(ids)
+    codes = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
+    assert np.unique(codes, return_counts=True)[1].max() < token_files.LEAST
+    assert len(sequence) < 40 * 300 + 40 * 20 and lengths.max() > 256
+    shard = token_files.Shard(token_files.pack_shard(ids))
+    assert (shard.expand(shard.sequence) == ids).all()
+
+
 def test_packing(spark):
     docs = [r for r in ROWS if r[0]] + [(100 + k, "words " * (k * 37 % 900)) for k in range(120)]
     rows = packing.pack(clashing(spark, docs), size=256, with_ids=True).collect()
