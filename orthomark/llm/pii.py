@@ -5,10 +5,13 @@ High-recall patterns propose overlapping spans: the base patterns of each kind,
 numeric groups with dots or colons). Every candidate gets a few binned features of its format
 and of the characters around it. Boosted trees are fitted on the candidates of all documents: a
 candidate that touches a base span which passed its test (Luhn sum, octets, digit count) is a
-positive example, any other one a negative example; the tests themselves are no features. Per
-kind the threshold is the lowest one that keeps ``PRECISION`` on the folds held out from
-fitting. The trees then become one column expression, and candidates over the threshold that
-touch no base span are added. Base spans always stay.
+positive example, and so is a wider one that is valid once normalised (``VALID``: an address with at
+and dot written out, an IPv6 address of eight groups, a phone number in a usual grouping without
+plus); any other one is a negative example. The tests themselves are no features. Per kind the
+threshold is the lowest one that keeps ``PRECISION`` against these labels on the folds held out from
+fitting, or on all folds where the held-out ones have too few candidates. The trees then become one
+column expression, and candidates that are valid or over the threshold and touch no base span are
+added. Base spans always stay.
 
 Fitting reads the number of candidates per combination of bins, fold and label, a table whose
 size is bounded by the number of bins (``MAX_CELLS``) whatever the input; every document counts.
@@ -43,10 +46,17 @@ WIDE = {
     "ip": r"(?<![0-9A-Fa-f:.])[0-9A-Fa-f]{1,4}+(?:[:.][0-9A-Fa-f]{1,4}+){3,7}+(?![0-9A-Fa-f:])",
     "phone": r"(?<![0-9+])[(]?[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+",
 }
+#: Tests of wider spans, of addresses as normalised by _valid.
+VALID = {
+    "email": r"^[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}$",
+    "ip": r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$",
+    "phone": r"^(?:[(]0?[1-9][0-9]{1,3}[)][\x20./-]?|0[1-9][0-9]{1,3}[\x20./-]|00[1-9][0-9]{0,2}[\x20.-])[0-9]{2,4}(?:[\x20.-]?[0-9]{2,4})+$"
+             r"|^(?:1[\x20.-])?[2-9][0-9]{2}([\x20.-])[2-9][0-9]{2}\1[0-9]{4}$",
+}
 #: Cheap tests before a pattern is tried at all.
 NEEDS = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9A-Fa-f][:.][0-9A-Fa-f]", "card": r"[0-9]", "phone": r"[0-9]"}
 PRECISION = 0.95
-#: Enough held-out examples to trust a threshold of a kind.
+#: Held-out examples of a kind from which they alone set its threshold.
 LEAST_HELD_OUT = 20
 ROUNDS, RATE = 12, 0.4
 FEATURES = {"digits": 7, "groups": 6, "separators": 6, "letters": 3, "before": 5, "after": 5}
@@ -87,6 +97,15 @@ def _passes(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _valid(kind: str, m: Column) -> Column:
+    """Whether a wider match is what its kind says."""
+    if kind == "email":
+        return F.regexp_replace(F.regexp_replace(m, r"\x20?(?:@|\(at\)|\[at\])\x20?", "@"), r"\x20?(?:\(dot\)|\[dot\])\x20?", ".").rlike(VALID[kind])
+    if kind == "phone":
+        return m.rlike(VALID[kind]) & F.char_length(_digits(m)).between(9, 15)
+    return m.rlike(VALID[kind])
+
+
 def _bins(c: Column) -> dict[str, Column]:
     """Binned format and context of a candidate."""
     m = c["m"]
@@ -105,7 +124,7 @@ def _bins(c: Column) -> dict[str, Column]:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc, text, base, found): the row, base spans that pass, all candidates with bins and label."""
+    """(doc, text, base, found): the row, base spans that pass, all candidates with bins, whether they are valid wider ones and touch a base span."""
     texts = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     tested = texts.select("*", *[F.col("text").rlike(p).alias(f"need_{k}") for k, p in NEEDS.items()])
     patterns = {**{f"base_{k}": (k, p) for k, p in BASE.items()}, **{f"wide_{k}": (k, p) for k, p in WIDE.items()}}
@@ -120,6 +139,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         return F.transform(column, lambda c: F.struct(
             c["start"].alias("start"), F.lit(ordinal).alias("ord"), c["end"].alias("end"),
             (F.lit(False) if wide else _passes(kind, c["m"])).alias("passes"),
+            (_valid(kind, c["m"]) if wide else F.lit(False)).alias("valid"),
             F.struct(*[v.cast("int").alias(k) for k, v in _bins(c).items()]).alias("bins")))
 
     everything = F.concat(*[named(k, f"base_{k}", False) for k in BASE], *[named(k, f"wide_{k}", True) for k in WIDE])
@@ -128,8 +148,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     return listed.select("doc", "text", "all", base.alias("base")).select(
         "doc", "text", F.transform("base", lambda c: F.struct(c["start"], c["ord"], c["end"])).alias("base"),
         F.transform("all", lambda c: F.struct(
-            c["start"].alias("start"), c["ord"].alias("ord"), c["end"].alias("end"), c["bins"].alias("bins"),
-            F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])).alias("label"))).alias("found"))
+            c["start"].alias("start"), c["ord"].alias("ord"), c["end"].alias("end"), c["bins"].alias("bins"), c["valid"].alias("valid"),
+            F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])).alias("touches"))).alias("found"))
 
 
 class Trees:
@@ -197,19 +217,23 @@ class Trees:
 def fit(found: DataFrame) -> tuple[Trees, dict[str, float]]:
     """Trees and the threshold of every kind, from the candidates of all documents."""
     rows = found.select(F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("fold"), F.explode("found").alias("c"))
+    label = F.col("c.touches") | F.col("c.valid")
     keys = [F.col("c.ord"), *[F.col(f"c.bins.{k}").alias(k) for k in FEATURES]]
     counted = rows.groupBy(*keys, (F.col("fold") == 0).alias("held")).agg(
-        F.count_if("c.label").alias("p"), F.count_if(~F.col("c.label")).alias("n")).collect()
+        F.count_if(label).alias("p"), F.count_if(~label).alias("n")).collect()
     fitted = [(tuple(r)[:len(keys)], r.p, r.n) for r in counted if not r.held]
     trees = Trees(fitted)
     thresholds = {}
     for ordinal, kind in enumerate(KINDS):
-        held = sorted(((trees.score(tuple(r)[:len(keys)]), r.p, r.n) for r in counted if r.held and r.ord == ordinal), reverse=True)
+        own = [r for r in counted if r.ord == ordinal]
+        apart = [r for r in own if r.held]
+        few = sum(r.p + r.n for r in apart) < LEAST_HELD_OUT
+        held = sorted(((trees.score(tuple(r)[:len(keys)]), r.p, r.n) for r in (own if few else apart)), reverse=True)
         thresholds[kind], p, n = math.inf, 0, 0
         for k, (score, more_p, more_n) in enumerate(held):
             p, n = p + more_p, n + more_n
             last = k + 1 == len(held) or held[k + 1][0] < score
-            if last and p + n >= LEAST_HELD_OUT and p >= PRECISION * (p + n):
+            if last and p >= PRECISION * (p + n):
                 thresholds[kind] = score
     return trees, thresholds
 
@@ -222,7 +246,7 @@ def _chosen(trees: Trees, thresholds: dict[str, float]) -> Column:
         for ordinal, kind in enumerate(KINDS):
             if thresholds[kind] < math.inf:
                 chosen = F.when(c["ord"] == ordinal, score >= thresholds[kind]).otherwise(chosen)
-        return ~c["label"] & chosen
+        return ~c["touches"] & (c["valid"] | chosen)
 
     added = F.transform(F.filter("found", over), lambda c: F.struct(c["start"], c["ord"], c["end"]))
     return F.array_sort(F.array_distinct(F.concat("base", added)))

@@ -218,6 +218,19 @@ def test_boosted_trees_add_what_looks_alike(spark):
     assert all(spans[k] for k in range(400)) and not any(":36:43" in s or ":35:42" in s for s in spans.values())
 
 
+@pytest.mark.parametrize("n", [30, 600])
+def test_other_forms_are_found_at_every_size(spark, n):
+    """Written-out addresses, IPv6 addresses and phone numbers without plus are found, however many there are."""
+    other = [lambda k: f"user{k} (at) mail{k} (dot) com", lambda k: f"2001:db8:85a3:{k:x}:1:8a2e:370:7334", lambda k: f"(212) 555-{1000 + k}"]
+    docs = [(k, f"é write {other[k % 3](k)} soon" if k % 2 else f"mail a{k}@b.co, ip 10.0.{k % 200}.1, call +49 (30) 555-{1000 + k}") for k in range(n)]
+    docs += [(n + k, f"room 1234567, at 12:30:45:1{k % 10}") for k in range(n)]
+    spans = {r.doc_id: r.s for r in pii.detect(frame(spark, docs)).select("doc_id", pii.written("spans").alias("s")).collect()}
+    for k in range(1, n, 2):
+        found = other[k % 3](k)
+        assert spans[k] == f"{('email', 'ip', 'phone')[k % 3]}:8:{8 + len(found)}"
+    assert not any(spans[n + k] for k in range(n))
+
+
 def test_redaction(spark):
     docs = clashing(spark, [(1, "mail a@b.co, ip 10.0.0.1!"), (2, None), (3, ""), (None, "+49 (30) 555-1234 x"), (1, "é 4111111111111111")])
     out = pii.redact(docs)
