@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, over whole tables, and their comparison SQL."""
+"""Registered queries of the operators, over whole tables, and their comparison SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthomark.llm import decontamination, html_text, minhash, neighbours, packing, pii, quality, secret_scan, token_files, toxicity
+from orthomark.llm import decontamination, html_text, merkle, minhash, neighbours, packing, pii, quality, secret_scan, token_files, toxicity
 from orthomark.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,53 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_html")
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def crc32_sql(digits: str) -> str:
+    """Unsigned crc32 of a number in decimal: eight shifts a byte, by the reflected polynomial."""
+    shifts = "list_reduce(range(8), lambda r, k: xor(r >> 1, 3988292384 * (r & 1)), xor(c, x))"
+    return (f"xor(list_reduce(list_transform(string_split(CAST({digits} AS VARCHAR), ''), lambda b: CAST(ascii(b) AS BIGINT)), "
+            f"lambda c, x: {shifts}, CAST(4294967295 AS BIGINT)), 4294967295)")
+
+
+def leaf_sql(text: str) -> str:
+    values = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen({v}) AS VARCHAR) || ':' || {v}, '-')" for v in values) + ")"
+
+
+@query("op12_merkle", sql=f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS g, {leaf_sql("text")} AS leaf,
+         {leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS tampered FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+up AS (SELECT g, 0 AS lvl, i AS pos, n, leaf AS h FROM placed
+       UNION ALL
+       SELECT g, lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY g, lvl, n, pos // 16),
+subroots AS (SELECT g, h AS subroot, lvl AS depth, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS lvl, pos, n, subroot AS h FROM subroots
+        UNION ALL
+        SELECT lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, n, pos // 16),
+own AS (SELECT p.rid, p.g, p.i AS pos, s.depth, s.pos AS top_pos FROM placed p JOIN subroots s USING (g)),
+ways AS (SELECT rid, lvl AS k, CAST(pos // CAST(power(16, lvl) AS BIGINT) AS BIGINT) AS place, g FROM own, unnest(range(depth)) AS u(lvl)
+         UNION ALL
+         SELECT rid, depth + lvl, CAST(top_pos // CAST(power(16, lvl) AS BIGINT) AS BIGINT), NULL FROM own, (SELECT DISTINCT lvl FROM top WHERE n > 1)),
+steps AS (SELECT w.rid, w.k, coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos < w.place), '') AS before,
+                 coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos > w.place), '') AS after
+          FROM ways w JOIN up u ON u.g = w.g AND u.lvl = w.k AND u.pos // 16 = w.place // 16 GROUP BY w.rid, w.k, w.place
+          UNION ALL
+          SELECT w.rid, w.k, coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos < w.place), ''),
+                 coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos > w.place), '')
+          FROM ways w JOIN own o USING (rid) JOIN top u ON w.g IS NULL AND u.lvl = w.k - o.depth AND u.pos // 16 = w.place // 16 GROUP BY w.rid, w.k, w.place),
+fold AS (SELECT rid, 0 AS k, CASE WHEN {crc32_sql("doc_id")} % 5 = 0 THEN tampered ELSE leaf END AS h FROM leaves
+         UNION ALL
+         SELECT f.rid, f.k + 1, sha256(s.before || f.h || s.after) FROM fold f JOIN steps s ON s.rid = f.rid AND s.k = f.k),
+folded AS (SELECT rid, arg_max(h, k) AS folded_root FROM fold GROUP BY rid),
+proof AS (SELECT rid, string_agg(before || after, '' ORDER BY k) AS siblings FROM steps GROUP BY rid)
+SELECT p.doc_id, p.leaf, s.subroot, r.h AS root, sha256(coalesce(q.siblings, '')) AS proof_sha256, f.folded_root, f.folded_root = r.h AS verified
+FROM placed p JOIN subroots s USING (g) JOIN folded f USING (rid) LEFT JOIN proof q USING (rid) JOIN top r ON r.n = 1""")
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = merkle.leaf_digest([*merkle.FIELDS[:-1], F.translate("text", merkle.UPPER, merkle.LOWER)])
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = merkle.proofs(docs, "source", ["doc_id"], presented=F.when(altered, lowered))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
