@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthomark.llm import decontamination, html_text, merkle, minhash, neighbours, packing, pii, quality, secret_scan, token_files, toxicity
+from orthomark.llm import decontamination, html_text, merkle, minhash, neighbours, packing, pii, prefix_trie, quality, secret_scan, token_files, toxicity
 from orthomark.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,25 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     found = merkle.proofs(docs, "source", ["doc_id"], presented=F.when(altered, lowered))
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op13_prefix_trie", sql=f"""
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS idx
+               FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id AS c, list(struct_pack(r := role, t := text) ORDER BY idx) AS l FROM turns GROUP BY conv_id),
+shared AS (SELECT c, c - c % 100 AS b, l, {crc32_sql("c")} % 6 AS h FROM own),
+rebuilt AS (SELECT s.c, list_concat(coalesce(b.l, [])[1:s.h], s.l[s.h + 1:]) AS l FROM shared s LEFT JOIN own b ON b.c = s.b),
+prefixes AS (SELECT c, len(l) AS n, d, l[1:d] AS p FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT p, d AS depth, min(c) AS conv_id, count(*) AS n_convs, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d) AS ends,
+                 CASE WHEN d = 0 THEN 0 ELSE length(p[d].t) END AS chars FROM prefixes GROUP BY p, d),
+children AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+figures AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (p)),
+below AS (SELECT p[1:k] AS p, sum((n_convs - 1) * chars) AS saved, count(*) FILTER (n_children = 0) AS leaves
+          FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM figures) GROUP BY ALL)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(b.leaves AS BIGINT) AS n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM figures f JOIN below b USING (p) LEFT JOIN figures q ON f.depth > 0 AND q.depth = f.depth - 1 AND q.p = f.p[1:f.depth - 1]""")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.share_openings(turns))
