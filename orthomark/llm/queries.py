@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthomark.llm import decontamination, html_text, merkle, minhash, neighbours, packing, pii, prefix_trie, quality, secret_scan, token_files, toxicity
+from orthomark.llm import byte_bpe, decontamination, html_text, merkle, minhash, neighbours, packing, pii, prefix_trie, quality, secret_scan, token_files, toxicity
 from orthomark.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +218,10 @@ FROM figures f JOIN below b USING (p) LEFT JOIN figures q ON f.depth > 0 AND q.d
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
     return prefix_trie.trie(prefix_trie.share_openings(turns))
+
+
+@query("op11_byte_bpe")
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
