@@ -39,7 +39,7 @@ def map_vertices(geom, fx, fy) -> Column:
     return F.struct(g["kind"].alias("kind"), rings.alias("rings"))
 
 
-def _ring_area(ring: Column) -> Column:
+def ring_area(ring: Column) -> Column:
     edges = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1),
                        lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
     return F.abs(F.aggregate(edges, F.lit(0.0), lambda total, e: total + e)) / F.lit(2.0)
@@ -51,7 +51,7 @@ def geom_area(geom) -> Column:
 
     def part_area(part):
         holes = F.slice(part, F.lit(2), F.greatest(F.size(part) - 1, F.lit(0)))
-        return _ring_area(part[0]) - F.aggregate(F.transform(holes, _ring_area), F.lit(0.0), lambda t, a: t + a)
+        return ring_area(part[0]) - F.aggregate(F.transform(holes, ring_area), F.lit(0.0), lambda t, a: t + a)
 
     total = F.aggregate(F.transform(g["rings"], part_area), F.lit(0.0), lambda t, a: t + a)
     return F.when(g["kind"].isin("Polygon", "MultiPolygon"), total).otherwise(F.lit(0.0))

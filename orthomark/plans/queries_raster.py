@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from orthomark.functions import geo, geometry
-from orthomark.operators import masks, outlines, raster, sets, views
+from orthomark.operators import masks, outlines, raster, sets, unions, views
 from orthomark.plans.queries_joins import _detections, _polygons
 from orthomark.plans.registry import query
 
@@ -86,6 +86,41 @@ def _(t):
     return merged.groupBy("scene_id", "concept").agg(F.sum(F.col("c1") - F.col("c0")).alias("area"))
 
 
+# Corners of a pixel set from the four pixels around every grid point; their balance is pieces minus holes.
+CONCAVE = """
+, boxes AS (SELECT scene_id, concept, object_id % 2 = 0 AS bent, x0, y0, x0 + w AS x1, y0 + h AS y1, x0 + (w - w % 2) / 2 AS xm, y0 + (h - h % 2) / 2 AS ym FROM detections),
+px AS (SELECT DISTINCT scene_id, concept, x, y FROM (SELECT *, unnest(range(CAST(x0 AS BIGINT), CAST(x1 AS BIGINT))) AS x FROM (SELECT *, unnest(range(CAST(y0 AS BIGINT), CAST(y1 AS BIGINT))) AS y FROM boxes))
+  WHERE CASE WHEN bent THEN y < ym OR x < xm ELSE x < x0 + 3 OR x >= x1 - 3 OR y < y0 + 3 OR y >= y1 - 3 END),
+grid AS (SELECT scene_id, concept, x + dx AS gx, y + dy AS gy, sum(CASE dx + 2 * dy WHEN 0 THEN 8 WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 1 END) AS bits, count(*) AS n
+  FROM px, range(2) AS a(dx), range(2) AS b(dy) GROUP BY ALL)
+SELECT p.scene_id, p.concept, area, corners, euler AS pieces_less_holes FROM (SELECT scene_id, concept, count(*) AS area FROM px GROUP BY ALL) p
+JOIN (SELECT scene_id, concept, CAST(sum(CASE WHEN n IN (1, 3) THEN 1 WHEN bits IN (6, 9) THEN 2 ELSE 0 END) AS BIGINT) AS corners,
+        CAST(sum(CASE WHEN n = 1 THEN 1 WHEN n = 3 THEN -1 WHEN bits IN (6, 9) THEN 2 ELSE 0 END) / 4 AS BIGINT) AS euler FROM grid GROUP BY ALL) g
+  ON p.scene_id = g.scene_id AND p.concept = g.concept"""
+
+
+def _concave(t):
+    """Bent shapes and frames in place of the boxes of detections."""
+    c = F.col
+    xm, ym = c("x0") + F.floor(c("w") / 2), c("y0") + F.floor(c("h") / 2)
+    d = t.detections.select("scene_id", "concept", "object_id", "x0", "y0", (c("x0") + c("w")).alias("x1"), (c("y0") + c("h")).alias("y1"), xm.alias("xm"), ym.alias("ym"))
+    ring = lambda *points: F.array(*[geometry.vertex(x, y) for x, y in (*points, points[0])])
+    bent = F.array(F.array(ring(*[(c(x), c(y)) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "ym"), ("xm", "ym"), ("xm", "y1"), ("x0", "y1"))])))
+    frame = F.array(F.array(ring(*[(c(x), c(y)) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))]),
+                            ring(*[(x, y) for x, y in ((c("x0") + 3, c("y0") + 3), (c("x1") - 3, c("y0") + 3), (c("x1") - 3, c("y1") - 3), (c("x0") + 3, c("y1") - 3))])))
+    rings = F.when(c("object_id") % 2 == 0, bent).otherwise(frame)
+    return d.select("scene_id", "concept", F.struct(F.lit("Polygon").alias("kind"), rings.alias("rings")).alias("geom"))
+
+
+@query("u4_union_outlines", "detections", CONCAVE)
+def _(t):
+    merged = unions.union_outlines(_concave(t), ["scene_id", "concept"])
+    rings = F.col("geom.rings")[0]
+    corners = F.aggregate(rings, F.lit(0), lambda n, r: n + F.size(r) - 1)
+    return merged.groupBy("scene_id", "concept").agg(F.sum(geometry.geom_area("geom")).cast("long").alias("area"), F.sum(corners).alias("corners"),
+                                                     F.sum((2 - F.size(rings)).cast("long")).alias("pieces_less_holes"))
+
+
 # --- windows and views ----------------------------------------------------------------
 
 @query("r1_window_offsets", "view_requests", """
