@@ -196,13 +196,14 @@ def _forest(leaves: DataFrame, levels: int) -> tuple[list[DataFrame], DataFrame,
 
 
 def proofs(rows: DataFrame, group: str, order: Sequence[str], leaf: Column | None = None, presented: Column | None = None,
-           with_proofs: bool = False, levels: int = LEVELS) -> DataFrame:
+           with_proofs: bool = False, levels: int | None = None) -> DataFrame:
     """One row per row of ``rows``: its order columns, leaf, subroot, root, proof_sha256 (digest of the siblings,
     left to right, level by level), folded_root, and with ``with_proofs`` the siblings themselves.
 
     ``leaf`` is the hex digest of a row. Where ``presented`` is not null, that digest is folded with
     the siblings in place of the leaf, as a verifier would who was handed an altered row."""
     kinds = {f.name: f.dataType for f in rows.schema.fields}
+    levels = LEVELS if levels is None else levels
     runs, groups, leaves, bins = _forest(_numbered(rows, group, order, leaf_digest() if leaf is None else leaf, presented), levels)
     outer = descend(runs, groups.withColumn("_pos", F.lit(0).cast("long")))
     outer = _binned(outer, bins, F.col("_pos"))
@@ -212,9 +213,9 @@ def proofs(rows: DataFrame, group: str, order: Sequence[str], leaf: Column | Non
     return found.select(*[F.col(c).cast(kinds[c]).alias(c) for c in order], *[c for c in found.columns if c not in order])
 
 
-def roots(rows: DataFrame, group: str, order: Sequence[str], leaf: Column | None = None, levels: int = LEVELS) -> DataFrame:
+def roots(rows: DataFrame, group: str, order: Sequence[str], leaf: Column | None = None, levels: int | None = None) -> DataFrame:
     """The manifest itself: one row per group with its name, number of leaves, subroot and the root."""
     leaves = _numbered(rows, group, order, leaf_digest() if leaf is None else leaf, None)
-    _, groups, _, _ = _forest(leaves, levels)
+    _, groups, _, _ = _forest(leaves, LEVELS if levels is None else levels)
     sizes = leaves.groupBy("_group").agg(F.count("*").alias("n_leaves"))
     return groups.join(sizes, "_group").select(F.when(F.col("_group") != "", F.substring("_group", 2, 1 << 30)).alias(group), "n_leaves", "subroot", "root")
