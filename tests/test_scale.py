@@ -67,8 +67,8 @@ def brute_merge(items, overlap):
     return sorted((m[1], len(m[0]), m[2]) for m in merged)
 
 
-@pytest.mark.parametrize("seed, copies", [(1, 0), (2, 0), (3, 60)])
-def test_merge_across_windows(spark, seed, copies):
+@pytest.mark.parametrize("seed, copies, tile", [(1, 0, 5), (2, 0, 16), (3, 60, 16), (3, 60, 1024)])
+def test_merge_across_windows(spark, seed, copies, tile):
     rng, rows, items = np.random.default_rng(seed), [], []
     for k in range(140 + copies):
         if k < 140:
@@ -79,11 +79,24 @@ def test_merge_across_windows(spark, seed, copies):
         rows.append((1, "tree", k % 5, k, score, x, y, x + w, y + h))
         items.append((k % 5, k, score, frozenset((i, j) for i in range(x, x + w) for j in range(y, y + h))))
     df = spark.createDataFrame(rows, "scene_id long, concept string, window_id long, instance_id long, score double, x0 long, y0 long, x1 long, y1 long")
-    out = merging.merge_across_windows(df.withColumn("rects", merging.box_rects()), 0.6, cell=8)
+    out = merging.merge_across_windows(df.withColumn("rects", merging.box_rects()), 0.6, tile=tile)
     assert sorted((r["score"], r["area_pixels"], r["members"]) for r in out.collect()) == brute_merge(items, 0.6)
     assert out.filter(merging.rects_area("rects") != F.col("area_pixels")).count() == 0
 
 
+def test_merging_of_one_component_over_many_tiles(spark):
+    """A band of overlapping boxes, one component, over a hundred tiles and several partitions."""
+    rng, items, rows = np.random.default_rng(9), [], []
+    for k in range(900):
+        x, y, w, h = 3 * k + int(rng.integers(0, 5)), int(rng.integers(0, 6)), int(rng.integers(6, 14)), int(rng.integers(6, 14))
+        score = float(rng.random())
+        rows.append((1, "road", 0, k, score, x, y, x + w, y + h))
+        items.append((0, k, score, frozenset((i, j) for i in range(x, x + w) for j in range(y, y + h))))
+    df = spark.createDataFrame(rows, "scene_id long, concept string, window_id long, instance_id long, score double, x0 long, y0 long, x1 long, y1 long")
+    out = merging.merge_across_windows(df.withColumn("rects", merging.box_rects()), 0.6, tile=32)
+    assert sorted((r["score"], r["area_pixels"], r["members"]) for r in out.collect()) == brute_merge(items, 0.6)
+
+
 def test_running_totals_over_one_hot_group(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 7).alias("g"), (F.col("id") * 7919 % 5003).alias("o"), "id")
     out = ordering.running_totals(df, ["g"], [F.col("o").desc(), F.col("id")], {"n": F.lit(1).cast("long"), "s": F.col("id")})
