@@ -8,8 +8,8 @@ from orthomark.operators import masks, ordering, training
 from orthomark.operators.lookups import normalise_place_records
 from orthomark.operators.segmentation import threshold_predictor
 from orthomark.plans import jobs
-from orthomark.plans.queries_joins import EDITED, IDENTITY, _detections, _edits, _polygons, _records, identified
-from orthomark.plans.queries_raster import OBJECTS, SIDE, _object_runs, changes_sql
+from orthomark.plans.queries_joins import EDITED, IDENTITY, _detections, _edits, _polygons, _records, identified, merged_sql
+from orthomark.plans.queries_raster import OBJECTS, SIDE, _object_runs, changes_sql, regions_sql, rows_sql
 from orthomark.plans.registry import query
 from orthomark.session import scratch_folder
 from orthomark.sources import readers, writers
@@ -142,7 +142,19 @@ def _(t):
     return t.spark.read.json(f"{path}/training_config").select("split_counts.train", "split_counts.val", "split_counts.test", "config.seed")
 
 
-@query("r8_segment_windows")
+# Bright regions of every window as instances, merged across windows and numbered.
+WINDOW_ROWS = rows_sql("SELECT scene_id, window_id, prow, pcol FROM mask_pixels JOIN (VALUES (0, 0, 0), (1, 24, 0), (2, 0, 24), (3, 24, 24)) AS v(window_id, x, y) "
+                       "ON prow >= y AND prow < y + 40 AND pcol >= x AND pcol < x + 40 WHERE after_hit AND valid", "scene_id, window_id")
+SEGMENTED = WINDOW_ROWS + regions_sql(1, "scene_id, window_id") + merged_sql("""
+  SELECT scene_id, 'building' AS concept, CAST(0.9 AS DOUBLE) AS score, window_id, row_number() OVER (PARTITION BY scene_id, window_id ORDER BY region) - 1 AS instance_id, p
+  FROM (SELECT scene_id, window_id, region, list(prow * 100000 + x) AS p FROM (SELECT *, unnest(range(c0, c1)) AS x FROM regions) GROUP BY scene_id, window_id, region HAVING count(*) >= 4)""") + """
+, found AS (SELECT scene_id, row_number() OVER (PARTITION BY scene_id ORDER BY o.score DESC, window_id, instance_id) AS object_id, o.p AS p, o.members AS members FROM merged)
+"""
+
+
+@query("r8_segment_windows", "mask_pixels", SEGMENTED + """
+SELECT scene_id, object_id, 'Building ' || object_id AS label, len(p) AS area_pixels, members, list_min(list_transform(p, lambda q: q % 100000)) AS x0, list_min(p) // 100000 AS y0,
+  list_max(list_transform(p, lambda q: q % 100000)) + 1 AS x1, list_max(p) // 100000 + 1 AS y1 FROM found""", recursive=True)
 def _(t):
     """Windows, inference, merging and numbering end to end on the mask grids."""
     pixels = t.mask_pixels.select("scene_id", "prow", "pcol", "valid", F.when(F.col("after_hit"), 255.0).otherwise(0.0).alias("grey"))
@@ -204,7 +216,16 @@ def _(t):
                     F.round("b.ymin", 6).alias("south"), F.length("geohash").cast("long").alias("geohash_length"))
 
 
-@query("flow_segment_area")
+@query("flow_segment_area", "mask_pixels map_polygons", SEGMENTED + f"""
+, boxes AS (SELECT scene_id, osm_id, name, x0 % {SIDE} AS x, y0 % {SIDE} AS y FROM map_polygons),
+pairs AS (SELECT f.scene_id, f.object_id, b.name, len(list_filter(p, lambda q: q % 100000 >= x AND q % 100000 < x + 8 AND q // 100000 >= y AND q // 100000 < y + 8)) AS shared, len(p) AS area
+  FROM found f JOIN boxes b USING (scene_id)),
+near AS (SELECT *, CAST(shared AS DOUBLE) / (area + 64 - shared) AS iou FROM pairs WHERE shared > 0),
+kept AS (SELECT scene_id, object_id, count(*) AS n, count(*) FILTER (round(iou, 4) >= 0.5) AS strong, any_value(name) FILTER (round(iou, 4) >= 0.5) AS name
+  FROM near WHERE iou >= CAST(0.05 AS DOUBLE) GROUP BY scene_id, object_id)
+SELECT f.scene_id, f.object_id, 'Building ' || f.object_id AS label, coalesce(n, 0) AS evidence_count,
+  CASE WHEN n IS NULL THEN '{labels.UNMATCHED}' ELSE '{labels.CANDIDATES}' END AS match_status, CASE WHEN strong = 1 THEN k.name END AS candidate_name, CAST(9 AS BIGINT) AS geohash_length
+FROM found f LEFT JOIN kept k USING (scene_id, object_id)""", recursive=True)
 def _(t):
     """The mask grids as images: segmented, outlined on the map and matched with mapped boxes on the same ground."""
     from orthomark.functions import geo
@@ -215,7 +236,7 @@ def _(t):
     box = geometry.box_geom(x, y - 8 * DEGREE, x + 8 * DEGREE, y)
     records = _polygons(t).select("scene_id", "osm_type", "osm_id", "name", "address", box.alias("geom"))
     found = jobs.label_area(pixels, scenes, records, ["building"], threshold_predictor(), ["grey"], size=40, overlap=16, min_pixels=4)
-    return found.select("scene_id", "object_id", "label", "evidence_count", "match_status", "candidate_name", "geohash")
+    return found.select("scene_id", "object_id", "label", "evidence_count", "match_status", "candidate_name", F.length("geohash").cast("long").alias("geohash_length"))
 
 
 @query("udtf_windows", "", """

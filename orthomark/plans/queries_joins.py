@@ -155,7 +155,7 @@ def _merged(t):
 
 def merged_sql(instances: str, limit: str = "CAST(0.6 AS DOUBLE)") -> str:
     """Merging in rank order by recursion over the ranks of each component of touching boxes, objects as lists of
-    pixels. ``instances``: scene_id, concept, score, window_id, instance_id, p (pixels as row * 100000 + column)."""
+    pixels; window_id and instance_id come from the best member. ``instances``: scene_id, concept, score, window_id, instance_id, p (pixels as row * 100000 + column)."""
     return f"""
 , listed AS MATERIALIZED (SELECT *, row_number() OVER () AS id FROM ({instances})),
 boxed AS MATERIALIZED (SELECT *, list_min(list_transform(p, lambda q: q % 100000)) AS bx0, list_max(list_transform(p, lambda q: q % 100000)) AS bx1,
@@ -163,18 +163,20 @@ boxed AS MATERIALIZED (SELECT *, list_min(list_transform(p, lambda q: q % 100000
 touching AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM boxed a JOIN boxed b ON a.scene_id = b.scene_id AND a.concept = b.concept AND a.id <> b.id
   AND a.bx0 <= b.bx1 AND b.bx0 <= a.bx1 AND a.by0 <= b.by1 AND b.by0 <= a.by1),
 spreading AS (SELECT id, id AS root FROM listed UNION SELECT t.b, s.root FROM spreading s JOIN touching t ON t.a = s.id AND s.root < t.b),
-inst AS MATERIALIZED (SELECT root, score, p, scene_id, concept, row_number() OVER (PARTITION BY root ORDER BY score DESC, window_id, instance_id) AS r
+inst AS MATERIALIZED (SELECT root, score, p, scene_id, concept, window_id, instance_id, row_number() OVER (PARTITION BY root ORDER BY score DESC, window_id, instance_id) AS r
   FROM listed JOIN (SELECT id, min(root) AS root FROM spreading GROUP BY id) USING (id)),
-walk AS (SELECT root, r, [struct_pack(p := p, score := score, members := CAST(1 AS BIGINT))] AS objs FROM inst WHERE r = 1
+walk AS (SELECT root, r, [struct_pack(p := p, score := score, lead := r, members := CAST(1 AS BIGINT))] AS objs FROM inst WHERE r = 1
   UNION ALL
   SELECT root, r, list_append(list_transform(list_filter(met, lambda m: NOT m.hit), lambda m: m.o), struct_pack(
       p := list_distinct(flatten(list_append(list_transform(list_filter(met, lambda m: m.hit), lambda m: m.o.p), p))),
       score := greatest(score, coalesce(list_max(list_transform(list_filter(met, lambda m: m.hit), lambda m: m.o.score)), score)),
+      lead := least(r, coalesce(list_min(list_transform(list_filter(met, lambda m: m.hit), lambda m: m.o.lead)), r)),
       members := CAST(1 + coalesce(list_sum(list_transform(list_filter(met, lambda m: m.hit), lambda m: m.o.members)), 0) AS BIGINT))) AS objs
   FROM (SELECT root, r, p, score, list_transform(shared, lambda s: struct_pack(o := s.o, hit := s.n > 0 AND CAST(s.n AS DOUBLE) / least(len(s.o.p), len(p)) >= {limit})) AS met
         FROM (SELECT w.root, i.r, i.p, i.score, list_transform(w.objs, lambda o: struct_pack(o := o, n := len(list_intersect(o.p, i.p)))) AS shared
               FROM walk w JOIN inst i ON i.root = w.root AND i.r = w.r + 1))),
-merged AS (SELECT scene_id, concept, unnest(objs) AS o FROM walk JOIN (SELECT root, any_value(scene_id) AS scene_id, any_value(concept) AS concept, max(r) AS r FROM inst GROUP BY root) USING (root, r))
+standing AS (SELECT root, unnest(objs) AS o FROM walk JOIN (SELECT root, max(r) AS r FROM inst GROUP BY root) USING (root, r)),
+merged AS (SELECT i.scene_id, i.concept, i.window_id, i.instance_id, o FROM standing s JOIN inst i ON i.root = s.root AND i.r = s.o.lead)
 """
 
 
