@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orthomark.functions.geo import is_finite
+from orthomark.operators import tiles
+from orthomark.session import cut_lineage
 
 SCENE = ("scene_id",)
 # Overlay colours and weights.
@@ -47,37 +49,30 @@ def valid_pixels(pixels: DataFrame, bands: int, keys: Sequence[str] = SCENE, alp
 
 
 def band_percentiles(pixels: DataFrame, low: float = 2, high: float = 98, keys: Sequence[str] = SCENE,
-                     exact: bool = True) -> DataFrame:
-    """Percentiles of the valid values per scene and band, linearly interpolated.
+                     exact: bool = True, bands: Sequence | None = None) -> DataFrame:
+    """Percentiles of the finite values per scene and band, linearly interpolated.
 
-    ``percentile`` keeps counts of distinct values, merged map-side, so 8- and 16-bit imagery
-    stays small however large the scene; for continuous values pass ``exact=False``.
-    """
+    Exact ones come from counts over tiles, in bounded memory for any number of different values;
+    ``bands`` (else found by a pass over the table) are those to look at."""
     if not 0 <= low < high <= 100:
         raise ValueError("percentiles must satisfy 0 <= low < high <= 100")
-    fn = F.percentile if exact else F.approx_percentile
-    finite = pixels.filter(is_finite("value"))
-    return finite.groupBy(*keys, "band").agg(fn("value", F.lit(low / 100)).alias("p_low"), fn("value", F.lit(high / 100)).alias("p_high"))
+    if not exact:
+        finite = pixels.filter(is_finite("value"))
+        return finite.groupBy(*keys, "band").agg(*[F.approx_percentile("value", F.lit(p / 100)).alias(n) for p, n in ((low, "p_low"), (high, "p_high"))])
+    if bands is None:
+        bands = sorted(r["band"] for r in pixels.select("band").distinct().where("band IS NOT NULL").collect())  # the bands of a sensor
+    packed = cut_lineage(tiles.tiles_of(pixels, bands, keys))
+    return tiles.tile_percentiles(packed, bands, low, high, keys, per_band=True)
 
 
 def percentile_stretch(pixels: DataFrame, bands: int, low: float = 2, high: float = 98, keys: Sequence[str] = SCENE,
                        eight_bit: bool = False) -> DataFrame:
-    """8-bit display values: 0 on invalid pixels and on flat bands, else stretched between the
-    percentiles of the pixels valid in all bands, truncated. 8-bit input is kept as it is."""
-    at = [*keys, "prow", "pcol"]
-    # The bands of a pixel are brought together once, which also tells whether it is valid.
-    good = is_finite("value")
-    together = pixels.groupBy(*at).agg((F.bool_and(good) & (F.count_if(good) == bands)).alias("valid"),
-                                       F.collect_list(F.struct("band", "value")).alias("_v"))
-    marked = together.select(*at, "valid", F.inline("_v"))
-    if eight_bit:
-        kept = F.when(F.col("valid"), F.col("value")).otherwise(0).cast("long")
-        return marked.select(*keys, "band", "prow", "pcol", kept.alias("value"))
-    limits = band_percentiles(marked.filter("valid"), low, high, keys)
-    value = (F.col("value") - F.col("p_low")) / F.nullif(F.col("p_high") - F.col("p_low"), F.lit(0.0))
-    scaled = F.floor(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)) * 255)
-    shown = F.when(F.col("valid") & (F.col("p_high") > F.col("p_low")), scaled).otherwise(0).cast("long")
-    return marked.join(limits, [*keys, "band"], "left").select(*keys, "band", "prow", "pcol", shown.alias("value"))
+    """8-bit display values of all bands 1 to ``bands``: 0 on invalid pixels and on flat bands, else stretched between the
+    percentiles of the pixels valid in all bands, truncated. 8-bit input is kept as it is.
+    The tile form is :func:`orthomark.operators.tiles.stretch_tiles`; this one packs and unpacks pixel rows."""
+    names = list(range(1, bands + 1))
+    shown = tiles.stretch_tiles(tiles.tiles_of(pixels, names, keys), names, low, high, keys, eight_bit)
+    return tiles.pixels_of_tiles(shown, names, keys, kind="bigint").select(*keys, "band", "prow", "pcol", "value")
 
 
 def mosaic(tiles: DataFrame, offsets: DataFrame, keys: Sequence[str] = SCENE) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from orthomark.functions import geo, geometry
-from orthomark.operators import masks, outlines, raster, sets, unions, views
+from orthomark.operators import masks, outlines, raster, sets, tiles, unions, views
 from orthomark.plans.queries_joins import _detections, _polygons
 from orthomark.plans.registry import query
 
@@ -174,9 +174,10 @@ FROM mask_pixels JOIN w ON prow >= y AND prow < y + 40 AND pcol >= x AND pcol <
 def _(t):
     scenes = t.supplier.select(F.col("s_suppkey").alias("scene_id"), F.lit(64).alias("width"), F.lit(64).alias("height"))
     windows = views.plan_windows(scenes, 40, 16)
-    cut = views.cut_windows(t.mask_pixels.select("scene_id", "prow", "pcol", "after_hit"), windows, block=32)
-    return cut.groupBy("scene_id", "window_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum(F.col("prow") * 40 + F.col("pcol")).alias("positions"),
-                                                    F.count_if("after_hit").alias("hits"))
+    carried = tiles.tiles_of(t.mask_pixels.select("scene_id", "prow", "pcol", F.col("after_hit").cast("int").alias("hit")), ["hit"], size=32)
+    cut = tiles.pixels_of_tiles(tiles.cut_windows(carried, windows, size=32), ["hit"], ("scene_id", "window_id", "y0", "x0"), wide=True)
+    return cut.groupBy("scene_id", "window_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum((F.col("prow") - F.col("y0")) * 40 + F.col("pcol") - F.col("x0")).alias("positions"),
+                                                    F.sum("hit").cast("long").alias("hits"))
 
 
 @query("r4_assign_windows", "mask_pixels", CUT_SQL)
@@ -248,15 +249,11 @@ WHERE w > 0 GROUP BY k.scene_id, band, k.prow, k.pcol"""
 
 @query("r16_warp", "band_pixels", WARP_SQL)
 def _(t):
-    span = F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))
-    targets = t.supplier.select(F.col("s_suppkey").alias("scene_id"), F.explode(span).alias("prow")).withColumn("pcol", F.explode(span))
-    inverse = F.array(F.lit(0.75), F.lit(0.125), (F.col("scene_id") % 4).cast("double"), F.lit(0.0), F.lit(0.75), F.lit(0.5), F.lit(0.0), F.lit(0.0), F.lit(1.0))
-    # The bands of a pixel as columns, so that they move together.
-    values = [F.coalesce(F.max(F.when(F.col("band") == b, F.col("value"))), F.lit(0.0)).alias(f"v{b}") for b in (1, 2, 3)]
-    source = t.band_pixels.groupBy("scene_id", "prow", "pcol").agg(*values)
-    warped = raster.warp(source, targets.withColumn("inverse", inverse), value_columns=("v1", "v2", "v3"))
-    bands = F.explode(F.array(*[F.struct(F.lit(b).cast("long").alias("band"), F.round(f"v{b}", 6).alias("value")) for b in (1, 2, 3)])).alias("b")
-    return warped.select("scene_id", "prow", "pcol", bands).select("scene_id", "b.band", "prow", "pcol", "b.value")
+    k = F.col("s_suppkey")
+    inverse = F.array(F.lit(0.75), F.lit(0.125), (k % 4).cast("double"), F.lit(0.0), F.lit(0.75), F.lit(0.5), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    targets = t.supplier.select(k.alias("scene_id"), F.lit(24).alias("width"), F.lit(24).alias("height"), inverse.alias("inverse"))
+    warped = tiles.warp_tiles(tiles.tiles_of(t.band_pixels, [1, 2, 3], size=16), targets, 3, size=16)
+    return tiles.pixels_of_tiles(warped, [1, 2, 3]).select("scene_id", "band", "prow", "pcol", F.round("value", 6).alias("value"))
 
 
 @query("r19_blend", "band_pixels mask_pixels", STRETCHED + """
