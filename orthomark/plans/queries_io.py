@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from orthomark.functions import geometry, labels
 from orthomark.functions.sql import register_table_functions
-from orthomark.operators import masks, ordering, training
+from orthomark.operators import masks, ordering, tiles, training
 from orthomark.operators.lookups import normalise_place_records
 from orthomark.operators.segmentation import threshold_predictor
 from orthomark.plans import jobs
@@ -142,6 +142,31 @@ def _(t):
     return t.spark.read.json(f"{path}/training_config").select("split_counts.train", "split_counts.val", "split_counts.test", "config.seed")
 
 
+# Fixed value: head of an uncompressed image of 64 x 64 pixels of three bytes. Bytes under 128 are text that any writer writes.
+BITMAP_HEAD = [66, 77, 54, 48, 0, 0, 0, 0, 0, 0, 54, 0, 0, 0, 40, 0, 0, 0, 64, 0, 0, 0, 64, 0, 0, 0, 1, 0, 24, 0, 0, 0, 0, 0, 0, 48, *[0] * 18]
+
+
+def _bitmaps(t):
+    """scene_id and the bytes of an image of every mask grid: blue, green, red from the bottom row up."""
+    shade = F.concat(*[F.char(v) for v in (F.when(F.col("before_hit"), 100).otherwise(1), F.when(F.col("after_hit"), 120).otherwise(2), F.lit(3) + F.col("pcol"))])
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("prow")).alias("r"), "pcol", shade.alias("v")))), lambda p: p["v"]), "")
+    head = F.concat(*[F.char(F.lit(b)) for b in BITMAP_HEAD])
+    return t.mask_pixels.groupBy("scene_id").agg(F.concat(head, body).alias("value"))
+
+
+@query("s2_read_images", "mask_pixels", """
+SELECT scene_id, prow, CAST(64 AS BIGINT) AS pixels, CAST(sum(3 + pcol) AS BIGINT) AS red, CAST(sum(CASE WHEN after_hit THEN 120 ELSE 2 END) AS BIGINT) AS green,
+  CAST(sum(CASE WHEN before_hit THEN 100 ELSE 1 END) AS BIGINT) AS blue, CAST(sum(pcol * (CASE WHEN after_hit THEN 120 ELSE 2 END)) AS BIGINT) AS placed FROM mask_pixels GROUP BY scene_id, prow""")
+def _(t):
+    folder = scratch_folder(t.spark, "images")
+    _bitmaps(t).write.partitionBy("scene_id").text(folder)
+    images, carried = readers.read_image_tiles(t.spark, f"{folder}/scene_id=*", size=48)
+    pixels = tiles.pixels_of_tiles(carried, ["red", "green", "blue"], ("path", "file"), wide=True, kind="bigint")
+    known = images.where("width = 64 AND height = 64 AND channels = 3").select("path", F.regexp_extract("path", r"scene_id=(\d+)", 1).cast("long").alias("scene_id"))
+    sums = pixels.groupBy("path", "prow").agg(F.count(F.lit(1)).alias("pixels"), *[F.sum(b).alias(b) for b in ("red", "green", "blue")], F.sum(F.col("pcol") * F.col("green")).alias("placed"))
+    return sums.join(known, "path").drop("path")
+
+
 # Bright regions of every window as instances, merged across windows and numbered.
 WINDOW_ROWS = rows_sql("SELECT scene_id, window_id, prow, pcol FROM mask_pixels JOIN (VALUES (0, 0, 0), (1, 24, 0), (2, 0, 24), (3, 24, 24)) AS v(window_id, x, y) "
                        "ON prow >= y AND prow < y + 40 AND pcol >= x AND pcol < x + 40 WHERE after_hit AND valid", "scene_id, window_id")

@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orthomark.functions import geo, geometry, labels
+from orthomark.operators import tiles
 from orthomark.session import cut_lineage
 
 # Fixed value: the source written on normalised map records.
 RECORD_SOURCE = "OpenStreetMap via Overpass"
 RECORD_URL = "https://www.openstreetmap.org/"
 MANIFEST_COLUMNS = ("path", "label", "split", "group")
-PIXEL_ROWS = 65_536  # of one image passed on at a time
 _FEATURE = "struct<type:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>"
 _COLLECTION = f"type string, coordinate_space string, crs string, attribution string, features array<{_FEATURE}>"
 
@@ -105,12 +105,12 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 
-def read_images(spark: SparkSession, path: str, scenes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(images, pixels) of a folder of PNG, JPEG or plain TIFF files.
+def read_image_tiles(spark: SparkSession, path: str, scenes: DataFrame | None = None, size: int = tiles.SIZE) -> tuple[DataFrame, DataFrame]:
+    """(images, tiles) of a folder of PNG, JPEG, BMP or plain TIFF files.
 
     Images carry path, file (its name), width, height, channels and, from ``scenes`` (path or file,
-    transform), their georeference; one that cannot be decoded is kept with a reason. Pixels are
-    rows of red, green, blue and ``valid`` (alpha above zero), told apart by the whole path.
+    transform), their georeference; one that cannot be decoded is kept with a reason. Tiles have the keys
+    path and file, the bands red, green and blue, and are valid where alpha is above zero.
     """
     raw = spark.read.format("image").load(path).select("image.*")
     name = F.regexp_extract("origin", r"([^/]+)$", 1)
@@ -121,22 +121,30 @@ def read_images(spark: SparkSession, path: str, scenes: DataFrame | None = None)
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for image in batch.itertuples(index=False):
-                size = int(image.width) * int(image.height)
                 # Bytes are stored blue, green, red and, with four channels, alpha; grey has one.
-                values = np.frombuffer(image.data, np.uint8).reshape(size, int(image.channels))
-                for at in range(0, size, PIXEL_ROWS):
-                    part, i = values[at:at + PIXEL_ROWS], np.arange(at, min(at + PIXEL_ROWS, size))
-                    colours = part[:, [0, 0, 0]] if part.shape[1] == 1 else part[:, [2, 1, 0]]
-                    yield pd.DataFrame({"path": image.path, "file": image.file, "prow": i // int(image.width), "pcol": i % int(image.width), "red": colours[:, 0].astype(np.int32),
-                                        "green": colours[:, 1].astype(np.int32), "blue": colours[:, 2].astype(np.int32),
-                                        "valid": part[:, 3] > 0 if part.shape[1] == 4 else np.ones(len(part), bool)})
-
-    pixels = seen.filter("reason IS NULL").mapInPandas(decode, "path string, file string, prow long, pcol long, red int, green int, blue int, valid boolean")
+                values = np.frombuffer(image.data, np.uint8).reshape(int(image.height), int(image.width), int(image.channels))
+                for top in range(0, values.shape[0], size):
+                    rows = []
+                    for left in range(0, values.shape[1], size):
+                        part = values[top:top + size, left:left + size]
+                        colours = part[:, :, [0, 0, 0]] if part.shape[2] == 1 else part[:, :, [2, 1, 0]]
+                        state = np.where(part[:, :, 3] > 0, tiles.VALID, tiles.PRESENT) if part.shape[2] == 4 else np.full(part.shape[:2], tiles.VALID)
+                        rows.append([image.path, image.file, top // size, left // size, top, left, *part.shape[:2], "|u1",
+                                     np.ascontiguousarray(colours.transpose(2, 0, 1)).tobytes(), state.astype(np.uint8).tobytes()])
+                    yield pd.DataFrame(rows, columns=["path", "file", *tiles.FIELDS])
+
+    carried = seen.filter("reason IS NULL").mapInPandas(decode, f"path string, file string, {tiles.TILE}")
     described = seen.drop("data")
     if scenes is not None:
         key = "path" if "path" in scenes.columns else "file"
         described = described.join(scenes.select(key, "transform"), key, "left")
-    return described, pixels
+    return described, carried
+
+
+def read_images(spark: SparkSession, path: str, scenes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(images, pixels): as :func:`read_image_tiles`, with rows of red, green, blue and ``valid`` per pixel instead of tiles."""
+    described, carried = read_image_tiles(spark, path, scenes)
+    return described, tiles.pixels_of_tiles(carried, ["red", "green", "blue"], ("path", "file"), wide=True, kind="int")
 
 
 def normalise_map_records(raw: DataFrame) -> DataFrame:
