@@ -209,6 +209,43 @@ def determinant(matrix) -> Column:
     return m(0) * (m(4) * m(8) - m(5) * m(7)) - m(1) * (m(3) * m(8) - m(5) * m(6)) + m(2) * (m(3) * m(7) - m(4) * m(6))
 
 
+def inverse_matrix(matrix) -> Column:
+    """Row-major inverse of a 3x3 matrix; NULL where it has none."""
+    m = lambda i: F.get(matrix, F.lit(i)).cast("double")
+    minors = [m(4) * m(8) - m(5) * m(7), m(2) * m(7) - m(1) * m(8), m(1) * m(5) - m(2) * m(4), m(5) * m(6) - m(3) * m(8), m(0) * m(8) - m(2) * m(6),
+              m(2) * m(3) - m(0) * m(5), m(3) * m(7) - m(4) * m(6), m(1) * m(6) - m(0) * m(7), m(0) * m(4) - m(1) * m(3)]
+    det = determinant(matrix)
+    return F.when(det != 0, F.array(*[v / F.nullif(det, F.lit(0.0)) for v in minors]))
+
+
+def align_by_mode(pairs: DataFrame, landmarks: DataFrame | None = None) -> DataFrame:
+    """pair_id, sizes, method, the matrix from before to after pixels, its inverse, registration_error_px and matched_landmarks of every pair,
+    or a reason.
+
+    ``pairs``: pair_id, mode (same_grid, georeferenced, manual or auto), before_width, before_height, after_width,
+    after_height and, for georeferenced ones, the transforms. Manual and automatic pairs take their ``landmarks``
+    (pair_id, bx, by, ax, ay in pixels) and are held to the guards of an alignment."""
+    sizes = ["before_width", "before_height", "after_width", "after_height"]
+    none = lambda kind: F.lit(None).cast(kind)
+    identity = F.array(*[F.lit(1.0 if i % 4 == 0 else 0.0) for i in range(9)])
+    columns = ["pair_id", *sizes, "method", "matrix", "registration_error_px", "matched_landmarks", "reason"]
+    plain = {"registration_error_px": none("double"), "matched_landmarks": none("long")}
+    same = align_same_grid(pairs.where("mode = 'same_grid'")).withColumns({"matrix": F.when(F.col("reason").isNull(), identity), **plain})
+    out = same.select(*columns)
+    if "before_transform" in pairs.columns:
+        out = out.unionByName(align_georeferenced(pairs.where("mode = 'georeferenced'")).withColumns(plain).select(*columns))
+    if landmarks is not None:
+        wanted = pairs.where("mode IN ('manual', 'auto')").select("pair_id", "mode", *sizes)
+        fitted = align_pairs(landmarks.select("pair_id", "bx", "by", "ax", "ay").join(wanted.select("pair_id", "mode"), "pair_id"))
+        joined = wanted.join(fitted.drop("mode").withColumnRenamed("reason", "_why"), "pair_id", "left").withColumn("overlap_fraction", none("double"))
+        guarded = alignment_guards(joined).withColumn("method", F.when(F.col("mode") == "manual", METHODS["manual"]).otherwise(METHODS["auto"]))
+        why = F.coalesce("_why", F.when(F.col("landmarks").isNull(), F.when(F.col("mode") == "manual", "add four point pairs or more").otherwise("too few matches")), "reason")
+        out = out.unionByName(guarded.withColumn("reason", why).select(*columns))
+    known = ["same_grid", *(["georeferenced"] if "before_transform" in pairs.columns else []), *(["manual", "auto"] if landmarks is not None else [])]
+    rest = pairs.where(F.col("mode").isNull() | ~F.col("mode").isin(*known)).withColumns({"method": none("string"), "matrix": none("array<double>"), **plain, "reason": F.lit("unknown mode")})
+    return out.unionByName(rest.select(*columns)).withColumn("inverse", inverse_matrix(F.col("matrix")))
+
+
 def alignment_guards(pairs: DataFrame) -> DataFrame:
     """Adds reason (NULL when the alignment is usable) from matrix, image sizes, hull_area and
     overlap_fraction."""

@@ -202,6 +202,28 @@ def _(t):
     return jobs.answer_requests(asked, _polygons(t).withColumn("tags", F.create_map("tag_key", "tag_value")))
 
 
+@query("flow_answer_all", "query_log map_polygons map_points", """
+, q AS (SELECT query_id, query_id % 16 AS m, query_id % 150 AS scene_id FROM query_log),
+kinds AS (SELECT *, CASE WHEN m IN (0, 11, 13) THEN 'area_candidates' WHEN m IN (2, 15) THEN 'candidates' WHEN m = 14 THEN 'segment_candidates' WHEN m = 4 THEN 'route' WHEN m = 7 THEN 'segment'
+  WHEN m = 8 THEN 'filter' WHEN m = 9 THEN 'enrich' WHEN m = 10 THEN 'compare' ELSE 'features' END AS kind FROM q),
+mapped AS (SELECT query_id, count(*) AS n FROM q JOIN map_polygons p ON p.scene_id = q.scene_id AND tag_key = 'amenity' AND x0 <= 400 AND y0 <= 400
+  AND tag_value = CASE m WHEN 1 THEN 'school' WHEN 12 THEN 'hospital' END GROUP BY query_id),
+words AS (SELECT list_filter(string_split_regex(lower(concat_ws(' ', name, street, city)), '[^a-z0-9_]+'), lambda w: w <> '') AS w FROM map_points),
+placed AS (SELECT query_id, least(count(*), 6) AS n FROM q JOIN nation ON n_nationkey = query_id % 25 JOIN words ON list_has_any(w, string_split(lower(n_name), ' ')) WHERE m = 15 GROUP BY query_id)
+SELECT k.query_id, kind, CAST(coalesce(f.n, p.n, CASE WHEN m IN (5, 6) THEN 1 ELSE 0 END) AS BIGINT) AS rows_found, true AS explained
+FROM kinds k LEFT JOIN mapped f USING (query_id) LEFT JOIN placed p USING (query_id)""")
+def _(t):
+    """Requests of every kind; those for an address name a nation, which is the city of some places."""
+    k = F.col("query_id")
+    box = {"x0": 0, "y0": 0, "x1": 400, "y1": 400}
+    named = t.query_log.join(t.nation.select(F.col("n_nationkey").cast("long").alias("_n"), "n_name"), k % 25 == F.col("_n"))
+    asked = named.select("query_id", F.when(k % 16 == 15, F.col("n_name")).otherwise(F.col("text")).alias("text"), (k % 150).alias("scene_id"),
+                         *[F.lit(v).cast("long").alias(n) for n, v in box.items()])
+    places = t.map_points.select(F.col("osm_id").alias("place_id"), F.concat_ws(" ", "name", "street", "city").alias("text"), "x", "y")
+    found = jobs.answer_all(asked, _polygons(t).withColumn("tags", F.create_map("tag_key", "tag_value")), places)["plans"]
+    return found.select("query_id", "kind", "rows_found", F.col("message").isNotNull().alias("explained"))
+
+
 @query("flow_compare_dates", "mask_pixels", changes_sql("(before_hit AND valid)", "(after_hit AND valid)") + """
 , counted AS (SELECT s_suppkey AS scene_id, CAST(coalesce(sum(c1 - c0) FILTER (change = 'added candidate'), 0) AS BIGINT) AS added_pixels,
   CAST(coalesce(sum(c1 - c0) FILTER (change = 'removed candidate'), 0) AS BIGINT) AS removed_pixels FROM supplier LEFT JOIN changes ON s_suppkey = scene_id GROUP BY s_suppkey)
@@ -224,6 +246,51 @@ def _(t):
     return found["changes"].groupBy("scene_id", "change", "prow").agg(F.sum(F.col("c1") - F.col("c0")).alias("pixels"), F.count(F.lit(1)).alias("runs"))
 
 
+PAIR_SQL = changes_sql("(before_hit AND valid)", "(after_hit AND valid)") + f"""
+, pairs AS (SELECT s_suppkey AS scene_id, s_suppkey % 4 AS m, ({SIDE} - s_suppkey % 10) * CASE WHEN s_suppkey % 4 = 3 THEN 4 ELSE {SIDE} END AS met FROM supplier),
+counted AS (SELECT scene_id, sum(c1 - c0) FILTER (change = 'added candidate') AS added, sum(c1 - c0) FILTER (change = 'removed candidate') AS removed FROM changes GROUP BY scene_id)
+"""
+
+
+def _pairs(t):
+    """Pairs on one grid, by landmarks, by their transforms, and by landmarks that leave four columns in common; the
+    before images of the second and third kind are stored three columns and two rows off."""
+    from orthomark.functions import geo
+
+    k = F.col("scene_id") % 4
+    off = k.isin(1, 2)
+    image = lambda hit, right, down: t.mask_pixels.select(
+        "scene_id", (F.col("prow") + down).alias("prow"), (F.col("pcol") + right).alias("pcol"), "valid", F.when(F.col(hit), 255.0).otherwise(0.0).alias("grey"))
+    pairs = t.supplier.select(F.col("s_suppkey").alias("scene_id")).select(
+        F.col("scene_id").alias("pair_id"), F.when(k == 0, "same_grid").when(k == 2, "georeferenced").otherwise("manual").alias("mode"), *[F.lit(SIDE).alias(f"{w}_{s}") for w in ("before", "after") for s in ("width", "height")],
+        geo.affine(1.0, 0.0, 97.0, 0.0, -1.0, 52.0).alias("before_transform"), geo.affine(1.0, 0.0, 100.0, 0.0, -1.0, 50.0).alias("after_transform"))
+    at = F.explode(F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((4, 4), (60, 4), (60, 60), (4, 60), (30, 20))])).alias("p")
+    far = F.col("pair_id") % 4 == 3
+    marks = pairs.where("mode = 'manual'").select("pair_id", at).select("pair_id", F.col("p.x").alias("bx"), F.col("p.y").alias("by"), (F.col("p.x") + F.when(far, 60).otherwise(-3)).alias("ax"),
+                                                                       (F.col("p.y") + F.when(far, 0).otherwise(-2)).alias("ay"))
+    return jobs.compare_pairs(image("before_hit", F.when(off, 3).otherwise(0), F.when(off, 2).otherwise(0)), image("after_hit", F.lit(0), F.lit(0)), pairs, ["building"], threshold_predictor(), ["grey"],
+                              marks, size=40, overlap=16, object_pixels=1)
+
+
+@query("flow_compare_pairs", "mask_pixels", PAIR_SQL + """
+SELECT p.scene_id, CASE m WHEN 0 THEN 'User-declared same pixel grid' WHEN 2 THEN 'Georeferenced common grid' ELSE 'Manual landmarks' END AS method, CAST(met AS BIGINT) AS valid_overlap_pixels,
+  round(CAST(met AS DOUBLE) / 4096, 4) AS overlap_fraction, CASE WHEN m = 3 THEN 'less than 15% usable overlap' END AS reason,
+  CASE WHEN m <> 3 THEN CAST(coalesce(added, 0) AS BIGINT) END AS added_pixels, CASE WHEN m <> 3 THEN CAST(coalesce(removed, 0) AS BIGINT) END AS removed_pixels
+FROM pairs p LEFT JOIN counted c USING (scene_id)""", recursive=True)
+def _(t):
+    return _pairs(t)["metadata"].select("scene_id", "method", "valid_overlap_pixels", "overlap_fraction", "reason", "added_pixels", "removed_pixels")
+
+
+@query("flow_alignment_preview", "mask_pixels", f"""
+, met AS (SELECT scene_id, prow, pcol, valid AND (scene_id % 4 <> 3 OR pcol >= {SIDE} - 4) AS seen,
+  CASE WHEN scene_id % 4 = 3 THEN lag(before_hit, {SIDE} - 4) OVER (PARTITION BY scene_id, prow ORDER BY pcol) ELSE before_hit END AS before_hit, after_hit FROM mask_pixels)
+SELECT scene_id, prow, CAST(sum(CASE WHEN NOT seen THEN 40 WHEN before_hit AND after_hit THEN 255 WHEN before_hit OR after_hit THEN 127 ELSE 0 END) AS BIGINT) AS shade,
+  CAST(count(*) FILTER (seen) AS BIGINT) AS seen_pixels FROM met GROUP BY scene_id, prow""")
+def _(t):
+    pixels = tiles.pixels_of_tiles(_pairs(t)["preview"], ["grey"], wide=True, kind="bigint")
+    return pixels.groupBy("scene_id", "prow").agg(F.sum("grey").alias("shade"), F.count_if("valid").alias("seen_pixels"))
+
+
 @query("flow_change_features", "mask_pixels", changes_sql("(before_hit AND valid)", "(after_hit AND valid)") + """
 SELECT scene_id, change, CAST(sum(c1 - c0) AS BIGINT) AS area_pixels, round(13 + min(c0) * CAST(0.00001 AS DOUBLE), 6) AS west, round(13 + max(c1) * CAST(0.00001 AS DOUBLE), 6) AS east,
   round(52 - min(prow) * CAST(0.00001 AS DOUBLE), 6) AS north, round(52 - (max(prow) + 1) * CAST(0.00001 AS DOUBLE), 6) AS south, CAST(9 AS BIGINT) AS geohash_length
