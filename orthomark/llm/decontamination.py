@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orthomark.llm import words as W
+from orthomark.llm.own_columns import set_aside
 from orthomark.session import cut_lineage
 
 WINDOW = 13
@@ -148,14 +149,13 @@ def contaminated(n_hit="n_hit", n_words="n_words"):
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Documents that are not contaminated, as they are."""
-    return scan(docs, benchmark, **options).filter(~contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return set_aside(docs, [f.name for f in RESULT], lambda d: scan(d, benchmark, **options).filter(~contaminated()))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """All documents, hit spans cut out of their texts."""
-    found = scan(docs, benchmark, **options)
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["end"]))
     ends = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.char_length("text").cast("long")))
     pieces = F.zip_with(starts, ends, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int")))
     cut = F.when(F.size("spans") > 0, F.array_join(pieces, "")).otherwise(F.col("text"))
-    return found.withColumn("text", cut).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return set_aside(docs, [f.name for f in RESULT], lambda d: scan(d, benchmark, **options).withColumn("text", cut))

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from orthomark.llm import words as W
 from orthomark.llm.labelled import with_marks
+from orthomark.llm.own_columns import set_aside
 from orthomark.session import cut_lineage
 
 BYTES, REPEATS = 4, 4
@@ -198,5 +199,5 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFr
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """The sampled rows of ``docs``, as they are."""
-    return resample(docs, labels, k).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return set_aside(docs, ("n_grams", "log_weight", "sample_key"), lambda d: resample(d, labels, k))
 

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from orthomark.llm import byte_bpe, merkle, prefix_trie, queries
+from orthomark.llm import byte_bpe, decontamination, merkle, prefix_trie, quality, queries
 
 # --- byte-level BPE -----------------------------------------------------------------------
 
@@ -249,3 +249,20 @@ def test_trie_of_hot_parents(spark, monkeypatch):
 
 def test_trie_empty(spark):
     assert run_trie(spark, [(None, 1, "user", "x")]) == []
+
+
+# --- columns of the caller ----------------------------------------------------------------
+
+def test_callers_columns_come_back(spark):
+    """Columns that have the names of results keep their values and types in the helpers that promise rows as they are."""
+    passage = " ".join(f"w{k}" for k in range(20))
+    rows = [(k, passage if k == 3 else f"other words {k} " * 5, "mine", [k], 1.5, "s", {"a": k}, k % 2 == 0, "key") for k in range(8)]
+    schema = "doc_id long, text string, n_words string, items array<int>, n_hit double, spans string, n_grams map<string,int>, log_weight boolean, sample_key string"
+    docs = spark.createDataFrame(rows, schema)
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    left = decontamination.remove_documents(docs, bench)
+    assert left.schema == docs.schema and sorted(tuple(r) for r in left.drop("n_grams").collect()) == sorted((*r[:6], *r[7:]) for r in rows if r[0] != 3)
+    cut = decontamination.remove_spans(docs, bench)
+    assert cut.schema == docs.schema and {r.doc_id: (r.n_words, r.items, r.n_grams) for r in cut.collect()} == {r[0]: (r[2], r[3], r[6]) for r in rows}
+    kept = quality.keep_sampled(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert kept.schema == docs.schema and {r.doc_id: (r.n_grams, r.log_weight, r.sample_key) for r in kept.collect()} == {r[0]: r[6:] for r in rows}
