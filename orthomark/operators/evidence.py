@@ -12,6 +12,7 @@ from orthomark.functions.numbers import round_exact
 from orthomark.functions.ring_overlap import local_iou
 from orthomark.operators.filters import in_category
 from orthomark.operators.grid_join import box_iou, overlapping_pairs
+from orthomark.operators.ordering import running_totals
 
 # Smallest overlap that counts as evidence, and as a tentative identity.
 MIN_EVIDENCE_IOU = 0.05
@@ -93,6 +94,21 @@ def collect_evidence(detections: DataFrame, evidence: DataFrame, keys: Sequence[
             .transform(_finish))
 
 
+def evidence_pages(evidence: DataFrame, keys: Sequence[str] = ("scene_id", "object_id"), page: int = 1000) -> DataFrame:
+    """keys, page (from 0), first (rank of its first entry, from 1), entries: the evidence of a detection in pages of at most ``page``
+    entries, in the order of ``collect_evidence``; all pages one after the other are its array.
+
+    Ranks come from range partitions, so a detection over any number of records is spread and no row grows with it."""
+    keys = list(keys)
+    rows = evidence.withColumn("_order", -F.coalesce(F.col("intersection_over_union"), F.lit(0.0)))
+    order = [F.col(c) for c in ("_order", "osm_type", "osm_id", "name", "address", "spatial_relation")]
+    ranked = running_totals(rows, keys, order, {"_rank": F.lit(1).cast("long")})
+    entry = F.struct("_rank", *[c for c in evidence.columns if c not in keys])
+    paged = ranked.withColumn("page", F.floor((F.col("_rank") - 1) / page).cast("long")).groupBy(*keys, "page").agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    fields = [c for c in evidence.columns if c not in keys]
+    return paged.select(*keys, "page", F.col("_e")[0]["_rank"].alias("first"), F.transform("_e", lambda e: F.struct(*[e[f].alias(f) for f in fields])).alias("entries"))
+
+
 def candidate_identity(detections: DataFrame, evidence: DataFrame, keys: Sequence[str] = ("scene_id", "object_id")) -> DataFrame:
     """Status, evidence count and tentative identity without building arrays: partial
     aggregation only, whatever the number of records per detection."""

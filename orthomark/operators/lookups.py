@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orthomark.functions import geo, labels
+from orthomark.session import cut_lineage
 
 # Candidates per search and lifetime of a response.
 TOP_PLACES = 6
@@ -122,43 +123,98 @@ def answer_in_order(times: np.ndarray, ttl: int, last_fetch: int | None) -> np.n
     return source
 
 
+def chain_steps(times: np.ndarray, ttl: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a stretch of requests in time order makes of the fetch before it, as steps: if the first
+    request that fetches comes at or before ``until[i]`` (and after ``until[i - 1]``), the last fetch of the stretch is ``last[i]``.
+
+    Fetches follow each other like links: the next one after t is the first request at t + ttl or later. Links never
+    overtake each other, so those from many entries soon run together and the steps are few."""
+    following = np.searchsorted(times, times + ttl, "left")
+    ends = following == len(times)
+    jump = np.where(ends, np.arange(len(times)), np.minimum(following, len(times) - 1))
+    while not ends[jump].all():
+        jump = jump[jump]
+    # The stretch is entered before a lifetime after its first request is over.
+    entries = int(np.searchsorted(times, times[0] + ttl, "left")) + 1
+    until, last = times[:entries], times[jump[:entries]]
+    final = np.append(last[1:] != last[:-1], True)
+    return until[final], last[final]
+
+
 def fresh_responses(log: DataFrame, ttl_seconds: float = RESPONSE_TTL_SECONDS, key: str = "request_text",
                     time: str = "requested_at", tie: str = "request_id") -> DataFrame:
     """Every request with the fetch that answers it: an earlier one of the same key younger
     than the lifetime (counted from the fetch, not from its last use), else its own.
 
-    A pause of a lifetime or more always ends in a fetch, so the requests of a key fall into
-    independent sessions. Pauses are found on one row per key and lifetime-long time slot,
-    which also tells how a busy key can be split. Each session is walked through in time order
-    with constant memory.
+    Requests are range-partitioned by key and time, so a busy key without any pause is cut into stretches. Only the
+    first key of a partition can go on from the one before; what its stretch makes of any fetch before it is
+    a small table of steps. Tables are run through in order, a row or two per partition, which tells the fetch that
+    enters each partition, and all partitions are then walked at once in constant memory.
     """
     ttl = int(ttl_seconds * 1_000_000)
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = log.select(F.col(tie).alias("_id"), F.col(key).alias("_key"), micros(log, time).alias("_t"))
-    rows = rows.withColumn("_slot", F.floor(F.col("_t") / F.lit(ttl)))
-    slots = rows.groupBy("_key", "_slot").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
-    line = Window.partitionBy("_key").orderBy("_slot")
-    pause = F.col("_first") - F.lag("_last").over(line) >= F.lit(ttl)
-    slots = slots.withColumn("_pause", F.coalesce(pause.cast("long"), F.lit(0))).withColumn("_session", F.sum("_pause").over(line))
-    tagged = rows.hint("merge").join(slots.select("_key", "_slot", "_session"), ["_key", "_slot"])
-    walk = tagged.select("_key", "_session", "_t", "_id").repartition("_key", "_session").sortWithinPartitions("_key", "_session", "_t", "_id")
+    # The pieces are used twice and must not move in between.
+    rows = cut_lineage(rows.repartitionByRange(parts, "_key", "_t", "_id").sortWithinPartitions("_key", "_t", "_id").withColumn("_piece", F.spark_partition_id()))
+    id_type, key_type = (log.schema[c].dataType.simpleString() for c in (tie, key))
+
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The first and the last key of the partition with the steps of their stretches."""
+        held: list[list] = []  # [key, piece, time arrays]
+        for batch in batches:
+            if batch.empty:
+                continue
+            keys, times = batch["_key"], batch["_t"].to_numpy()
+            starts = np.flatnonzero((keys != keys.shift()).to_numpy() & ~(keys.isna() & keys.shift().isna()).to_numpy() | (np.arange(len(batch)) == 0))
+            for at, until in zip(starts, [*starts[1:], len(batch)]):
+                own = None if pd.isna(keys.iat[at]) else keys.iat[at]
+                if held and held[-1][0] == own:
+                    held[-1][2].append(times[at:until])
+                else:
+                    del held[1:]
+                    held.append([own, int(batch["_piece"].iat[0]), [times[at:until]]])
+        out = []
+        for order, (own, piece, arrays) in enumerate(held):
+            until, last = chain_steps(np.unique(np.concatenate(arrays)), ttl)
+            out.append((own, piece, order, until, last))
+        yield pd.DataFrame(out, columns=["_key", "piece", "place", "until", "last"])
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The fetch before each partition that its first key goes on from."""
+        current, fetch, found = (), None, []
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                goes_on = current == (row[0],)
+                if row.place == 0 and goes_on:
+                    found.append((row.piece, fetch))
+                at = int(np.searchsorted(row.until, fetch + ttl, "left")) if goes_on else 0
+                # Beyond the last step nothing of this stretch fetches.
+                fetch = int(row.last[at]) if at < len(row.last) else fetch
+                current = (row[0],)
+        yield pd.DataFrame(found, columns=["piece", "fetch"])
+
+    tables = rows.mapInPandas(steps, f"_key {key_type}, piece int, place int, until array<bigint>, last array<bigint>")
+    entering = tables.repartition(1).sortWithinPartitions("piece", "place").mapInPandas(compose, "piece int, fetch bigint").collect()  # one row a partition at most
+    known = {r["piece"]: r["fetch"] for r in entering}
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, last = None, None
         for batch in batches:
             if batch.empty:
                 continue
-            change = (batch["_key"] != batch["_key"].shift()) | (batch["_session"] != batch["_session"].shift())
-            starts = np.flatnonzero(change.to_numpy())
+            keys = batch["_key"].astype(object).where(batch["_key"].notna(), None)
+            change = np.array([True, *(a != b for a, b in zip(keys.iloc[1:], keys.iloc[:-1]))])
+            starts = np.flatnonzero(change)
             times, source = batch["_t"].to_numpy(), np.empty(len(batch), np.int64)
             for at, until in zip(starts, [*starts[1:], len(batch)]):
-                owner = (batch["_key"].iat[at], batch["_session"].iat[at])
+                owner = (keys.iat[at],)
                 if owner != current:
-                    current, last = owner, None
+                    last = known.get(int(batch["_piece"].iat[0])) if current is None else None
+                    current = owner
                 source[at:until] = answer_in_order(times[at:until], ttl, last)
                 last = int(source[until - 1])
             yield pd.DataFrame({"request_id": batch["_id"], "request_key": batch["_key"], "age_us": times - source})
 
-    id_type, key_type = (log.schema[c].dataType.simpleString() for c in (tie, key))
-    answered = walk.mapInPandas(fold, f"request_id {id_type}, request_key {key_type}, age_us bigint")
+    answered = rows.mapInPandas(fold, f"request_id {id_type}, request_key {key_type}, age_us bigint")
     # The earliest request of a fetch instant fetches; one at the same instant is served by it.
     return answered.withColumn("age_seconds", F.col("age_us") / F.lit(1e6)).withColumn("fetched", F.col("age_us") == 0)

@@ -290,6 +290,15 @@ def _(t):
     return full.select("object_id", "match_status", "candidate_name", F.array_join(ids, "|").alias("evidence"), best.alias("best"))
 
 
+@query("a2_evidence_pages", "detections map_polygons map_points", IDENTITY + """
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY scene_id, object_id ORDER BY coalesce(intersection_over_union, 0) DESC, osm_type, osm_id) AS n FROM evidence)
+SELECT object_id, (n - 1) // 3 AS page, min(n) AS first, string_agg(concat(osm_type, ':', CAST(osm_id AS VARCHAR)), '|' ORDER BY n) AS entries FROM ranked GROUP BY object_id, scene_id, (n - 1) // 3""")
+def _(t):
+    paged = evidence.evidence_pages(_evidence(t), page=3)
+    ids = F.transform("entries", lambda e: F.concat(e["osm_type"], F.lit(":"), e["osm_id"].cast("string")))
+    return paged.select("object_id", "page", "first", F.array_join(ids, "|").alias("entries"))
+
+
 def identified(t):
     return evidence.candidate_identity(_detections(t), _evidence(t))
 

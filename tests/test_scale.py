@@ -140,6 +140,26 @@ def test_fresh_responses_with_a_busy_key(spark):
     assert {r["request_id"]: r["age_us"] // 10**6 for r in out.collect()} == brute_responses(rows, 3600)
 
 
+@pytest.mark.parametrize("span", [40_000, 3_000_000])
+def test_fresh_responses_of_a_single_key(spark, span):
+    """All rows of one key, in any order, without or with pauses, over all partitions; ties in time as well."""
+    rng = np.random.default_rng(12)
+    rows = [("only", int(rng.integers(0, span)), i) for i in range(4000)] + [("zz", 5, 9000), (None, 7, 9001), (None, 9, 9002)]
+    df = spark.createDataFrame(rows, "request_text string, t long, request_id long").withColumn("requested_at", F.timestamp_seconds("t"))
+    out = lookups.fresh_responses(df.repartition(5), 600)
+    assert {r["request_id"]: r["age_us"] // 10**6 for r in out.collect()} == brute_responses([(k or "", t, i) for k, t, i in rows], 600)
+
+
+def test_evidence_pages_of_one_detection(spark):
+    rng = np.random.default_rng(14)
+    rows = [(1, 7, "way", k, "n", None, "overlap", round(float(rng.integers(0, 50)) / 50, 4)) for k in range(3000)] + [(1, 8, "node", 1, None, "a", "inside", None)]
+    found = spark.createDataFrame(rows, "scene_id long, object_id long, osm_type string, osm_id long, name string, address string, spatial_relation string, intersection_over_union double")
+    pages = sorted(evidence.evidence_pages(found, page=64).collect(), key=lambda r: (r["object_id"], r["page"]))
+    listed = [(e["osm_id"], e["intersection_over_union"]) for r in pages if r["object_id"] == 7 for e in r["entries"]]
+    assert listed == sorted(((r[3], r[7]) for r in rows if r[1] == 7), key=lambda e: (-e[1], e[0]))
+    assert max(len(r["entries"]) for r in pages) == 64 and [r["first"] for r in pages if r["object_id"] == 7] == [64 * k + 1 for k in range(47)]
+
+
 def test_evidence_does_not_depend_on_partitioning(spark):
     rng = np.random.default_rng(13)
     detections = spark.createDataFrame(boxes(rng, 300), BOXES).withColumnRenamed("key", "object_id")
