@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from orthomark.functions import geo, geometry, labels
 from orthomark.operators import tiles
+from orthomark.operators.ordering import running_totals
 from orthomark.session import cut_lineage
 
 # Fixed value: the source written on normalised map records.
@@ -52,11 +53,54 @@ def geojson_coordinates(geom) -> Column:
             .otherwise(F.to_json(F.transform(g["rings"], part))))
 
 
+def json_pieces(spark: SparkSession, path: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(roots, features) of feature collections in any layout: file with the JSON text of all but the features, and file with
+    the JSON text of each feature. ``wanted`` has the files to look at. Files without features have no root.
+
+    Files are split at closing braces, so that a single line of any length is scanned by many tasks. What a piece does to
+    the nesting depends on the pieces before: first whether it starts inside a string (the parity of quotes before it), then
+    at which depth (a sum of braces and brackets outside of strings). Both are running sums over range partitions. A feature
+    ends where an object closes to the depth of the list of features, and is put together from its pieces."""
+    order = [F.col("_block"), F.col("_at")]
+    raw = spark.read.option("lineSep", "}").text(path).select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    raw = raw.join(wanted, "file", "left_semi")
+    plain = F.regexp_replace("value", r"(?s)\\.", "")  # without escaped characters
+    count = lambda text, mark: F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+    rows = running_totals(raw.withColumn("_plain", plain).withColumn("_q", count(F.col("_plain"), '"').cast("long")), ["file"], order, {"_quotes": F.col("_q")})
+    inside_before, inside_after = (F.col("_quotes") - F.col("_q")) % 2 == 1, F.col("_quotes") % 2 == 1
+    outer = F.when(inside_before, F.regexp_replace("_plain", r'(?s)^[^"]*("|$)', "")).otherwise(F.col("_plain"))
+    outer = F.regexp_replace(F.regexp_replace(outer, r'"[^"]*"', ""), r'(?s)".*$', "")
+    rows = rows.withColumn("_outer", outer)
+    step = count(F.col("_outer"), "{") + count(F.col("_outer"), "[") - count(F.col("_outer"), "]") - F.when(inside_after, 0).otherwise(1)
+    rows = running_totals(rows.withColumn("_closes", ~inside_after).withColumn("_step", step.cast("long")).drop("_plain", "_q", "_quotes"), ["file"], order, {"_depth": F.col("_step")})
+    before = F.col("_depth") - F.col("_step")
+    opening = r'(?s)^(.*?"features"\s*:\s*\[)(.*)$'
+    opens = (before <= 1) & F.col("value").rlike(opening)
+    ends = F.col("_closes") & (F.col("_depth") == 2)
+    shuts = (before == 2) & F.col("_outer").rlike(r"^\s*\]")
+    flags = rows.withColumns({"_opens": opens.cast("long"), "_ends": ends.cast("long"), "_shuts": shuts.cast("long")}).select("file", "_block", "_at", "value", "_closes", "_opens", "_ends", "_shuts")
+    counted = running_totals(flags, ["file"], order, {"_opened": F.col("_opens"), "_ended": F.col("_ends"), "_shut": F.col("_shuts")})
+    listed = cut_lineage(counted)
+    brace = F.lit("}")  # what the pieces were split at
+    first = F.col("_opens") == 1
+    tail = F.regexp_extract("value", opening, 2)
+    starts = first & tail.rlike(r"^\s*\{")
+    within = (F.col("_opened") > 0) & (F.col("_shut") == 0)
+    put = lambda df, keys, text: df.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_at", text.alias("t")))), lambda p: p["t"]), "").alias("text"))
+    own = F.concat(F.when(first, tail).otherwise(F.col("value")), brace)
+    numbered = listed.where(within & (~first | starts)).withColumn("_n", F.col("_ended") - F.col("_ends"))
+    features = put(numbered, ["file", "_n"], own).select("file", F.regexp_replace("text", r"^[\s,]+", "").alias("text"))
+    outside = F.when(first & starts, F.regexp_extract("value", opening, 1)).otherwise(F.concat("value", brace))
+    has_list = listed.where("_opens = 1").select("file").distinct()
+    roots = put(listed.where(~within | first).join(has_list, "file", "left_semi"), ["file"], outside)
+    return roots, features
+
+
 def read_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(features, rejected files). Rejected: other types, pixel space, other coordinate systems.
 
-    A file with a head line, one feature a line and a closing line, as the writer makes them, is read
-    by line and split like any text, whatever its size. Any other file is one row of whole text.
+    A file with a head line, one feature a line and a closing line, as the writer makes them, is read by line. Any other
+    layout, a single line too, is split at braces and put together feature by feature.
     """
     value = F.trim("value")
     is_feature = value.rlike(r'^,?\s*\{"type":\s*"Feature",')
@@ -68,22 +112,23 @@ def read_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         F.count_if(is_head).alias("heads"), F.count_if(~(is_feature | is_head | is_end)).alias("others"), F.max(F.when(is_head, value)).alias("head")))
     by_line = (F.col("heads") == 1) & (F.col("others") == 0)
     head = F.from_json(F.concat("head", F.lit("]}")), _COLLECTION)
-    # from_json on whole text: the JSON source cuts out nested text by searching from the start each time.
-    rest = [r["file"] for r in files.filter(~by_line).select("file").collect()]
-    whole = spark.read.text(rest, wholetext=True) if rest else spark.createDataFrame([], "value string")
-    whole = whole.withColumn("file", F.input_file_name()).select("file", F.from_json("value", _COLLECTION).alias("_d"))
     reason = (F.when(~F.coalesce(F.col("_d.type") == "FeatureCollection", F.lit(False)) | F.col("_d.features").isNull(), "not a feature collection")
               .when(F.col("_d.coordinate_space").isNotNull(), "pixel coordinates")
               .when(~F.coalesce(F.col("_d.crs").rlike("4326|CRS84"), F.lit(True)), "not WGS84"))
     heads = files.filter(by_line).select("file", head.alias("_d")).withColumn("reason", reason)
-    marked = whole.withColumn("reason", reason)
-    rejected = heads.unionByName(marked).filter("reason IS NOT NULL").select("file", "reason")
     feature = F.from_json(F.regexp_replace(value, r"^,\s*", ""), _FEATURE)
-    from_lines = (lines.filter(is_feature).join(heads.filter("reason IS NULL").select("file", "_d.attribution"), "file")
-                  .select("file", "attribution", feature.alias("f")))
-    from_whole = marked.filter("reason IS NULL").select("file", "_d.attribution", F.explode("_d.features").alias("f"))
+    found = (lines.filter(is_feature).join(heads.filter("reason IS NULL").select("file", "_d.attribution"), "file")
+             .select("file", "attribution", feature.alias("f")))
+    rejected = heads
+    rest = files.filter(~by_line).select("file")
+    if not rest.isEmpty():
+        roots, texts = json_pieces(spark, path, rest)
+        marked = rest.join(roots, "file", "left").select("file", F.from_json("text", _COLLECTION).alias("_d")).withColumn("reason", reason)
+        put_together = texts.join(marked.filter("reason IS NULL").select("file", "_d.attribution"), "file").select("file", "attribution", F.from_json("text", _FEATURE).alias("f"))
+        found, rejected = found.unionByName(put_together), heads.unionByName(marked)
     geom = geojson_geometry(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))
-    return from_lines.unionByName(from_whole).select("file", "attribution", geom.alias("geom"), F.col("f.properties").alias("properties")), rejected
+    return (found.select("file", "attribution", geom.alias("geom"), F.col("f.properties").alias("properties")),
+            rejected.filter("reason IS NOT NULL").select("file", "reason"))
 
 
 def read_manifest(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

@@ -261,6 +261,32 @@ def test_long_texts_have_plans(spark):
     assert [tuple(r)[:10] for r in same] == [tuple(r)[:10] for r in rows]
 
 
+def test_geojson_of_one_line_over_many_tasks(spark, tmp_path):
+    """One line, cut into many splits, with braces, quotes and escapes in its strings and members around the features."""
+    import json
+
+    odd = ['plain', 'a}"{[]', "\\", '\\"', "}{", '"features": [', "é}日", "tab\t}"]
+    features = [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[k, 0], [k + 1, 0], [k + 1, 1], [k, 0]]]} if k % 3 else {"type": "Point", "coordinates": [k, 2]},
+                 "properties": {"n": k, "t": odd[k % len(odd)], "deep": {"x": {"y": [k, "}"]}}, "none": None}} for k in range(1500)]
+    named = {"type": "name", "properties": {"name": "urn:ogc:def:crs:OGC:1.3:CRS84"}}
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "crs": named, "attribution": "x{", "features": features}), encoding="utf-8")
+    (tmp_path / "b.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features[:40], "crs": named, "attribution": "y"}, ensure_ascii=False, indent=1) + "\n", encoding="utf-8")
+    (tmp_path / "c.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features[:3], "crs": {"type": "name", "properties": {"name": "EPSG:3857"}}}))
+    (tmp_path / "d.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": []}))
+    (tmp_path / "e.geojson").write_text(json.dumps({"values": [{"a": 1}] * 50}))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found, rejected = readers.read_geojson(spark, str(tmp_path))
+        rows = found.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    got = sorted((r["file"][-9], r["attribution"], int(r["properties"]["n"]), r["properties"]["t"], json.loads(r["properties"]["deep"])["x"]["y"][0], r["geom"]["kind"], len(r["geom"]["rings"][0][0])) for r in rows)
+    want = sorted((f, a, k, odd[k % len(odd)], k, "Polygon" if k % 3 else "Point", 4 if k % 3 else 1) for f, a, n in (("a", "x{", 1500), ("b", "y", 40)) for k in range(n))
+    assert got == want
+    assert sorted((r["file"][-9], r["reason"]) for r in rejected.collect()) == [("c", "not WGS84"), ("e", "not a feature collection")]
+
+
 def test_geojson_by_line_and_whole(spark, tmp_path):
     """A collection in one line, over many lines, and as the writer lays it out give the same features."""
     import json
