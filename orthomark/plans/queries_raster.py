@@ -252,7 +252,7 @@ def _(t):
     k = F.col("s_suppkey")
     inverse = F.array(F.lit(0.75), F.lit(0.125), (k % 4).cast("double"), F.lit(0.0), F.lit(0.75), F.lit(0.5), F.lit(0.0), F.lit(0.0), F.lit(1.0))
     targets = t.supplier.select(k.alias("scene_id"), F.lit(24).alias("width"), F.lit(24).alias("height"), inverse.alias("inverse"))
-    warped = tiles.warp_tiles(tiles.tiles_of(t.band_pixels, [1, 2, 3], size=16), targets, 3, size=16)
+    warped = tiles.warp_tiles(tiles.tiles_of(t.band_pixels, [1, 2, 3]), targets, 3)
     return tiles.pixels_of_tiles(warped, [1, 2, 3]).select("scene_id", "band", "prow", "pcol", F.round("value", 6).alias("value"))
 
 
