@@ -1,9 +1,11 @@
 """Operators on whole texts against brute force, with nulls, empty, long and repeated rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -339,7 +341,6 @@ def test_packing(spark):
 
 def test_packing_plan_is_best_fit():
     import bisect
-    from collections import Counter
 
     for seed in range(15):
         rng = random.Random(seed)
@@ -417,6 +418,77 @@ def test_toxicity(spark):
     assert toxicity.score(frame(spark, docs), frame(spark, [], "doc_id long, toxic int")).filter("predicted = 1").count() == 0
 
 
+def brute_evidence(docs, labels, model):
+    """Evidence of every text in one model, by dictionaries."""
+    split = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    fold = {k: {0: 0, 1: 1, 3: 2}.get(zlib.crc32(str(k).encode()) % 4) for k, _ in docs}
+    texts = {k: split(t) for k, t in docs}
+    pairs = {p for w in texts.values() for p in zip([None, *w], w)}
+    left = Counter(w for _, w in pairs)
+    single, double = [Counter(), Counter()], [Counter(), Counter()]
+    for k, y in labels:
+        if fold.get(k) is not None and fold[k] != model:
+            single[y].update(texts[k])
+            double[y].update(zip(texts[k], texts[k][1:]))
+    d = toxicity.DISCOUNT
+
+    def word(y, w):
+        n = sum(single[y].values())
+        return max(single[y][w] - d, 0) / n + d * len(single[y]) / n * left[w] / len(pairs)
+
+    often = [p for p, n in double[1].items() if n >= toxicity.LEAST]
+
+    def pair(y, v, w):
+        kept = {p: max(double[y][p] - d, 0) / max(single[y][v], 1) for p in often if p[0] == v}
+        return kept[v, w] + max(1 - sum(kept.values()), 0) * word(y, w)
+
+    beyond = lambda t, o: max(math.log(t / o) - toxicity.EVIDENCE, 0)
+    ones = {w: beyond(word(1, w), word(0, w)) for w in single[1]}
+    twos = {(v, w): max(beyond(pair(1, v, w), pair(0, v, w)) - ones[w], 0) for v, w in often}
+    return {k: (sum(ones.get(x, 0) for x in w) + sum(twos.get(p, 0) for p in zip(w, w[1:]))) / math.sqrt(max(len(w), 1)) for k, w in texts.items()}
+
+
+def test_toxicity_of_pairs(spark):
+    """Two ordinary words that are toxic only side by side; the models are those of a brute-force version."""
+    rng = random.Random(5)
+    docs, labels = [], []
+    for k, w in corpus(rng, 1200):
+        toxic = k % 4 == 0
+        for n in range(4):
+            place = rng.randrange(len(w))
+            w[place:place] = ["red", "dog"] if toxic else ["red", f"w{n}", "dog"]
+        docs.append((k, " ".join(w + ["slurone", "slurtwo"][:k % 3] * toxic)))
+        labels.append((k, int(toxic)))
+    rows, marks = frame(spark, docs), frame(spark, labels, "doc_id long, toxic int")
+    found = {r.doc_id: r for r in toxicity.score(rows, marks).collect()}
+    held = [(k, r) for k, r in found.items() if r.held_out]
+    assert np.mean([r.predicted == (k % 4 == 0) for k, r in held]) > 0.97
+
+    known = dict(labels)
+    part = {0: 0, 1: 1, 3: 2}
+    celled = frame(spark, [(k, t, None if zlib.crc32(str(k).encode()) % 4 == 2 else 2 * part[zlib.crc32(str(k).encode()) % 4] + known[k]) for k, t in docs],
+                   "doc_id long, text string, cell int")
+    table = toxicity.evidence_table(celled.select("text", "cell")).persist()
+    whole = {r.doc_id: r for r in toxicity.with_evidence(celled, table, ["doc_id"]).collect()}
+    for model in (0, toxicity.FOLDS):
+        expected = brute_evidence(docs, labels, model)
+        assert all(abs(whole[k][f"e{model}"] - x) < 0.02 for k, x in expected.items())
+    # A table beyond the bound of the broadcast gives the same evidence, for repeated, empty and null texts too.
+    more = celled.union(frame(spark, [(9000, None, None), (9001, "", None), (9002, docs[0][1], None), (9003, docs[0][1], None)], "doc_id long, text string, cell int"))
+    whole = {r.doc_id: r for r in toxicity.with_evidence(more, table, ["doc_id"]).collect()}
+    split = {r.doc_id: r for r in toxicity.with_evidence(more, table, ["doc_id"], most=1).collect()}
+    assert table.count() > 1 and whole.keys() == split.keys()
+    assert all(abs(whole[k][f"e{m}"] - split[k][f"e{m}"]) < 1e-4 for k in whole for m in range(toxicity.FOLDS + 1))
+
+
+def test_number_of_distinct_pairs():
+    for n in (0, 1, 500, 40_000, 3_000_000):
+        spread = words.mix(np.arange(1, n + 1).astype(np.uint64))
+        ranks = np.zeros(toxicity.REGISTERS, np.int64)
+        np.maximum.at(ranks, (spread & np.uint64(toxicity.REGISTERS - 1)).astype(np.int64), 51 - np.frexp((spread >> np.uint64(14)).astype(float))[1])
+        assert abs(toxicity.distinct(ranks) - n) <= 0.04 * n
+
+
 def test_hash_columns_are_stable():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
 
