@@ -8,10 +8,13 @@ block) gives every inner product up to an error that the rounding residuals boun
 double precision from the original vectors. The best ``k`` of each tile are merged by a heap a query.
 Nothing is sampled, so the result is exact.
 
-Each tile holds at most ``MOST`` candidates and queries; smaller tables are cut in ``CHUNKS`` chunks.
+Each tile holds at most ``MOST`` candidates and queries, fewer where vectors are longer than ``VALUES / MOST``
+components; smaller tables are cut in ``CHUNKS`` chunks. The bounds hold for vectors whose largest
+component lies in ``RANGE``; products of any other vector are computed in double precision at once.
 
 Defined results: vectors that are null, empty, all zero or hold null or non-finite components take no
 part; vectors of different lengths are not compared; of rows with one id the smallest vector counts.
+Products beyond double precision are infinite and tie; sums of opposite infinities count as the smallest.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ from orthomark.operators.walk import arranged, whole_groups
 from orthomark.session import cut_lineage
 
 CHUNKS, MOST, K = 16, 32_768, 20
+#: Components of one side of a tile, 8 bytes each.
+VALUES = MOST * 256
+RANGE = (1e-150, 1e150)
 #: Queries of one product at a time.
 ROWS = 256
 #: Dimensions of one product: 127 * 127 * 1024 < 2^24, so float sums of int8 products are exact.
@@ -46,30 +52,42 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Inner products of paired rows in double precision, components added in order."""
     total = np.zeros(len(x))
-    for d in range(x.shape[1]):
-        total += x[:, d] * y[:, d]
-    return total
+    with np.errstate(over="ignore", invalid="ignore"):
+        for d in range(x.shape[1]):
+            total += x[:, d] * y[:, d]
+    return np.where(np.isnan(total), -np.inf, total)
+
+
+def ranged(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with ones for those out of ``RANGE``, and which these are."""
+    largest = np.abs(x).max(axis=1)
+    odd = (largest < RANGE[0]) | (largest > RANGE[1])
+    return np.where(odd[:, None], 1.0, x) if odd.any() else x, odd
 
 
 def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query_id, vec_id, score): the k nearest candidates of a tile for every query."""
     queries, vectors = queries.astype(np.float64), vectors.astype(np.float64)
-    cq, c_scale, _, c_rest = quantise(vectors)
-    c_norm = np.linalg.norm(vectors, axis=1)
+    plain, c_odd = ranged(vectors)
+    cq, c_scale, _, c_rest = quantise(plain)
+    c_norm = np.linalg.norm(plain, axis=1)
     cq = cq.astype(np.float32).T
     out: tuple[list, list, list] = ([], [], [])
     for at in range(0, len(queries), ROWS):
         block = queries[at:at + ROWS]
-        q, q_scale, q_norm, q_rest = quantise(block)
+        plain, q_odd = ranged(block)
+        q, q_scale, q_norm, q_rest = quantise(plain)
         q = q.astype(np.float32)
         product = np.zeros((len(block), len(ids)))
         for d in range(0, block.shape[1], SLICE):
             product += q[:, d:d + SLICE] @ cq[d:d + SLICE]
         product *= q_scale[:, None] * c_scale
-        # A hair more than the bound, for the rounding of these sums themselves.
-        error = (q_rest[:, None] * c_norm + q_norm[:, None] * c_rest) * (1 + 1e-9) + 1e-12
+        # More than the bound by what rounding can do to these sums and to the exact ones.
+        hair = 1e-15 * (block.shape[1] + 8)
+        error = (q_rest[:, None] * c_norm + q_norm[:, None] * c_rest) * (1 + 1e-9) + hair * (q_norm + q_rest)[:, None] * c_norm
         own = query_ids[at:at + ROWS, None] == ids
-        lower, upper = np.where(own, -np.inf, product - error), np.where(own, -np.inf, product + error)
+        odd = q_odd[:, None] | c_odd
+        lower, upper = np.where(own | odd, -np.inf, product - error), np.where(odd, np.inf, product + error)
         least = -np.inf if len(ids) <= k else np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k][:, None]
         row, column = np.nonzero((upper >= least) & ~own)
         for part in range(0, len(row), 1 << 18):  # many equal vectors may survive together
@@ -103,8 +121,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec
     to the smaller id. ``is_query`` is an expression over vec_id."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector")).filter("vec_id is not null").filter(usable(F.col("vector")))
     rows = cut_lineage(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("query", is_query))
-    sizes = rows.agg(F.count("*").alias("n"), F.count_if("query").alias("q")).first()
-    chunks, groups = max(CHUNKS, -(-sizes.n // MOST)), max(1, -(-sizes.q // MOST))
+    sizes = rows.agg(F.count("*").alias("n"), F.count_if("query").alias("q"), F.max(F.size("vector")).alias("d")).first()
+    most = max(1, min(MOST, VALUES // max(sizes.d or 1, 1)))
+    chunks, groups = max(CHUNKS, -(-sizes.n // most)), max(1, -(-sizes.q // most))
     chunk, group = F.pmod(F.xxhash64("vec_id"), F.lit(chunks)), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     candidates = rows.select(F.size("vector").alias("size"), every(groups).alias("g"), chunk.alias("c"), F.lit(False).alias("asks"), "vec_id", "vector")

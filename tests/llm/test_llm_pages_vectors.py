@@ -177,6 +177,26 @@ def test_nearest_vectors(spark):
     assert neighbours.nearest(df.filter("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_vectors_of_any_size(spark, monkeypatch):
+    """Huge, tiny and nearly equal vectors: nothing overflows unseen, and rounding loses no neighbour."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(240, 8))
+    x[:60] *= 1e200
+    x[60:90] *= 1e-310
+    x[90:160] = x[90] * 1e6 + rng.normal(size=(70, 8)) * 1e-8
+    x[3] = [1e200, 1e200, 0, 0, 0, 0, 0, 0]
+    x[7] = [1e200, -1e200, 0, 0, 0, 0, 0, 0]
+    scores = np.array([neighbours.exact(np.repeat(x[k:k + 1], len(x), axis=0), x) for k in range(0, 240, 20)])
+    monkeypatch.setattr(neighbours, "VALUES", 100)  # tiles of twelve vectors
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=10).orderBy("rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for row, query in zip(scores, range(0, 240, 20)):
+        best = sorted((-row[k], k) for k in range(240) if k != query)[:10]
+        assert found[query] == [(k, -v) for v, k in best]
+
+
 def test_error_bound_holds():
     rng = np.random.default_rng(8)
     x, y = rng.normal(size=(40, 70)) * rng.lognormal(size=(40, 1)), rng.normal(size=(50, 70))
