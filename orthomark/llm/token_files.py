@@ -10,8 +10,9 @@ decoded from the symbols that cover it.
 
 A file is a Parquet file with one row per shard, written and committed by Spark:
 part, shard (order), n_tokens, doc_ids, doc_ends (token position after each document), data.
-``data``: magic "RPR1", counts of rules and symbols (uint32 each, little endian), pairs (2 uint32 a
-rule), rule lengths (uint32), sequence (uint32), positions (uint64).
+``data``: magic "RPR2", the first symbol of a rule (one above the largest id of the shard), counts of
+rules and symbols, bytes of a rule length (uint32 each, little endian), pairs (2 symbols a rule),
+rule lengths, sequence, positions (uint64). Symbols take as many bytes as the largest one needs.
 
 Defined results: a null or empty text is the end id alone; repeated rows are stored one by one, rows
 without an id come first; documents with one id are ordered by their text.
@@ -81,15 +82,32 @@ def compress(ids: np.ndarray, first_symbol: int = 1 << 16) -> tuple[np.ndarray,
     return np.concatenate(pairs), lengths, sequence
 
 
+def width(largest: int) -> int:
+    """Bytes that numbers up to ``largest`` need."""
+    return max(1, (int(largest).bit_length() + 7) // 8)
+
+
+def narrow(numbers: np.ndarray, size: int) -> bytes:
+    return np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4)[:, :size].tobytes()
+
+
+def widen(data: bytes, at: int, count: int, size: int) -> np.ndarray:
+    out = np.zeros((count, 4), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8, count * size, at).reshape(-1, size)
+    return out.view("<u4").ravel()
+
+
 def pack_shard(ids: np.ndarray) -> bytes:
-    pairs, lengths, sequence = compress(ids)
-    ends = np.cumsum(symbol_lengths(lengths, sequence))
+    first = int(ids.max()) + 1 if len(ids) else 0
+    pairs, lengths, sequence = compress(ids, first)
+    ends = np.cumsum(symbol_lengths(lengths, sequence, first))
     positions = np.concatenate([[0], ends])[:-1][::STRIDE] if len(ends) else np.zeros(0, np.int64)
-    head = b"RPR1" + np.array([len(lengths), len(sequence)], "<u4").tobytes()
-    return head + pairs.astype("<u4").tobytes() + lengths.astype("<u4").tobytes() + sequence.astype("<u4").tobytes() + positions.astype("<u8").tobytes()
+    symbol, length = width(first + len(lengths)), width(lengths.max() if len(lengths) else 0)
+    head = b"RPR2" + np.array([first, len(lengths), len(sequence), length], "<u4").tobytes()
+    return head + narrow(pairs.ravel(), symbol) + narrow(lengths, length) + narrow(sequence, symbol) + positions.astype("<u8").tobytes()
 
 
-def symbol_lengths(lengths: np.ndarray, symbols: np.ndarray, first_symbol: int = 1 << 16) -> np.ndarray:
+def symbol_lengths(lengths: np.ndarray, symbols: np.ndarray, first_symbol: int) -> np.ndarray:
     out = np.ones(len(symbols), np.int64)
     rules = symbols >= first_symbol
     out[rules] = lengths[symbols[rules] - first_symbol]
@@ -99,16 +117,16 @@ def symbol_lengths(lengths: np.ndarray, symbols: np.ndarray, first_symbol: int =
 class Shard:
     """A packed shard: any range of its tokens."""
 
-    def __init__(self, data: bytes, first_symbol: int = 1 << 16):
-        if data[:4] != b"RPR1":
+    def __init__(self, data: bytes):
+        if data[:4] != b"RPR2":
             raise ValueError("not a shard of token ids")
-        rules, symbols = np.frombuffer(data, "<u4", 2, 4)
-        at = 12
-        self.pairs = np.frombuffer(data, "<u4", 2 * rules, at).reshape(-1, 2)
-        self.lengths = np.frombuffer(data, "<u4", rules, at := at + 8 * int(rules))
-        self.sequence = np.frombuffer(data, "<u4", symbols, at := at + 4 * int(rules))
-        self.positions = np.frombuffer(data, "<u8", -1, at + 4 * int(symbols))
-        self.first, self.table = first_symbol, None
+        self.first, rules, symbols, length = np.frombuffer(data, "<u4", 4, 4).tolist()
+        symbol, at = width(self.first + rules), 20
+        self.pairs = widen(data, at, 2 * rules, symbol).reshape(-1, 2)
+        self.lengths = widen(data, at := at + 2 * rules * symbol, rules, length)
+        self.sequence = widen(data, at := at + rules * length, symbols, symbol)
+        self.positions = np.frombuffer(data, "<u8", -1, at + symbols * symbol)
+        self.table = None
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """The ids of some symbols, from a table of all ids and of all rules written out once."""
@@ -143,7 +161,7 @@ class Shard:
         last = int(np.searchsorted(self.positions, stop, side="left"))
         symbols = self.sequence[first * STRIDE:last * STRIDE]
         begin = int(self.positions[first])
-        ends = begin + np.cumsum(symbol_lengths(self.lengths, symbols))
+        ends = begin + np.cumsum(symbol_lengths(self.lengths, symbols, self.first))
         low, high = int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, stop, side="left")) + 1
         offset = start - (int(ends[low - 1]) if low else begin)
         return self.expand(symbols[low:high])[offset:offset + stop - start]
